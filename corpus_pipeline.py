@@ -8,9 +8,10 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.llm import quality, toxicity
+from mnemospark.llm import bpe, decontaminate, quality, simhash, toxicity
 from mnemospark.llm.common import cut_lineage, read_table
 
 
@@ -26,9 +27,27 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.drop_toxic(docs, model)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each near-duplicate component."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaked(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokenise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document left."""
+    return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+
+
 STAGES = [
     ("quality", quality_stage),
     ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("tokenise", tokenise_stage),
 ]
 
 #: The stages hold learned models and tokenisers; SQL can't express them.
