@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontaminate, quality, simhash, toxicity
+from mnemospark.llm import bpe, decontaminate, htmltext, mpegts, quality, simhash, toxicity
 from mnemospark.llm.common import held_out, read_table
 
 
@@ -26,6 +26,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.media_columns(read_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_mpegts": op5_mpegts,
+    "op7_html": op7_html,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
