@@ -77,6 +77,16 @@ def labelled_sample(
     return [(r["text"], int(r["y"])) for r in rows], (totals.get(0, 0), totals.get(1, 0))
 
 
+def picked_texts(docs: DataFrame, count: int) -> DataFrame:
+    """The non-null texts of ``count`` hash-picked doc_ids, a fixed and bounded sample.
+
+    Only ids are ordered; the texts of the picked ids are then read in place, so no task gathers texts.
+    Rows that repeat a picked id come along up to ``count`` rows in all.
+    """
+    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(count).distinct()
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(count)
+
+
 def append_columns(
     df: DataFrame,
     text: str,

@@ -8,10 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontaminate, htmltext, mpegts, quality, simhash, toxicity
+from mnemospark.llm import bpe, decontaminate, htmltext, langid, lblm, mpegts, quality, shard, simhash, toxicity
 from mnemospark.llm.common import held_out, read_table
 
 
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sharded = shard.shuffle_shards(docs, 16, "doc_id", shard.text_size())
+    return sharded.select(
+        "doc_id",
+        shard.text_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +44,10 @@ def op5_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_columns(read_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_lblm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -58,14 +76,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_texts(docs))
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard": op1_shard,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_mpegts": op5_mpegts,
+    "op6_lblm": op6_lblm,
     "op7_html": op7_html,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 #: None of these operators can be written in SQL that runs over whole tables in reasonable
