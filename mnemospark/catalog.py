@@ -1,0 +1,531 @@
+"""The engine's registered queries over the driver's tables, each beside its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from mnemospark.functions import predicates as P
+from mnemospark.functions import text as X
+from mnemospark.operators import aggregates as A
+from mnemospark.operators import bundle as B
+from mnemospark.operators import curate as D
+from mnemospark.operators import graph as G
+from mnemospark.operators import lexical as L
+from mnemospark.operators import retrieve as V
+from mnemospark.operators import revisions as H
+from mnemospark.operators.vector import knn
+from mnemospark.plans import standins as S
+from mnemospark.plans import sync as Y
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+M, C, R, E, Q = S.MEMORIES_SQL, S.CONCEPTS_SQL, S.REVISIONS_SQL, S.EDGES_SQL, S.QUERIES_SQL
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL if it has one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def docs(spark, d):
+    return S.table(spark, d, "documents")
+
+
+# --- lists, scopes, groupings -------------------------------------------------------------
+
+
+@query(f"WITH {M} SELECT id, project, memory_type FROM memories WHERE superseded_by IS NULL ORDER BY updated_at DESC, id LIMIT 50")
+def list_recent(spark, d):
+    return P.recall(S.memories(spark, d), 50).select("id", "project", "memory_type")
+
+
+@query(f"WITH {M} SELECT id, project FROM memories WHERE superseded_by IS NULL AND memory_type = 'en' AND list_contains(tags, 'src3') ORDER BY updated_at DESC, id LIMIT 10")
+def recall_tags(spark, d):
+    return P.recall(S.memories(spark, d), 10, memory_type="en", tags=("src3",)).select("id", "project")
+
+
+@query(f"""WITH {M}, hit AS (SELECT id, CASE WHEN id = '10' THEN 0 WHEN superseded_by IS NULL THEN 1 ELSE 2 END AS tier FROM
+  (SELECT sha256(id) AS id, superseded_by FROM memories) WHERE starts_with(id, '00a1') OR starts_with(id, '4a44'))
+  SELECT id, tier FROM hit WHERE starts_with(id, '4a44') AND tier = (SELECT MIN(tier) FROM hit WHERE starts_with(id, '4a44')) ORDER BY id LIMIT 17""")
+def prefix_resolve(spark, d):
+    hashed = S.memories(spark, d).withColumn("id", F.sha2("id", 256))
+    return P.resolve_prefix(hashed, "4a44").select("id", "tier")
+
+
+@query(f"WITH {M} SELECT id, access_count FROM memories WHERE superseded_by IS NULL AND updated_at < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 90 DAY AND access_count <= 60")
+def prune_candidates(spark, d):
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    return P.prune_candidates(S.memories(spark, d), now, 90, 60).select("id", "access_count")
+
+
+@query(f"""WITH {M}, state AS (SELECT CASE WHEN source = 'src0' THEN '__global__' ELSE source END AS project, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(40000) AS last_dream_at
+    FROM documents GROUP BY source HAVING MIN(doc_id) % 2 = 0)
+  SELECT m.id, m.project FROM memories m LEFT JOIN state s ON s.project = COALESCE(m.project, '__null__') WHERE m.superseded_by IS NULL
+    AND (s.last_dream_at IS NULL OR m.updated_at > s.last_dream_at OR m.condenser_version IS NULL OR m.condenser_version <> 'v1')""")
+def dream_candidates(spark, d):
+    state = docs(spark, d).groupBy("source").agg(F.min("doc_id").alias("m")).where("m % 2 = 0")
+    state = state.select(F.when(F.col("source") == "src0", "__global__").otherwise(F.col("source")).alias("project"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + 60 * 40_000).alias("last_dream_at"))
+    return P.curation_candidates(S.memories(spark, d), state, "v1").select("id", "project")
+
+
+@query(f"WITH {M} SELECT project, COUNT(*) AS cnt FROM memories WHERE superseded_by IS NULL GROUP BY project")
+def projects_count(spark, d):
+    return A.projects(S.memories(spark, d))
+
+
+@query(f"WITH {M} SELECT DISTINCT project FROM memories")
+def distinct_projects(spark, d):
+    return A.distinct_projects(S.memories(spark, d))
+
+
+@query(f"WITH {M}, {C} SELECT DISTINCT concept_type FROM memories JOIN concepts ON id = memory_id WHERE superseded_by IS NULL")
+def distinct_types(spark, d):
+    return A.distinct_types(S.memories(spark, d).join(S.concepts(spark, d), F.col("id") == F.col("memory_id")))
+
+
+@query(f"WITH {M} SELECT DISTINCT unnest(tags) AS tag FROM memories WHERE superseded_by IS NULL")
+def distinct_tags(spark, d):
+    return A.distinct_tags(S.memories(spark, d))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS tag, 0 AS pos FROM documents UNION ALL SELECT doc_id, source, 1 FROM documents)
+  SELECT arg_min(tag, doc_id * 2 + pos) AS tag FROM t GROUP BY lower(tag)""")
+def tag_cloud(spark, d):
+    rows = docs(spark, d).select("doc_id", F.array(F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")), F.col("source")).alias("tags"))
+    return A.tag_cloud(rows, "doc_id")
+
+
+@query(f"""WITH {M} SELECT id, CASE WHEN project = '__global__' THEN 'global' ELSE project END AS scope,
+  CASE WHEN project = '__global__' THEN 'memory://global/' || id ELSE 'memory://project/' || project || '/' || id END AS uri FROM memories WHERE superseded_by IS NULL""")
+def scope_uri_label(spark, d):
+    m = S.memories(spark, d).where(P.live())
+    return m.select("id", X.scope_label(F.col("project")).alias("scope"), X.canonical_uri(F.col("id"), F.col("project")).alias("uri"))
+
+
+@query("""SELECT d.doc_id, COALESCE(l.quality, 0) = 1 AS verified, CASE WHEN l.quality IS NULL OR l.quality <> 1 THEN 'unverified' WHEN d.doc_id % 2 = 0 THEN 'human_reviewed' ELSE 'machine_confirmed' END AS tier
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def trust_and_verified(spark, d):
+    v = S.table(spark, d, "labels").where("quality = 1").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "human:a").otherwise("agent:b").alias("actor"))
+    per = v.groupBy("doc_id").agg(F.collect_set("actor").alias("actors"))
+    return docs(spark, d).join(per, "doc_id", "left").select("doc_id", F.col("actors").isNotNull().alias("verified"), P.trust_tier(F.col("actors")).alias("tier"))
+
+
+# --- text predicates and scalars -----------------------------------------------------------
+
+
+_SECRET = " OR ".join(f"contains(upper(text), '{m}')" for m in P.SECRET_MARKERS)
+
+
+@query(f"SELECT doc_id, ({_SECRET}) AS blocked FROM documents")
+def secret_filter(spark, d):
+    return docs(spark, d).select("doc_id", P.has_secret(F.col("text")).alias("blocked"))
+
+
+_REFUSED = " OR ".join("contains(lower({0}), '" + m.replace("'", "''") + "')" for m in P.REFUSAL_MARKERS)
+
+
+@query(f"SELECT conv_id, turn, ({_REFUSED.format('text')}) AS refused FROM conversations")
+def refusal_filter(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", P.is_refusal(F.col("text")).alias("refused"))
+
+
+@query("SELECT conv_id, turn, len(list_intersect(regexp_split_to_array(lower(text), '[^a-z0-9]+'), [" + ", ".join(f"'{w}'" for w in P.STATE_WORDS) + "])) > 0 AS intent FROM conversations")
+def canonical_intent(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", P.canonical_state_intent(F.col("text")).alias("intent"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return docs(spark, d).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT page_id, left('auto-' || sha256(url), 17) AS source_key FROM pages")
+def source_key(spark, d):
+    return S.table(spark, d, "pages").select("page_id", X.source_key(F.col("url")).alias("source_key"))
+
+
+_LINE = r"regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(p) > 160 THEN left(p, 160) || '…' ELSE p END AS preview FROM (SELECT doc_id, {_LINE.format('text')} AS p FROM documents)")
+def one_line_preview(spark, d):
+    return docs(spark, d).select("doc_id", X.one_line_preview(F.col("text"), 160).alias("preview"))
+
+
+def _cut(c: str, n: int) -> str:
+    """SQL of truncate_words."""
+    head = f"regexp_extract(left({c}, {n}), '(?s)^(.*) ', 1)"
+    return f"""CASE WHEN length({c}) <= {n} THEN {c} ELSE regexp_replace(CASE WHEN contains(left({c}, {n}), ' ') AND length({head}) >= {n // 2} THEN {head} ELSE regexp_replace(left({c}, {n}), '\\s+$', '') END, '[\\s,]+$', '') || '…' END"""
+
+
+@query(f"SELECT doc_id, {_cut('p', 240)} AS short FROM (SELECT doc_id, {_LINE.format('text')} AS p FROM documents)")
+def word_truncate(spark, d):
+    return docs(spark, d).select("doc_id", X.truncate_words(X.collapse_whitespace(F.col("text")), 240).alias("short"))
+
+
+_STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^[#>*+-]+', ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(left(text, 65536), '\\r?\\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ls FROM documents),
+  b AS (SELECT doc_id, {_LINE.format('ls[1]')} AS h, {_LINE.format(_STRIP.format('ls[2]'))} AS n FROM a),
+  c AS (SELECT *, regexp_replace(split_part(h, ':', 1), '^\\s+|\\s+$', '', 'g') AS s, regexp_replace(regexp_replace(h, '(?s)^[^:]*:', ''), '^\\s+|\\s+$', '', 'g') AS k FROM b),
+  e AS (SELECT *, contains(h, ':') AND NOT contains(s, '. ') AND length(s) BETWEEN 8 AND 120 AND k <> '' AS subj FROM c)
+  SELECT doc_id, CASE WHEN subj THEN s WHEN length(h) <= 120 THEN h END AS title,
+    CASE WHEN subj THEN {_cut('k', 240)} WHEN length(h) <= 120 THEN CASE WHEN n <> '' THEN {_cut('n', 240)} END ELSE {_cut('h', 240)} END AS description FROM e""")
+def title_description(spark, d):
+    return docs(spark, d).select("doc_id", X.title_description(F.col("text")).alias("x")).select("doc_id", "x.title", "x.description")
+
+
+_PATH = r"^(?:[\p{L}\p{N}/._+@-]*/)[\p{L}\p{N}_+@-][\p{L}\p{N}._+@-]*\.(?:" + "|".join(X.RESOURCE_EXTENSIONS) + ")$"
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_split_to_array('see <' || url || '>, (src/page_' || page_id || '.py); also lib.rs and ' || url, '\\s+') AS ws FROM pages),
+  u AS (SELECT page_id, list_transform(ws, lambda w: regexp_replace(regexp_replace(w, '^[`"''()\\[\\]<>]+|[`"''()\\[\\]<>]+$', '', 'g'), '[.,;:!?]+$', '')) AS ws FROM t),
+  f AS (SELECT page_id, list_filter(ws, lambda w: starts_with(w, 'http://') OR starts_with(w, 'https://') OR (regexp_matches(w, '{_PATH}') AND strlen(w) <= 200)) AS ws FROM u),
+  g AS (SELECT page_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS ws FROM f)
+  SELECT page_id, array_to_string(list_slice(ws, 1, 8), ' ') AS sources FROM g WHERE len(ws) > 0""")
+def source_citations(spark, d):
+    body = F.concat(F.lit("see <"), "url", F.lit(">, (src/page_"), F.col("page_id").cast("string"), F.lit(".py); also lib.rs and "), "url")
+    found = S.table(spark, d, "pages").select("page_id", X.source_citations(body).alias("s"))
+    return found.where(F.size("s") > 0).select("page_id", F.array_join("s", " ").alias("sources"))
+
+
+@query("SELECT page_id, lower(regexp_replace(list_filter(regexp_split_to_array(url, '[/:]'), lambda x: x <> '')[-1], '\\.git$', '')) AS ident FROM pages")
+def project_ident(spark, d):
+    return S.table(spark, d, "pages").select("page_id", X.project_ident(F.col("url")).alias("ident"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN length(text) <= 1200 THEN text ELSE regexp_replace(regexp_replace(text, '\r?\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS body, length(text) <= 1200 AS short FROM documents),
+  n AS (SELECT *, CASE WHEN short THEN 1 ELSE least(64, CAST(ceil(length(body) / 1600.0) AS BIGINT)) END AS parts FROM t)
+  SELECT doc_id, CAST(k AS INTEGER) AS ordinal, CASE WHEN short THEN body ELSE substr(body, CAST(k * 1600 + 1 AS BIGINT), 1600) END AS body FROM (SELECT *, unnest(range(parts)) AS k FROM n)""")
+def segments_fixed(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(X.segments("text")).alias("s")).select("doc_id", "s.ordinal", "s.body")
+
+
+# --- retrieval -----------------------------------------------------------------------------
+
+_BM25 = f"""{Q},
+  tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents),
+  stats AS (SELECT COUNT(*) AS n, AVG(len(ts)) AS avgdl FROM tok),
+  post AS (SELECT doc_id, term, COUNT(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(ts) AS term, len(ts) AS dl FROM tok) GROUP BY doc_id, term),
+  qt AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM asked),
+  df AS (SELECT term, COUNT(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
+  w AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, avgdl FROM df, stats),
+  sc AS (SELECT query_id, doc_id, SUM(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM qt JOIN w USING (term) JOIN post USING (term) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, r AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM sc)) WHERE r <= 10")
+def bm25_topk(spark, d):
+    scored = L.bm25(docs(spark, d), ["doc_id"], "text", S.search_queries(spark, d)).withColumn("score", F.round("score", 9))
+    return L.top_k(scored, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, r AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r
+  FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))) WHERE r <= 10""")
+def bm25_lifecycle(spark, d):
+    gone = S.table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    scored = L.bm25(docs(spark, d), ["doc_id"], "text", S.search_queries(spark, d)).join(gone, "doc_id", "left_anti").withColumn("score", F.round("score", 9))
+    return L.top_k(scored, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+_COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+_KNN = f"""kn AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({_COS}, 9) AS score FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q, embeddings e)"""
+
+
+def _vectors(spark, d):
+    return S.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+@query(f"WITH {_KNN} SELECT query_id, doc_id, round(score, 6) AS score, r AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM kn) WHERE r <= 10")
+def knn_topk(spark, d):
+    q = S.search_queries(spark, d).where("embedding IS NOT NULL").select("query_id", "embedding")
+    return knn(_vectors(spark, d), q, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+_FUSED = f"""{_BM25}, {_KNN},
+  lx AS (SELECT query_id, doc_id, r - 1 AS bm25_rank FROM (SELECT query_id, doc_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM sc) WHERE r <= 30),
+  vx AS (SELECT query_id, doc_id, r - 1 AS vector_rank FROM (SELECT query_id, doc_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM kn) WHERE r <= 30),
+  fu AS (SELECT query_id, doc_id, bm25_rank, vector_rank, COALESCE(1.0 / (61 + bm25_rank), 0) + COALESCE(1.0 / (61 + vector_rank), 0) AS score FROM lx FULL JOIN vx USING (query_id, doc_id)),
+  mq AS (SELECT *, CASE WHEN bm25_rank < 5 AND vector_rank < 5 THEN 'high' WHEN bm25_rank < 10 AND vector_rank < 10 THEN 'medium' WHEN bm25_rank < 5 OR vector_rank < 5 THEN 'medium' ELSE 'low' END AS quality FROM fu)"""
+
+
+def _fused(spark, d):
+    q = S.search_queries(spark, d)
+    lexical = L.top_k(L.bm25(docs(spark, d), ["doc_id"], "text", q).withColumn("score", F.round("score", 9)), "doc_id", 30)
+    vector = knn(_vectors(spark, d), q.where("embedding IS NOT NULL").select("query_id", "embedding"), 30, "doc_id")
+    return V.rrf(lexical, vector, "doc_id").withColumn("quality", V.match_quality(F.col("bm25_rank"), F.col("vector_rank")))
+
+
+@query(f"WITH {_FUSED} SELECT query_id, doc_id, CAST(bm25_rank AS INTEGER) AS bm25_rank, CAST(vector_rank AS INTEGER) AS vector_rank, round(score, 6) AS score, quality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM mq) WHERE r <= 10")
+def rrf_fuse(spark, d):
+    return L.top_k(_fused(spark, d), "doc_id", 10).select("query_id", "doc_id", "bm25_rank", "vector_rank", F.round("score", 6).alias("score"), "quality")
+
+
+@query(f"WITH {_FUSED} SELECT quality, COUNT(*) AS n FROM mq GROUP BY quality")
+def match_quality_counts(spark, d):
+    return _fused(spark, d).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {M}, {C}, {_FUSED},
+  j AS (SELECT mq.query_id, mq.doc_id, mq.quality, m.project, a.current_project, mq.score * CASE WHEN mq.doc_id % 5 = 0 THEN 0.9 ELSE 1 END AS s
+    FROM mq JOIN memories m ON m.doc_id = mq.doc_id JOIN concepts c ON c.memory_id = m.id JOIN asked a ON a.query_id = mq.query_id WHERE m.superseded_by IS NULL AND c.status <> 'deprecated'),
+  k AS (SELECT *, round(CASE WHEN project = current_project THEN s * 1.5 WHEN project = '__global__' THEN s * 1.25 ELSE s END, 9) AS score FROM j)
+  SELECT query_id, doc_id, round(score, 6) AS score, CASE WHEN project = '__global__' THEN 'general_knowledge' WHEN project = current_project THEN 'project_memories' ELSE 'other_projects' END AS section, r AS rank
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM k) WHERE r <= 10""")
+def hybrid_scope_boost(spark, d):
+    rows = S.memories(spark, d).where(P.live()).join(S.concepts(spark, d).where("status <> 'deprecated'"), F.col("id") == F.col("memory_id")).select("doc_id", "project")
+    q = S.search_queries(spark, d).select("query_id", "current_project")
+    j = _fused(spark, d).join(rows, "doc_id").join(q, "query_id")
+    fresh = V.freshness(F.col("score"), F.col("doc_id") % 5 == 0)
+    j = j.withColumn("score", F.round(V.scope_boost(fresh, F.col("project"), F.col("current_project")), 9)).withColumn("section", V.section(F.col("project"), F.col("current_project")))
+    return L.top_k(j, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "section", "rank")
+
+
+# --- graph ---------------------------------------------------------------------------------
+
+
+def _adjacent(fan: int, both: bool) -> str:
+    back = "UNION ALL SELECT dst, 1, relation, src, src FROM edges WHERE dst IS NOT NULL" if both else ""
+    return f"""adj AS (SELECT node, place, relation, neighbour FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY dir, relation, far) AS place FROM
+    (SELECT src AS node, 0 AS dir, relation, dst_ref AS far, dst AS neighbour FROM edges {back})) WHERE place <= {fan})"""
+
+
+def _walk(root_sql: str, relation: str = "") -> str:
+    """SQL of two levels of paths from the roots."""
+    only = f"AND a.relation = '{relation}'" if relation else ""
+    return f"""roots AS ({root_sql}),
+  p1 AS (SELECT root, neighbour AS node, [root, neighbour] AS nodes, [0 + place] AS way, 1 AS depth, a.relation, neighbour = root AS cycle FROM roots JOIN adj a ON a.node = root WHERE neighbour IS NOT NULL {only}),
+  p2 AS (SELECT root, a.neighbour AS node, list_append(nodes, a.neighbour) AS nodes, list_append(way, a.place) AS way, 2 AS depth, a.relation, list_contains(nodes, a.neighbour) AS cycle FROM p1 JOIN adj a ON a.node = p1.node WHERE NOT cycle AND a.neighbour IS NOT NULL {only}),
+  paths AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY root ORDER BY depth, way) AS ord FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2))"""
+
+
+_SHOW = "SELECT root, node, array_to_string(nodes, '/') AS path, CAST(depth AS INTEGER) AS depth, CAST(ord AS INTEGER) AS ord, cycle FROM paths WHERE ord <= 300"
+
+
+def _paths(spark, d, direction, roots, relations=(), fan_out=12):
+    r = roots.withColumn("query_id", F.col("root"))
+    paths, _ = G.traverse(S.edges(spark, d), r, direction, relations, 2, fan_out, 300)
+    return paths.select("root", "node", F.array_join("nodes", "/").alias("path"), "depth", "ord", "cycle")
+
+
+def _orders(spark, d):
+    return S.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("root"))
+
+
+def _nations(spark, d):
+    return S.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("root"))
+
+
+@query(f"WITH {E}, {_adjacent(12, False)}, {_walk('SELECT ' + chr(39) + 'o' + chr(39) + ' || o_orderkey AS root FROM orders')} {_SHOW}")
+def bfs_paths(spark, d):
+    return _paths(spark, d, "out", _orders(spark, d))
+
+
+@query(f"WITH {E}, {_adjacent(12, True)}, {_walk('SELECT ' + chr(39) + 'n' + chr(39) + ' || n_nationkey AS root FROM nation')} {_SHOW}")
+def bfs_both(spark, d):
+    return _paths(spark, d, "both", _nations(spark, d))
+
+
+@query(f"WITH {E}, {_adjacent(12, True)}, {_walk('SELECT ' + chr(39) + 'n' + chr(39) + ' || n_nationkey AS root FROM nation', 'derived_from')} {_SHOW}")
+def bfs_relation(spark, d):
+    return _paths(spark, d, "both", _nations(spark, d), ("derived_from",))
+
+
+@query(f"WITH {E} SELECT DISTINCT src AS source, relation, dst_ref AS reference FROM edges WHERE dst IS NULL")
+def unresolved_edges(spark, d):
+    roots = S.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("root")).withColumn("query_id", F.col("root"))
+    _, lost = G.traverse(S.edges(spark, d), roots, "out", (), 1)
+    return lost.select("source", "relation", "reference")
+
+
+@query(f"""WITH {E}, {_adjacent(12, True)}, {_walk('SELECT ' + chr(39) + 'n' + chr(39) + ' || n_nationkey AS root FROM nation')},
+  fresh AS (SELECT * FROM paths WHERE ord <= 30 AND NOT cycle AND node <> root),
+  once AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY root ORDER BY ord) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY root, node ORDER BY ord) AS k FROM fresh) WHERE k = 1)
+  SELECT root AS query_id, node AS id, round(CASE relation WHEN 'derived_from' THEN 0.70 WHEN 'links_to' THEN 0.65 WHEN 'cites' THEN 0.62 ELSE 0.60 END * pow(0.75, depth - 1), 6) AS score, CAST(depth AS INTEGER) AS distance FROM once WHERE n <= 4""")
+def graph_expand(spark, d):
+    roots = _nations(spark, d).withColumn("query_id", F.col("root"))
+    paths, _ = G.traverse(S.edges(spark, d), roots, "both", (), 2, 12, 30)
+    paths = paths.select("query_id", "ord", "root", "node", F.element_at("relations", -1).alias("relation"), F.col("depth").alias("distance"), "cycle")
+    results = roots.select("query_id", F.col("root").alias("id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    return V.graph_neighbours(results, paths, 10).select("query_id", "id", F.round("score", 6).alias("score"), "distance")
+
+
+# --- revisions -----------------------------------------------------------------------------
+
+
+@query(f"WITH {R} SELECT memory_id, revision, CASE WHEN revision > 1 THEN revision - 1 END AS parent_revision, operation FROM revisions")
+def revision_log(spark, d):
+    return S.revisions(spark, d).select("memory_id", "revision", "parent_revision", "operation")
+
+
+@query(f"WITH {R} SELECT memory_id, revision, operation FROM revisions WHERE memory_id = '7' ORDER BY revision DESC LIMIT 20")
+def history(spark, d):
+    return H.history(S.revisions(spark, d), F.lit("7")).select("memory_id", "revision", "operation")
+
+
+@query(f"""WITH {R}, ev AS (SELECT created_at AS at_, memory_id, revision, operation FROM revisions UNION ALL SELECT MAX(created_at), memory_id, MAX(revision), 'forget' FROM revisions WHERE CAST(memory_id AS BIGINT) % 10 = 3 GROUP BY memory_id)
+  SELECT memory_id, revision, operation, strftime(at_, '%Y-%m-%d') AS day FROM (SELECT * FROM ev ORDER BY at_ DESC, memory_id DESC, revision DESC, operation DESC LIMIT 50 OFFSET 100)""")
+def log_page(spark, d):
+    r = S.revisions(spark, d)
+    gone = r.where(F.col("memory_id").cast("bigint") % 10 == 3).groupBy("memory_id").agg(F.max("created_at").alias("deleted_at"), F.max("revision").alias("last_revision"))
+    rows = A.page(B.event_log(r, gone), [F.desc("at"), F.desc("memory_id"), F.desc("revision"), F.desc("operation")], 100, 50)
+    return rows.select("memory_id", "revision", "operation", F.date_format("at", "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""WITH {R}, a AS (SELECT memory_id, revision, json_extract_string(props, '$.k') AS k, operation AS op FROM revisions),
+  b AS (SELECT x.memory_id, x.revision, y.k AS k0, x.k AS k1, y.op AS o0, x.op AS o1 FROM a x JOIN a y ON y.memory_id = x.memory_id AND y.revision = x.revision - 1)
+  SELECT memory_id, revision, 'k' AS field, k0 AS before, k1 AS after FROM b WHERE k0 IS DISTINCT FROM k1 UNION ALL SELECT memory_id, revision, 'op', o0, o1 FROM b WHERE o0 IS DISTINCT FROM o1""")
+def revision_diff(spark, d):
+    r = S.revisions(spark, d).select("memory_id", "revision", F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("operation").alias("op")), {"ignoreNullFields": "false"}).alias("now"))
+    w = Window.partitionBy("memory_id").orderBy("revision")
+    pairs = r.withColumn("before", F.lag("now").over(w)).where("before IS NOT NULL")
+    return pairs.select("memory_id", "revision", F.explode(H.diff(F.col("before"), F.col("now"))).alias("x")).select("memory_id", "revision", "x.field", "x.before", "x.after")
+
+
+@query("""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS memory_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS expected, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE sha256(text || '!') END AS new_hash, sha256(text) AS old_hash, doc_id FROM documents)
+  SELECT memory_id, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN expected <> 1 THEN 'conflict' WHEN new_hash = old_hash THEN 'unchanged' ELSE 'changed' END AS outcome,
+    CASE WHEN doc_id % 11 = 0 THEN NULL WHEN COALESCE(expected, 1) = 1 AND new_hash <> old_hash THEN 2 ELSE 1 END AS revision FROM p""")
+def cas_apply(spark, d):
+    x = docs(spark, d)
+    current = x.where("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("memory_id"), F.lit(1).cast("bigint").alias("revision"), F.sha2("text", 256).alias("content_hash"))
+    new = x.select(F.col("doc_id").cast("string").alias("memory_id"), F.when(F.col("doc_id") % 4 == 0, 1).when(F.col("doc_id") % 4 == 1, 2).alias("expected"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.concat("text", F.lit("!")), 256)).alias("new_hash"))
+    return H.cas_apply(current, new).select("memory_id", "outcome", "revision")
+
+
+@query(f"WITH {M} SELECT id AS memory_id, CASE WHEN project = '__global__' THEN 'global' ELSE project END AS scope, sha256(content) AS content_hash FROM memories WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def forget_tombstones(spark, d):
+    ids = S.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    _, stones = H.forget(S.memories(spark, d), S.concepts(spark, d), ids, F.lit("2024-06-01").cast("timestamp"))
+    return stones.select("memory_id", "scope", "content_hash")
+
+
+@query(f"""WITH {M} SELECT id AS older, newer FROM (SELECT id, LEAD(id) OVER (PARTITION BY content ORDER BY created_at, id) AS newer FROM memories WHERE superseded_by IS NULL) WHERE newer IS NOT NULL""")
+def supersede_exact(spark, d):
+    return D.exact_duplicates(S.memories(spark, d), [])
+
+
+@query(f"SELECT q.vec_id AS a, e.vec_id AS b, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id < e.vec_id AND {_COS} >= 0.35")
+def near_duplicates(spark, d):
+    rows = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", F.lit(None).cast("string").alias("superseded_by"))
+    return D.near_pairs(rows, 0.35, ["label"]).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query()
+def dedup_greedy(spark, d):
+    rows = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", F.lit(None).cast("string").alias("superseded_by"), F.timestamp_seconds("vec_id").alias("created_at"))
+    return D.greedy_dedup(D.near_pairs(rows, 0.35, ["label"]), rows)
+
+
+@query(f"WITH {M} SELECT project, COUNT(*) AS n, SUM(strlen(content)) AS bytes, COUNT(*) <= 200 AND SUM(strlen(content)) <= 160000 AS whole FROM memories GROUP BY project")
+def review_partition(spark, d):
+    return D.review_partition(S.memories(spark, d))
+
+
+@query()
+def cluster_greedy(spark, d):
+    return D.cluster(S.memories(spark, d).where(P.live()))
+
+
+_DECIDE = """dec AS (SELECT doc_id // 10 AS batch, doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'merge_into' WHEN 2 THEN 'drop' WHEN 3 THEN 'contradiction' ELSE 'supersede_by' END AS action,
+  CASE doc_id % 5 WHEN 1 THEN doc_id - (doc_id // 10) % 3 WHEN 3 THEN doc_id + (doc_id // 10) % 8 END AS target, left(text, 400 * CAST(doc_id % 3 + 1 AS BIGINT)) AS content, text FROM documents)"""
+
+
+def _decisions(spark, d):
+    i = F.col("doc_id")
+    batch = F.floor(i / 10)
+    action = F.when(i % 5 == 0, "keep").when(i % 5 == 1, "merge_into").when(i % 5 == 2, "drop").when(i % 5 == 3, "contradiction").otherwise("supersede_by")
+    target = F.when(i % 5 == 1, i - batch % 3).when(i % 5 == 3, i + batch % 8)
+    return docs(spark, d).select(batch.alias("batch"), i.alias("id"), action.alias("action"), target.alias("target"), F.left("text", 400 * (i % 3 + 1)).alias("content"))
+
+
+_VALID = """val AS (SELECT d.batch, d.id, d.content, d.text, CASE WHEN ok THEN d.action ELSE 'keep' END AS action, CASE WHEN ok THEN d.target END AS target FROM
+  (SELECT d.*, CASE d.action WHEN 'merge_into' THEN t.id IS NOT NULL AND t.id <> d.id AND t.action IN ('keep', 'supersede_by') WHEN 'contradiction' THEN t.id IS NOT NULL AND t.id <> d.id ELSE TRUE END AS ok
+   FROM dec d LEFT JOIN dec t ON t.batch = d.batch AND t.id = d.target) d)"""
+
+
+@query(f"WITH {_DECIDE}, {_VALID} SELECT batch, id, action, target FROM val")
+def decision_validate(spark, d):
+    return D.validate(_decisions(spark, d))
+
+
+@query(f"""WITH {_DECIDE}, {_VALID}, n AS (SELECT *, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS own FROM val),
+  fed AS (SELECT batch, target AS id, SUM(own) AS incoming FROM n WHERE action = 'merge_into' GROUP BY 1, 2),
+  j AS (SELECT n.*, incoming, CASE WHEN action = 'supersede_by' THEN content WHEN incoming IS NOT NULL THEN text END AS body, CASE WHEN incoming IS NOT NULL THEN floor(3 * (own + incoming) / 4.0) ELSE own + own // 2 END AS most FROM n LEFT JOIN fed USING (batch, id)),
+  bad AS (SELECT batch, id FROM j WHERE body IS NOT NULL AND length(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) > most)
+  SELECT v.batch, v.id, CASE WHEN b.id IS NOT NULL OR (t.id IS NOT NULL AND v.action = 'merge_into') THEN 'keep_original' ELSE v.action END AS action
+  FROM val v LEFT JOIN bad b ON b.batch = v.batch AND b.id = v.id LEFT JOIN bad t ON t.batch = v.batch AND t.id = v.target""")
+def length_budget(spark, d):
+    contents = _decisions(spark, d).select("batch", "id", "content")
+    valid = D.validate(_decisions(spark, d)).join(contents, ["batch", "id"])
+    memories = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("content_raw"))
+    return D.length_budget(valid, memories).select("batch", "id", "action")
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, text AS base, CASE (conv_id + turn) % 6 WHEN 0 THEN 'KEEP_UNCHANGED' WHEN 1 THEN ' forget ' WHEN 2 THEN '```text' || chr(10) || 'short' || chr(10) || '```' WHEN 3 THEN 'forget this one' WHEN 4 THEN text || text || text ELSE text END AS reply FROM conversations),
+  b AS (SELECT *, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t, regexp_replace(base, '^\s+|\s+$', '', 'g') AS tb FROM r),
+  c AS (SELECT *, CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(regexp_replace(t, '^```(?:text|markdown)?', ''), '(?:```)+$', ''), '^\s+|\s+$', '', 'g') ELSE t END AS body FROM b)
+  SELECT conv_id, turn, CASE WHEN COALESCE(body, '') = '' THEN 'error_empty' WHEN lower(body) = 'keep_unchanged' THEN 'skip' WHEN lower(body) = 'forget' THEN 'forget' WHEN lower(body) = 'skip' THEN 'error_legacy'
+    WHEN regexp_matches(lower(body), '^keep_unchanged\s') OR regexp_matches(lower(body), '^forget\s') THEN 'error_extra' WHEN {_REFUSED.format('body')} THEN 'error_refused'
+    WHEN length(body) > length(tb) + length(tb) // 2 THEN 'error_too_long' WHEN body = tb THEN 'skip' ELSE 'rewrite' END AS outcome FROM c""")
+def condense_parse(spark, d):
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    reply = F.when(k == 0, "KEEP_UNCHANGED").when(k == 1, " forget ").when(k == 2, "```text\nshort\n```").when(k == 3, "forget this one").when(k == 4, F.concat("text", "text", "text")).otherwise(F.col("text"))
+    return S.table(spark, d, "conversations").select("conv_id", "turn", D.condense_outcome(reply, F.col("text"), F.col("text")).alias("outcome"))
+
+
+# --- sync, contexts, views -----------------------------------------------------------------
+
+_MAPPED = """mp AS (SELECT CAST(doc_id AS VARCHAR) AS local_memory_id, 'g' || doc_id AS gateway_memory_id, 5 AS last_seen, CASE WHEN doc_id % 4 = 0 THEN sha256(text) ELSE sha256(text || '~') END AS pushed, doc_id % 12 = 0 AS stone FROM documents WHERE doc_id % 3 = 0)"""
+
+
+def _mapping(spark, d):
+    x = docs(spark, d).where("doc_id % 3 = 0")
+    pushed = F.when(F.col("doc_id") % 4 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.concat("text", F.lit("~")), 256))
+    return x.select(F.col("doc_id").cast("string").alias("local_memory_id"), F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("gateway_memory_id"), F.lit(5).cast("bigint").alias("last_seen_server_revision"), pushed.alias("last_pushed_content_hash"), F.lit(None).cast("string").alias("last_pulled_content_hash"), (F.col("doc_id") % 12 == 0).alias("tombstone_deleted"))
+
+
+@query(f"""WITH {_MAPPED}, held AS (SELECT DISTINCT pushed FROM mp WHERE NOT stone)
+  SELECT CAST(d.doc_id AS VARCHAR) AS local_memory_id, CASE WHEN m.stone THEN 'blocked_tombstone' WHEN m.pushed = sha256(d.text) THEN 'skipped' WHEN m.local_memory_id IS NOT NULL THEN 'update' WHEN h.pushed IS NOT NULL THEN 'skipped' ELSE 'create' END AS action
+  FROM documents d LEFT JOIN mp m ON m.local_memory_id = CAST(d.doc_id AS VARCHAR) LEFT JOIN held h ON h.pushed = sha256(d.text) UNION ALL SELECT 'gone' || c_custkey, 'delete' FROM customer""")
+def push_plan(spark, d):
+    local = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    queue = S.table(spark, d, "customer").select(F.concat(F.lit("gone"), F.col("c_custkey").cast("string")).alias("local_memory_id"))
+    return Y.push_plan(local, _mapping(spark, d), queue)
+
+
+@query(f"""WITH {_MAPPED}, lo AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS h FROM documents WHERE doc_id % 12 <> 0), ex AS (SELECT h, MIN(id) AS link_id FROM lo GROUP BY h),
+  re AS (SELECT CASE WHEN doc_id % 13 <> 5 THEN 'g' || doc_id END AS gid, CASE WHEN doc_id % 7 <> 2 THEN doc_id % 9 END AS rev, doc_id % 10 = 1 AS dead, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '?' END) AS h FROM documents),
+  j AS (SELECT re.*, m.local_memory_id, m.last_seen, m.pushed, m.stone, lo.h AS lh, ex.link_id FROM re LEFT JOIN mp m ON m.gateway_memory_id = re.gid LEFT JOIN lo ON lo.id = m.local_memory_id LEFT JOIN ex ON ex.h = re.h),
+  k AS (SELECT *, CASE WHEN dead THEN CASE WHEN local_memory_id IS NOT NULL AND rev < last_seen THEN 'skipped' WHEN local_memory_id IS NOT NULL THEN 'tombstone' ELSE 'tombstone_unknown' END
+    WHEN rev IS NULL OR gid IS NULL THEN 'rejected' WHEN stone THEN 'conflict' WHEN last_seen >= rev THEN 'skipped' WHEN local_memory_id IS NOT NULL AND lh IS NOT DISTINCT FROM pushed THEN 'update' WHEN local_memory_id IS NOT NULL THEN 'conflict' WHEN link_id IS NOT NULL THEN 'link' ELSE 'import' END AS action FROM j)
+  SELECT gid AS gateway_memory_id, action, CASE WHEN action <> 'rejected' THEN COALESCE(local_memory_id, CASE WHEN action = 'link' THEN link_id END) END AS local_memory_id FROM k""")
+def pull_plan(spark, d):
+    i = F.col("doc_id")
+    x = docs(spark, d)
+    remote = x.select(F.when(i % 13 != 5, F.concat(F.lit("g"), i.cast("string"))).alias("gateway_memory_id"), F.when(i % 7 != 2, i % 9).alias("server_revision"), (i % 10 == 1).alias("tombstone"), F.sha2(F.when(i % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("?"))), 256).alias("content_hash"))
+    local = x.select(i.cast("string").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return Y.pull_plan(remote, _mapping(spark, d), local)
+
+
+@query("""SELECT conv_id, string_agg('## Ammendment ' || n || chr(10) || text, CASE WHEN FALSE THEN '' ELSE chr(10) || chr(10) END ORDER BY n) AS content, COUNT(*) AS version FROM
+  (SELECT conv_id, regexp_replace(text, '\\s+$', '') AS text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) GROUP BY conv_id""")
+def working_append(spark, d):
+    turns = S.table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", r"\s+$", ""))
+    return H.append_context(turns, "conv_id", "turn", "text").select("conv_id", "content", "version")
+
+
+@query(f"""WITH {M}, {C} SELECT id, concept_type, id AS title, CASE WHEN length(content) > 160 THEN left(content, 160) || '…' ELSE content END AS preview, status FROM memories JOIN concepts ON id = memory_id WHERE superseded_by IS NULL AND list_contains(tags, 'src5')""")
+def index_view(spark, d):
+    rows = B.index_rows(S.memories(spark, d), S.concepts(spark, d), F.lit("2024-06-01"), tag="src5")
+    return rows.select("id", "concept_type", "title", "preview", "status")
