@@ -15,7 +15,8 @@ from mnemospark.functions.predicates import has_secret
 
 MAX_DOCUMENT, MAX_FRONTMATTER, MAX_DEPTH, MAX_ITEMS, MAX_TAGS, MAX_ALIASES = 1 << 20, 128 << 10, 32, 10_000, 256, 64
 KNOWN = ["id", "type", "title", "description", "resource", "tags", "status", "project", "scope", "memory_type", "stale_after", "sources", "verified", "generated", "metadata"]
-PARSED = T.StructType.fromDDL("id string, type string, title string, description string, resource string, tags array<string>, status string, project string, memory_type string, stale_after string, sources string, verified string, extensions string, body string, error string")
+_FIELDS = ["id", "type", "title", "description", "resource", "tags", "status", "project", "memory_type", "stale_after", "sources", "verified", "extensions", "body", "error"]
+PARSED = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "tags" else T.StringType()) for n in _FIELDS])
 
 
 def _measure(value, depth: int = 0) -> int:
