@@ -184,13 +184,16 @@ def rest_groups(mask: int) -> list[int]:
 def links(prints: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
     """Pairs (a < b) of the distinct fingerprints ``prints.fp`` within RADIUS bits."""
 
+    def flip(key: Column):
+        return lambda m: key.bitwiseXOR(m)
+
     def keyed(flips: bool) -> DataFrame:
         out = []
         for k, (mask, radius) in enumerate(plan):
             key: Column = F.col("fp").bitwiseAND(F.lit(signed(mask)))
             if flips and radius:
                 masks = F.array(*map(F.lit, masks_within(mask, radius)))
-                key = F.explode(F.transform(masks, lambda m, key=key: key.bitwiseXOR(m)))
+                key = F.explode(F.transform(masks, flip(key)))
             out.append(prints.select("fp", F.lit(k).alias("part"), key.alias("key")))
         return out[0] if len(out) == 1 else union_all(out)
 
