@@ -149,30 +149,158 @@ class Prefixes:
         return out[::-1]
 
 
+class Batch:
+    """The same prefixes for many pieces at a time, one byte position of all pieces a step.
+
+    An automaton over the tokens' bytes gives the longest token that ends at a position; each
+    token knows the next shorter one that ends likewise. The first of them that may follow the
+    last token before it is the prefix's last token.
+    """
+
+    LONGEST, SLOTS = 64, 21
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        size = max(vocabulary.tokens) + 1
+        self.size = np.zeros(size, np.int32)
+        nodes, step, token_at = {b"": 0}, [], [-1]
+        for token, data in sorted(vocabulary.tokens.items()):
+            self.size[token] = len(data)
+            for k in range(1, len(data) + 1):
+                if data[:k] not in nodes:
+                    nodes[data[:k]] = len(nodes)
+                    token_at.append(-1)
+            if vocabulary.whole(token):
+                token_at[nodes[data]] = token
+        step = np.zeros((len(nodes), 256), np.int32)
+        own = np.zeros((len(nodes), 256), bool)
+        for data, node in nodes.items():
+            if data:
+                parent = nodes[data[:-1]]
+                step[parent, data[-1]], own[parent, data[-1]] = node, True
+        fail, longest = np.zeros(len(nodes), np.int32), np.array(token_at, np.int32)
+        self.shorter = np.full(size, -1, np.int32)
+        for data, node in sorted(nodes.items(), key=lambda x: len(x[0])):
+            if len(data) > 1:  # what follows the longest proper suffix that is a node
+                fail[node] = step[fail[nodes[data[:-1]]], data[-1]]
+            behind = longest[fail[node]] if data else -1
+            if longest[node] >= 0:
+                self.shorter[longest[node]] = behind
+            else:
+                longest[node] = behind
+            if data:
+                step[node] = np.where(own[node], step[node], step[fail[node]])
+        self.step, self.longest = step.ravel(), longest
+        # what is known of pairs: a slot each, the newest pair wins
+        self.pair, self.ok = np.full(1 << self.SLOTS, -1, np.int64), np.zeros(1 << self.SLOTS, bool)
+
+    def may_follow(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        code = first.astype(np.int64) << 32 | second
+        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.ok[slot]
+        miss = np.flatnonzero(self.pair[slot] != code)
+        if len(miss):
+            fresh, back = np.unique(code[miss], return_inverse=True)
+            known = np.array([self.vocabulary.may_follow(int(c) >> 32, int(c) & 0xFFFFFFFF) for c in fresh])
+            out[miss] = known[back]
+            self.pair[slot[miss]], self.ok[slot[miss]] = code[miss], out[miss]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece (of 1 to ``LONGEST`` bytes)."""
+        sizes = np.array([len(p) for p in pieces])
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        data = np.frombuffer(b"".join([pieces[i].ljust(self.LONGEST, b"\0") for i in order]), np.uint8).reshape(-1, self.LONGEST)
+        last = np.full((len(pieces), int(sizes[0]) + 1), -1, np.int32)
+        state = np.zeros(len(pieces), np.int64)
+        for end in range(1, int(sizes[0]) + 1):
+            alive = int(np.searchsorted(-sizes, -end, side="right"))
+            state = self.step[state[:alive] * 256 + data[:alive, end - 1]].astype(np.int64)
+            token = self.longest[state]
+            open_ = np.arange(alive)
+            while len(open_):
+                t = token[open_]
+                start = end - self.size[t]
+                before = last[open_, start]
+                good = start == 0
+                inner = np.flatnonzero(~good)
+                good[inner] = self.may_follow(before[inner], t[inner])
+                open_ = open_[~good]
+                token[open_] = self.shorter[token[open_]]
+                if len(open_) and (token[open_] < 0).any():
+                    raise ValueError("no token ends here")
+            last[:alive, end] = token
+        out, at, rows = [], sizes.copy(), np.arange(len(pieces))
+        while len(rows):
+            t = last[rows, at[rows]]
+            out.append((rows, t))
+            at[rows] -= self.size[t]
+            rows = rows[at[rows] > 0]
+        ids: list[list[int]] = [[] for _ in pieces]
+        for rows, t in reversed(out):  # from the front of each piece
+            for i, x in zip(order[rows].tolist(), t.tolist()):
+                ids[i].append(x)
+        return ids
+
+
 class Encoder:
     """Encodes and decodes texts: the pattern's matches one by one, each by its prefixes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.vocabulary, self.pattern, self.memo = Vocabulary(ranks), regex.compile(pattern), {}
-
-    def piece(self, piece: str) -> tuple[list[int], bytes]:
-        """The ids of one match, and their decimal text joined by spaces."""
-        ids = Prefixes(self.vocabulary, piece.encode("utf-8", "replace")).tokens()
-        if len(self.memo) >= MEMO:
+        self.batch = Batch(self.vocabulary)
+        self.table = np.empty(max(self.vocabulary.tokens) + 1, object)
+        for token, data in self.vocabulary.tokens.items():
+            self.table[token] = data
+
+    def learn(self, pieces: set[str]) -> None:
+        """Puts the ids of pieces, and their decimal text joined by spaces, into the memo."""
+        fresh = [p for p in pieces if p not in self.memo]
+        if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
-        self.memo[piece] = got = (ids, b" ".join(b"%d" % i for i in ids))
-        return got
+            fresh = list(pieces)
+        coded = [p.encode("utf-8", "replace") for p in fresh]
+        short = [k for k, c in enumerate(coded) if len(c) <= Batch.LONGEST]
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            for k, ids in zip(part, self.batch.encode([coded[k] for k in part])):
+                self.memo[fresh[k]] = (ids, b" ".join([b"%d" % i for i in ids]))
+        for k, c in enumerate(coded):
+            if len(c) > Batch.LONGEST:
+                ids = Prefixes(self.vocabulary, c).tokens()
+                self.memo[fresh[k]] = (ids, b" ".join([b"%d" % i for i in ids]))
+
+    def pieces(self, texts: list[str | None]) -> Iterable[list[tuple[list[int], bytes]]]:
+        """For each text, its pieces' ids and their decimal text."""
+        find, memo, at = self.pattern.findall, self.memo, 0
+        while at < len(texts):  # as many texts at a time as make about a million characters
+            group, size = [], 0
+            while at + len(group) < len(texts) and (not group or size < 1_000_000):
+                group.append(find(texts[at + len(group)] or ""))
+                size += len(texts[at + len(group) - 1] or "")
+            self.learn(set().union(*group))
+            for found in group:
+                yield [memo[p] for p in found]
+            at += len(group)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return [i for got in self.pieces([text]) for ids, _ in got for i in ids]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(self.table[ids].tolist()) if ids else b""
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
 
-    def pieces(self, text: str | None) -> Iterable[tuple[list[int], bytes]]:
-        memo, piece = self.memo, self.piece
-        return [memo.get(p) or piece(p) for p in self.pattern.findall(text or "")]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        tokens = self.vocabulary.tokens
-        return b"".join([tokens[i] for i in ids])
+def worker_encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The encoder of a Python worker, kept from task to task."""
+    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(ranks, pattern)
+    return _ENCODERS[key]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -180,10 +308,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: list[
     encoders = shared_ranks(docs.sparkSession, ranks_path)
 
     def run(batches):
-        encoder = Encoder(encoders.value, pattern)
+        encoder = worker_encoder(encoders.value, pattern)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            ids = pa.array([encoder.encode(t) for t in texts], pa.list_(pa.int32()))
+            ids = pa.array([[i for x, _ in got for i in x] for got in encoder.pieces(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, "ids"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -203,21 +331,15 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str
     ranks = shared_ranks(docs.sparkSession, ranks_path)
 
     def make():
-        encoder = Encoder(ranks.value, pattern)
-        tokens = encoder.vocabulary.tokens
-        size = max(tokens) + 1
-        table = np.empty(size, object)
-        for rank, token in tokens.items():
-            table[rank] = token
+        encoder = worker_encoder(ranks.value, pattern)
 
         def digest(texts):
             counts, ids_hex, decoded_hex = [], [], []
-            for text in texts:
-                got = encoder.pieces(text)
+            for got in encoder.pieces(texts):
                 ids = [i for x, _ in got for i in x]
                 counts.append(len(ids))
                 ids_hex.append(hashlib.sha256(b" ".join([s for _, s in got])).hexdigest())
-                decoded_hex.append(hashlib.sha256(b"".join(table[ids].tolist()) if ids else b"").hexdigest())
+                decoded_hex.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             return [counts, ids_hex, decoded_hex]
 
         return digest
