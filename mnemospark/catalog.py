@@ -529,3 +529,171 @@ def working_append(spark, d):
 def index_view(spark, d):
     rows = B.index_rows(S.memories(spark, d), S.concepts(spark, d), F.lit("2024-06-01"), tag="src5")
     return rows.select("id", "concept_type", "title", "preview", "status")
+
+
+# --- further scans, joins and state changes ------------------------------------------------
+
+
+@query(f"WITH {M} SELECT id, project, superseded_by FROM memories WHERE id = '17'")
+def point_lookup(spark, d):
+    return S.memories(spark, d).where(F.col("id") == "17").select("id", "project", "superseded_by")
+
+
+@query(f"WITH {M} SELECT id FROM memories ORDER BY updated_at, id LIMIT 100")
+def curation_walk(spark, d):
+    from mnemospark.sources.store import curation_walk as walk
+
+    return walk(S.memories(spark, d), 100).select("id")
+
+
+@query(f"WITH {M} SELECT id, project FROM memories WHERE id IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)")
+def snapshot_by_ids(spark, d):
+    from mnemospark.sources.store import snapshot_rows
+
+    ids = S.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"))
+    return snapshot_rows(S.memories(spark, d), ids).select("id", "project")
+
+
+@query(f"WITH {M} SELECT id FROM memories WHERE superseded_by IS NULL AND project = 'src2'")
+def enrichable_ids(spark, d):
+    return H.enrichable(S.memories(spark, d), "src2")
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00Z' WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN 'someday' END AS s, CASE WHEN event_id % 4 = 0 THEN date_trunc('day', ts) <= TIMESTAMP '2024-01-15' ELSE FALSE END AS a FROM events)
+  SELECT event_id, a AS search_stale, COALESCE(s < '2024-01-15', FALSE) AS index_stale FROM e""")
+def staleness_flags(spark, d):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    k = F.col("event_id") % 4
+    s = F.when(k == 0, F.concat(day, F.lit("T00:00:00Z"))).when(k == 1, day).when(k == 2, "someday")
+    e = S.table(spark, d, "events").select("event_id", s.alias("s"))
+    return e.select("event_id", P.stale_in_search(F.col("s"), F.lit("2024-01-15").cast("timestamp")).alias("search_stale"), P.stale_in_index(F.col("s"), F.lit("2024-01-15")).alias("index_stale"))
+
+
+@query(f"""WITH {M}, q AS (SELECT CAST(vec_id * 3 AS VARCHAR) AS local_memory_id FROM embeddings)
+  SELECT q.local_memory_id FROM q LEFT JOIN memories m ON m.id = q.local_memory_id WHERE m.id IS NULL OR m.superseded_by IS NOT NULL""")
+def pending_deletes(spark, d):
+    queue = S.table(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("local_memory_id"))
+    return H.pending_deletes(queue, S.memories(spark, d)).select("local_memory_id")
+
+
+@query(f"WITH {R} SELECT memory_id, MAX(revision) AS revision, arg_max(operation, revision) AS operation FROM revisions GROUP BY memory_id")
+def current_revision(spark, d):
+    from mnemospark.sources.store import current_revisions
+
+    r = S.revisions(spark, d)
+    heads = r.groupBy("memory_id").agg(F.max("revision").alias("current_revision"))
+    return current_revisions(heads, r).select("memory_id", "revision", "operation")
+
+
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS memory_id, COALESCE(MAX(l.l_linenumber), -1) + 1 AS next_ordinal FROM documents d LEFT JOIN lineitem l ON l.l_orderkey = d.doc_id GROUP BY d.doc_id")
+def next_ordinal(spark, d):
+    sources = S.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("memory_id"), F.col("l_linenumber").cast("bigint").alias("ordinal"))
+    return A.next_ordinal(sources, S.memories(spark, d))
+
+
+@query(f"WITH {E} SELECT src, dst_ref, place FROM (SELECT dst AS src, src AS dst_ref, ROW_NUMBER() OVER (PARTITION BY dst ORDER BY relation, src) AS place FROM edges WHERE dst IS NOT NULL) WHERE place <= 8")
+def context_edges(spark, d):
+    e = S.edges(spark, d).where("dst_memory_id IS NOT NULL").select(F.col("dst_memory_id").alias("src"), F.col("src_memory_id").alias("dst_ref"), "relation")
+    return A.top_per_key(e, "src", ["relation", "dst_ref"], 8).select("src", "dst_ref", "place")
+
+
+@query(f"WITH {M} SELECT id, (ROW_NUMBER() OVER (PARTITION BY project ORDER BY updated_at, id) - 1) // 20 AS chunk FROM memories")
+def list_chunks(spark, d):
+    return A.chunks(S.memories(spark, d), "project", ["updated_at", "id"], 20).select("id", "chunk")
+
+
+@query("""WITH l AS (SELECT page_id, '/memories/' || page_id || '.md' AS target, CASE WHEN page_id IN (SELECT doc_id FROM documents) THEN CAST(page_id AS VARCHAR) END AS dst, 0 AS ordinal FROM pages
+    UNION ALL SELECT page_id, 'memory://project/src' || (page_id % 10) || '/' || page_id, (SELECT CAST(doc_id AS VARCHAR) FROM documents d WHERE d.doc_id = page_id AND d.source = 'src' || (page_id % 10) AND d.source <> 'src0'), 1 FROM pages
+    UNION ALL SELECT page_id, url, NULL, 2 FROM pages)
+  SELECT page_id AS src, target, ordinal, dst FROM l""")
+def link_references(spark, d):
+    p = S.table(spark, d, "pages").withColumn("i", F.col("page_id").cast("string"))
+    body = F.concat(F.lit("see [`one`](/memories/"), "i", F.lit(".md) and [two](memory://project/src"), (F.col("page_id") % 10).cast("string"), F.lit("/"), "i", F.lit(") or <"), "url", F.lit(">, not ![x](y.png)"))
+    links = p.select(F.col("page_id").alias("src"), F.explode(X.inline_links(body)).alias("l")).select("src", "l.target", "l.ordinal")
+    return H.resolve_references(links, S.memories(spark, d)).select("src", "target", "ordinal", "dst")
+
+
+@query("SELECT page_id, replace(url_encode(url || ' ~é*'), '+', '%20') AS encoded, url || ' ~é*' AS decoded FROM pages")
+def percent_codec(spark, d):
+    text = F.concat("url", F.lit(" ~é*"))
+    encoded = X.percent_encode(text)
+    return S.table(spark, d, "pages").select("page_id", encoded.alias("encoded"), X.percent_decode(encoded).alias("decoded"))
+
+
+@query(f"""WITH {M} SELECT a.id, len(list_filter(b.tags, lambda x: list_contains(a.tags, x))) AS shared, abs(date_diff('second', b.updated_at, a.updated_at)) // 86400 <= 14 AS near FROM memories a JOIN memories b ON b.doc_id = a.doc_id + 1""")
+def tag_overlap_days(spark, d):
+    m = S.memories(spark, d)
+    n = m.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tags").alias("tags_b"), F.col("updated_at").alias("at_b"))
+    return m.join(n, "doc_id").select("id", X.tag_overlap(F.col("tags"), F.col("tags_b")).alias("shared"), X.within_days(F.col("updated_at"), F.col("at_b")).alias("near"))
+
+
+@query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'global' ELSE lang END AS wire, 'Type: ' || lang || ', tags: -' AS prompt, replace(text, '\"', '&quot;') AS attribute FROM documents")
+def wire_and_prompt(spark, d):
+    project = F.when(F.col("source") == "src0", "__global__").otherwise(F.col("source"))
+    prompt = X.fill_template("Type: {{type}}, tags: {{tags}}", {"type": F.col("lang"), "tags": F.lit(None).cast("string")})
+    return docs(spark, d).select("doc_id", X.wire_type(F.col("lang"), project).alias("wire"), prompt.alias("prompt"), X.escape_attribute(F.col("text")).alias("attribute"))
+
+
+@query(f"WITH {_FUSED} SELECT doc_id AS id, COUNT(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM mq) WHERE r <= 10 GROUP BY doc_id")
+def access_log(spark, d):
+    return V.access_increments(L.top_k(_fused(spark, d), "doc_id", 10).withColumnRenamed("doc_id", "id"))
+
+
+@query(f"""WITH {M}, {_FUSED}, t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM mq)
+  SELECT t.query_id, COUNT(*) FILTER (WHERE m.project <> '__global__' AND m.project <> a.current_project) AS n_other_projects, COUNT(*) FILTER (WHERE m.project = '__global__') AS n_global
+  FROM t JOIN memories m ON m.doc_id = t.doc_id JOIN asked a ON a.query_id = t.query_id WHERE r <= 10 GROUP BY t.query_id""")
+def result_hints(spark, d):
+    rows = S.memories(spark, d).select("doc_id", "project")
+    top = L.top_k(_fused(spark, d), "doc_id", 10).join(rows, "doc_id").join(S.search_queries(spark, d).select("query_id", "current_project"), "query_id")
+    return V.result_hints(top.withColumn("section", V.section(F.col("project"), F.col("current_project"))))
+
+
+@query(f"""WITH {C} SELECT memory_id, CASE WHEN CAST(memory_id AS BIGINT) % 9 = 0 THEN 'deprecated' ELSE status END AS status, CASE WHEN CAST(memory_id AS BIGINT) % 9 = 0 THEN '{{"deprecated_reason":"old"}}' END AS extensions FROM concepts""")
+def deprecate_reasons(spark, d):
+    c = S.concepts(spark, d)
+    reasons = c.where(F.col("memory_id").cast("bigint") % 9 == 0).select("memory_id", F.lit("old").alias("reason"))
+    return D.deprecate(c, reasons).select("memory_id", "status", "extensions")
+
+
+@query(f"""WITH {M} SELECT id, CASE WHEN doc_id % 4 = 0 THEN content || '!' ELSE content END AS content, CASE WHEN doc_id % 4 = 0 THEN content END AS content_raw, CASE WHEN doc_id % 4 <> 0 THEN superseded_by END AS superseded_by FROM memories""")
+def content_update(spark, d):
+    m = S.memories(spark, d)
+    up = m.where("doc_id % 4 = 0").select("id", F.concat("content", F.lit("!")).alias("new_content"))
+    return H.update_content(m, up, F.lit("2024-06-01").cast("timestamp")).select("id", "content", "content_raw", "superseded_by")
+
+
+@query(f"""WITH {M} SELECT id, CASE WHEN project = 'src1' AND superseded_by IS NULL THEN 'moved' ELSE project END AS project, 'kept' AS kind FROM memories
+  UNION ALL SELECT left(sha256(id || '|copied'), 36), 'copied', 'copy' FROM memories WHERE project = 'src2' AND superseded_by IS NULL
+  UNION ALL SELECT id, 'memory://project/src1/' || id, 'alias' FROM memories WHERE project = 'src1' AND superseded_by IS NULL""")
+def move_copy(spark, d):
+    m = S.memories(spark, d)
+    moved, aliases = H.move(m, "src1", "moved")
+    copies, _ = H.copy(m, "src2", "copied", F.lit("2024-06-01").cast("timestamp"))
+    out = moved.select("id", "project", F.lit("kept").alias("kind")).unionByName(copies.select("id", "project", F.lit("copy").alias("kind")))
+    return out.unionByName(aliases.select(F.col("src_memory_id").alias("id"), F.col("dst_ref").alias("project"), F.lit("alias").alias("kind")))
+
+
+@query(f"""WITH {M}, {C}, o AS (SELECT id, CASE doc_id % 5 WHEN 0 THEN 'rewrite' WHEN 1 THEN 'forget' WHEN 2 THEN 'skip' WHEN 3 THEN 'error_refused' END AS outcome FROM memories)
+  SELECT id, CASE WHEN outcome = 'rewrite' THEN left(content, 20) ELSE content END AS content, CASE WHEN outcome IN ('rewrite', 'skip') THEN 'v2' ELSE condenser_version END AS condenser_version FROM memories JOIN o USING (id) WHERE outcome IS NULL OR outcome <> 'forget'""")
+def condense_apply(spark, d):
+    m = S.memories(spark, d)
+    k = F.col("doc_id") % 5
+    o = m.select("id", F.when(k == 0, "rewrite").when(k == 1, "forget").when(k == 2, "skip").when(k == 3, "error_refused").alias("outcome"), F.left("content", F.lit(20)).alias("body"))
+    return D.condense_apply(m, o, "v2", F.lit("2024-06-01").cast("timestamp")).select("id", "content", "condenser_version")
+
+
+@query("""WITH v AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS memory_id, 'human:a' AS actor FROM labels WHERE quality = 1), n AS (SELECT CAST(doc_id AS VARCHAR) AS memory_id, CASE WHEN doc_id % 2 = 0 THEN 'human:a' ELSE 'agent:b' END AS actor FROM documents)
+  SELECT * FROM v UNION SELECT * FROM n""")
+def verification_once(spark, d):
+    have = S.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("memory_id"), F.lit("human:a").alias("actor")).distinct()
+    new = docs(spark, d).select(F.col("doc_id").cast("string").alias("memory_id"), F.when(F.col("doc_id") % 2 == 0, "human:a").otherwise("agent:b").alias("actor"))
+    return H.record_verification(have, new)
+
+
+@query(f"""WITH {M}, r AS (SELECT id, CASE WHEN doc_id % 2 = 0 THEN content ELSE content || '?' END AS body, project, memory_type, tags FROM memories)
+  SELECT r.id FROM r WHERE EXISTS (SELECT 1 FROM memories m WHERE m.content = r.body AND m.project = r.project AND m.memory_type = r.memory_type AND list_sort(m.tags) = list_sort(r.tags))""")
+def retained_history(spark, d):
+    m = S.memories(spark, d)
+    kept = H.with_hash(m).select(F.col("id").alias("memory_id"), "snapshot_json")
+    remote = m.select("id", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise(F.concat("content", F.lit("?"))).alias("content"), "project", "memory_type", "tags")
+    return Y.retained_history(remote, kept).select("id")

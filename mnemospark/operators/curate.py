@@ -273,3 +273,82 @@ def pass_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("processed"), *(F.count_if(F.col("outcome") == n).alias(n) for n in names))
 
 
+
+
+def condense_apply(memories: DataFrame, outcomes: DataFrame, version: str, now: Column) -> DataFrame:
+    """Memories after condensation replies (id, outcome, body): rewritten, forgotten, or stamped as kept.
+
+    A reply that is too long keeps its row; other errors leave the row without a stamp.
+    """
+    j = memories.join(outcomes.select("id", "outcome", F.col("body").alias("new_body")), "id", "left")
+    rewritten, kept = F.col("outcome") == "rewrite", F.col("outcome").isin("skip", "error_too_long")
+    new = {
+        "content_raw": F.when(rewritten, F.coalesce("content_raw", "content")).otherwise(F.col("content_raw")),
+        "content": F.when(rewritten, F.col("new_body")).otherwise(F.col("content")),
+        "condenser_version": F.when(rewritten | kept, F.lit(version)).otherwise(F.col("condenser_version")),
+        "updated_at": F.when(rewritten, now).otherwise(F.col("updated_at")),
+    }
+    left = j.where(F.col("outcome").isNull() | (F.col("outcome") != "forget"))
+    return left.select(*((new[c] if c in new else F.col(c)).alias(c) for c in memories.columns))
+
+
+def replace(memories: DataFrame, concepts: DataFrame, replacements: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memories, concepts, edges) after (id, new_body): each source goes, a new row with its concept comes.
+
+    The new row's id follows from the old one's; edges derived_from and supersedes lead to the old address.
+    """
+    from mnemospark.functions.text import canonical_uri
+    from mnemospark.operators.revisions import carry_concepts
+
+    fresh = F.left(F.sha2(F.concat_ws("|", F.lit("replaced"), "id"), 256), F.lit(36))
+    j = memories.join(replacements, "id")
+    new = {"id": fresh, "content": F.col("new_body"), "created_at": now, "updated_at": now, "access_count": F.lit(0).cast("bigint"), "content_raw": F.lit(None).cast("string")}
+    rows = j.select(*((new[c] if c in new else F.col(c)).alias(c) for c in memories.columns))
+    mapping = j.select("id", fresh.alias("new_id"))
+    edges = j.select(fresh.alias("src_memory_id"), canonical_uri(F.col("id"), F.col("project")).alias("dst_ref"), F.explode(F.array(F.lit("derived_from"), F.lit("supersedes"))).alias("relation"))
+    ids = replacements.select("id")
+    return memories.join(ids, "id", "left_anti").unionByName(rows), carry_concepts(concepts, mapping), edges
+
+
+def curation_pass(memories: DataFrame, state: DataFrame, version: str, now: Column, replies: DataFrame | None = None, limit: int = 0, full: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memories, state, summary) of one pass: candidates, exact dedup, condensation replies, stamps.
+
+    replies: (id, response). The limit counts over all projects. Without replies only duplicates go.
+    """
+    from mnemospark.functions.predicates import curation_candidates
+    from mnemospark.operators.revisions import supersede
+
+    due = curation_candidates(memories, state, version, full).orderBy("updated_at", "id")
+    due = (due.limit(limit) if limit else due).select("id", "project", "content", "content_raw")
+    doubles = exact_duplicates(memories).join(due.select(F.col("id").alias("older")), "older", "left_semi")
+    after = supersede(memories, doubles)
+    if replies is None:
+        outcomes = due.select("id", F.lit("skip").alias("outcome"), F.lit(None).cast("string").alias("body"))
+    else:
+        alive = due.join(doubles.select(F.col("older").alias("id")), "id", "left_anti")
+        j = alive.join(replies, "id")
+        outcomes = j.select("id", condense_outcome(F.col("response"), F.col("content"), F.coalesce("content_raw", "content")).alias("outcome"), strip_code_fence(F.col("response")).alias("body"))
+    stamped = condense_apply(after, outcomes, version, now)
+    seen = due.select(F.coalesce("project", F.lit("__null__")).alias("project")).distinct().withColumn("at", now)
+    new_state = state.join(seen, "project", "full_outer").select("project", F.coalesce("at", "last_dream_at").alias("last_dream_at"))
+    return stamped, new_state, pass_summary(outcomes)
+
+
+class SingleRun:
+    """A lock on the driver's machine: ``with SingleRun(path) as free`` tells whether no other run holds it."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.file = path, None
+
+    def __enter__(self) -> bool:
+        import fcntl
+
+        self.file = open(self.path, "a")
+        try:
+            fcntl.flock(self.file, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError:
+            return False
+        return True
+
+    def __exit__(self, *_) -> None:
+        self.file.close()

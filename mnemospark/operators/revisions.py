@@ -188,3 +188,33 @@ def latest(spark: SparkSession, root: str, name: str) -> DataFrame:
     base = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
     done = [int(s.getPath().getName()[5:]) for s in base.getFileSystem(conf).listStatus(base) if s.getPath().getName().startswith("done_")]
     return spark.read.parquet(f"{root}/{name}/data_{max(done)}")
+
+
+def carry_concepts(concepts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``concepts`` and, for each (id, new_id), the old one's description under the new id.
+
+    Type, title, description, resource, status, staleness and extensions carry over; the revision starts anew.
+    """
+    j = concepts.join(mapping, concepts["memory_id"] == mapping["id"])
+    new = {"memory_id": F.col("new_id"), "current_revision": F.lit(1).cast("bigint"), "virtual_path": F.concat(F.lit("memories/"), "new_id", F.lit(".md")), "generated_by": F.lit(None).cast("string"), "generated_at": F.lit(None).cast("string")}
+    return concepts.unionByName(j.select(*((new[c] if c in new else F.col(c)).alias(c) for c in concepts.columns)))
+
+
+def enrichable(memories: DataFrame, project: str | None = None) -> DataFrame:
+    """Ids of live rows, of one project if given, the earliest first."""
+    rows = memories.where(F.col("superseded_by").isNull())
+    return (rows if project is None else rows.where(F.col("project") == project)).orderBy("created_at", "id").select("id")
+
+
+def resolve_references(links: DataFrame, memories: DataFrame) -> DataFrame:
+    """Links (src, target) with ``dst``: the memory that a local reference names, if it exists.
+
+    A canonical address must name the memory's own scope exactly.
+    """
+    from mnemospark.functions.text import canonical_uri, reference_id
+
+    known = memories.select(F.col("id").alias("known_id"), canonical_uri(F.col("id"), F.col("project")).alias("uri"))
+    j = links.withColumn("candidate", reference_id(F.col("target"))).join(known, F.col("candidate") == F.col("known_id"), "left")
+    bare = F.regexp_extract("target", r"^([^#?]*)", 1)
+    ok = F.col("known_id").isNotNull() & (~F.col("target").startswith("memory://") | (bare == F.col("uri")))
+    return j.withColumn("dst", F.when(ok, F.col("known_id"))).drop("candidate", "known_id", "uri")
