@@ -304,7 +304,7 @@ def porter_tokens(texts: pd.Series) -> pd.Series:
 
 def simple_tokens(c: Column) -> Column:
     """Lower-case runs of ASCII letters and digits: the tokenizer that SQL can state."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
 
 
 def inline_links(body: Column) -> Column:

@@ -12,6 +12,8 @@ from mnemospark.functions.text import searchable_text, segments, simple_tokens
 
 K1, B = 1.2, 0.75
 MAX_QUERY_CHARS, MAX_QUERY_TOKENS = 4096, 64
+#: Rows of (query, term) that may be sent to every task; of more, joins shuffle.
+BROADCAST_ROWS = 200_000
 OPERATORS = {"AND", "OR", "NOT", "NEAR"}
 
 
@@ -34,7 +36,8 @@ def normalise_query(query: str) -> list[str]:
 def term_rows(rows: DataFrame, keys: list[str], text: str, tokens=simple_tokens) -> DataFrame:
     """keys, len, term: one row for each token."""
     t = tokens(F.col(text))
-    return rows.select(*keys, t.alias("ts")).select(*keys, F.size("ts").cast("bigint").alias("len"), F.explode("ts").alias("term"))
+    # the outer form: the plain one makes the planner test the tokens first, by splitting each text twice
+    return rows.select(*keys, t.alias("ts")).select(*keys, F.size("ts").cast("bigint").alias("len"), F.explode_outer("ts").alias("term"))
 
 
 def postings(rows: DataFrame, keys: list[str], text: str, tokens=simple_tokens, wanted: DataFrame | None = None) -> DataFrame:
@@ -45,6 +48,8 @@ def postings(rows: DataFrame, keys: list[str], text: str, tokens=simple_tokens,
     terms = term_rows(rows, keys, text, tokens)
     if wanted is not None:
         terms = terms.join(wanted, "term", "left_semi")
+    else:
+        terms = terms.where(F.col("term").isNotNull())
     return terms.groupBy(*keys, "term", "len").agg(F.count("*").alias("tf"))
 
 
@@ -67,12 +72,17 @@ def bm25(rows: DataFrame, keys: list[str], text: str, queries: DataFrame, match_
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = asked.select("term").distinct()
+    # a batch's (query, term) rows are counted, and sent to the tasks only if they are few; more
+    # of them are joined by a shuffle
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        wanted = F.broadcast(wanted)
     hits = postings(rows, keys, text, tokens, wanted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_statistics(rows, text, tokens)
     weights = df.join(F.broadcast(stats)).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     per_query = asked.join(weights, "term")
-    scored = hits.join(per_query, "term")
+    scored = hits.join(F.broadcast(per_query) if few else per_query, "term")
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     out = scored.groupBy("query_id", *keys).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
