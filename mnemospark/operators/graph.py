@@ -82,7 +82,7 @@ def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 def project_edges(edges: DataFrame, documents: DataFrame, declared: DataFrame, links: DataFrame, citations: DataFrame) -> DataFrame:
     """The edges after documents (memory_id) were put: their three producers' edges made anew."""
-    producers = ["okf-document", "okf-markdown", "okf-sources"]
+    producers = ["document", "markdown", "sources"]
     put = documents.select(F.col("memory_id").alias("src_memory_id")).distinct()
     old = edges.where(F.col("producer").isin(producers)).join(put, "src_memory_id", "left_semi").select("id")
     kept = edges.join(old, "id", "left_anti")
