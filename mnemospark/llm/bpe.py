@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from mnemospark.llm.common import append_columns
 
-#: A memo of encoded pieces is emptied when it holds so many.
-MEMO = 300_000
+#: A memo, of encoded pieces or of valid pairs, is emptied when it holds so many.
+MEMO = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -248,14 +248,16 @@ class Encoder:
     """Encodes and decodes texts: the pattern's matches one by one, each by its prefixes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.vocabulary, self.pattern, self.memo = Vocabulary(ranks), regex.compile(pattern), {}
-        self.batch = Batch(self.vocabulary)
-        self.table = np.empty(max(self.vocabulary.tokens) + 1, object)
+        self.vocabulary, self.pattern, self.batch = Vocabulary(ranks), regex.compile(pattern), None
+        self.memo: dict[str, bytes] = {}  # a piece's ids as 32-bit numbers
+        size = max(self.vocabulary.tokens) + 1
+        self.bytes_of, self.decimal_of = np.empty(size, object), np.empty(size, object)
         for token, data in self.vocabulary.tokens.items():
-            self.table[token] = data
+            self.bytes_of[token], self.decimal_of[token] = data, b"%d" % token
+        self.batch = Batch(self.vocabulary)
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the ids of pieces, and their decimal text joined by spaces, into the memo."""
+        """Puts the ids of pieces into the memo."""
         fresh = [p for p in pieces if p not in self.memo]
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
@@ -265,30 +267,34 @@ class Encoder:
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
             for k, ids in zip(part, self.batch.encode([coded[k] for k in part])):
-                self.memo[fresh[k]] = (ids, b" ".join([b"%d" % i for i in ids]))
+                self.memo[fresh[k]] = np.array(ids, "<i4").tobytes()
         for k, c in enumerate(coded):
             if len(c) > Batch.LONGEST:
-                ids = Prefixes(self.vocabulary, c).tokens()
-                self.memo[fresh[k]] = (ids, b" ".join([b"%d" % i for i in ids]))
+                self.memo[fresh[k]] = np.array(Prefixes(self.vocabulary, c).tokens(), "<i4").tobytes()
 
-    def pieces(self, texts: list[str | None]) -> Iterable[list[tuple[list[int], bytes]]]:
-        """For each text, its pieces' ids and their decimal text."""
-        find, memo, at = self.pattern.findall, self.memo, 0
+    def encode_all(self, texts: list[str | None]) -> Iterable[np.ndarray]:
+        """The ids of each text."""
+        find, at = self.pattern.findall, 0
         while at < len(texts):  # as many texts at a time as make about a million characters
             group, size = [], 0
             while at + len(group) < len(texts) and (not group or size < 1_000_000):
                 group.append(find(texts[at + len(group)] or ""))
                 size += len(texts[at + len(group) - 1] or "")
             self.learn(set().union(*group))
+            get = self.memo.__getitem__
             for found in group:
-                yield [memo[p] for p in found]
+                yield np.frombuffer(b"".join(map(get, found)), "<i4")
             at += len(group)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for got in self.pieces([text]) for ids, _ in got for i in ids]
+        return next(iter(self.encode_all([text]))).tolist()
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        return b"".join(self.bytes_of[np.asarray(ids, np.int64)].tolist())
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.table[ids].tolist()) if ids else b""
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by spaces."""
+        return b" ".join(self.decimal_of[ids].tolist())
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -311,7 +317,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: list[
         encoder = worker_encoder(encoders.value, pattern)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            ids = pa.array([[i for x, _ in got for i in x] for got in encoder.pieces(texts)], pa.list_(pa.int32()))
+            ids = pa.array(list(encoder.encode_all(texts)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, "ids"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -335,10 +341,9 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str
 
         def digest(texts):
             counts, ids_hex, decoded_hex = [], [], []
-            for got in encoder.pieces(texts):
-                ids = [i for x, _ in got for i in x]
+            for ids in encoder.encode_all(texts):
                 counts.append(len(ids))
-                ids_hex.append(hashlib.sha256(b" ".join([s for _, s in got])).hexdigest())
+                ids_hex.append(hashlib.sha256(encoder.decimal(ids)).hexdigest())
                 decoded_hex.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             return [counts, ids_hex, decoded_hex]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -21,6 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker or driver keeps what it once took otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read from there.
 
@@ -114,6 +126,8 @@ def append_columns(
                 arrays = [part.column(columns.index(c)) for c in keep]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(got, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+        del compute
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, T.StructType(fields))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemospark.llm.common import Adam, append_columns, labelled_sample, sigmoid
+from mnemospark.llm.common import Adam, append_columns, labelled_sample, release_memory, sigmoid
 
 WIDTH, STRIDE, HALF, FILTERS, HIDDEN = 16, 4, 64, 16, 8
 #: Of the labelled texts, at most so many of each class are learned from; the rest of the
@@ -172,7 +172,9 @@ def scorer(model: dict):
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict:
     """The model learned from the labelled documents outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "quality", 5, per_class)[0])
+    model = train(labelled_sample(docs, labels, "quality", 5, per_class)[0])
+    release_memory()
+    return model
 
 
 def score_quality(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
