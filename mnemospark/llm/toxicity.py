@@ -3,7 +3,8 @@
 A word's input is its learned word vector (for words of the training sample's vocabulary)
 beside the mean of its hashed character n-gram vectors, so unseen spellings also count. All
 windows of ``LENGTH`` words, overlapping by half, over the whole text are scored; a text's
-score comes from its highest window through a fitted logistic curve.
+score comes from its highest window through a fitted logistic curve. Long runs without
+spaces are read as overlapping pieces, each a word.
 
 Nulls and empty texts are one window of padding. Without labelled rows of both classes the
 score is the labels' rate of 1 (0 with none).
@@ -22,6 +23,8 @@ LENGTH, HALF, STATE, WORD, CHAR, BUCKETS, VOCABULARY = 16, 8, 8, 6, 6, 8192, 600
 #: At most so many labelled texts of each class are learned from.
 SAMPLE_PER_CLASS = 1200
 ROUNDS, MEMO, LEAST, UNSEEN = 8, 120_000, 3, 0.1
+#: Longer tokens are read as pieces of so many characters, each half over the next.
+LONGEST, PIECE = 40, 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 THRESHOLD = 0.5
 
@@ -30,10 +33,9 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of all words, end to end, and how many each word has.
 
     Every trigram of the bounded word ``^word$``, its starts of 4 to 8 characters and its
-    ends of 4 and 5. Each word has one at least; words are read up to 40 characters here,
-    as the word itself is looked up whole.
+    ends of 4 and 5. Each word has one at least.
     """
-    bounded = [f"^{w[:40]}$" if w else "^^$" for w in words]
+    bounded = [f"^{w}$" if w else "^^$" for w in words]
     points = np.frombuffer("".join(bounded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, bounded), np.int64, len(bounded))
     begin = np.cumsum(sizes) - sizes
@@ -70,14 +72,24 @@ def char_means(words: list[str], chars: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
 def cleaned(token: str) -> str:
     return token.strip(PUNCTUATION)
 
 
+def words_of(text: str | None) -> list[str]:
+    """The text's tokens; those longer than ``LONGEST`` characters as overlapping pieces, so all of them is read."""
+    words = (text or "").lower().split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST or len(cleaned(w)) <= LONGEST:
+            out.append(w)
+        else:
+            out += [w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out
+
+
 class Lexicon:
     """Rows of word and character inputs for raw tokens; a memo that is emptied when full."""
 

@@ -53,6 +53,21 @@ def test_toxicity_on_held_out_rows_and_odd_texts(labelled):
     assert ((odd >= 0) & (odd <= 1)).all() and abs(odd[0] - odd[1]) < 1e-6 and abs(odd[-1] - odd[-2]) < 1e-6
 
 
+def test_toxicity_reads_long_tokens_to_their_end():
+    run = "".join(chr(97 + k * k % 26) for k in range(997))
+    pieces = toxicity.words_of(f"ab {run} cd")
+    rebuilt = pieces[1] + "".join(p[toxicity.PIECE // 2 :] for p in pieces[2:-1])
+    assert pieces[0] == "ab" and pieces[-1] == "cd" and rebuilt == run
+    assert toxicity.words_of("-" * 60 + "word") == ["-" * 60 + "word"]
+    rng = np.random.default_rng(4)
+    clean = lambda: "".join(rng.choice(["calm", "green", "river", "stone", "window", "paper"], 12))
+    rows = [(clean() + "grobfoul" * y + clean(), y) for y in (0, 1) * 60]
+    f = toxicity.scorer(toxicity.train(rows))
+    first = clean()
+    toxic, mild = f([first + clean() + "grobfoul", first + clean() + clean()])[0]
+    assert toxic > 0.5 > mild
+
+
 def test_classifiers_without_labels_of_both_classes():
     for m in (quality, toxicity):
         assert m.scorer(m.train([]))([None, "a"])[0].shape == (2,)
