@@ -8,7 +8,8 @@ transition counts a phrase and starts the next one, so whole batches of texts ar
 numpy, one step for all texts at a time.
 
 Letters are lower-cased; everything else counts as one space. Texts are parsed whole, in
-segments of ``SEGMENT`` letters that each begin a phrase. Nulls and texts without a letter
+segments of ``SEGMENT`` letters that each begin a phrase. Every language keeps all its training
+letters; phrases against shorter texts are scaled by what less text costs the longest. Nulls and texts without a letter
 are ``und`` with score 0, as is everything if there is nothing to learn from. Ties go to the
 language that sorts first. The score is the winner's share of a softmax over the languages'
 phrases per letter.
@@ -129,9 +130,29 @@ def train(texts: dict[str, list[str]], letters_each: int = LETTERS) -> dict:
                 parts.append(got)
                 total += len(got)
         coded[language] = np.concatenate(parts) if parts else coder.encode(own[0])[:letters_each]
-    shortest = max(500, min(map(len, coded.values())))  # equal amounts: more text means longer matches
     languages = sorted(coded)
-    return {"languages": languages, "alphabet": alphabet, "tables": [parser_table(coded[x][:shortest], coder.size) for x in languages]}
+    scales = length_scales([coded[x] for x in languages], coder.size)
+    return {"languages": languages, "alphabet": alphabet, "scales": scales, "tables": [parser_table(coded[x], coder.size) for x in languages]}
+
+
+def length_scales(references: list[np.ndarray], alphabet: int) -> list[float]:
+    """What each language's phrases per letter are multiplied by: more text means longer matches.
+
+    The phrases per letter that the longest references need for text of their own language, cut
+    from their ends, with all the rest learned, to those with only as many letters learned.
+    References within a tenth of the longest are taken as equally long.
+    """
+    longest = max(map(len, references))
+    if all(10 * len(r) >= 9 * longest for r in references):
+        return [1.0] * len(references)
+    probes = [(r[: -len(r) // 10], r[-len(r) // 10 :]) for r in references if 10 * len(r) >= 9 * longest][:3]
+
+    def needed(length: int) -> float:
+        got = [phrases(np.append(x, 0), np.array([0]), np.array([len(x)]), parser_table(r[:length], alphabet))[0] / len(x) for r, x in probes]
+        return float(np.mean(got))
+
+    whole = needed(longest)
+    return [1.0 if 10 * len(r) >= 9 * longest else min(1.0, whole / needed(len(r))) for r in references]
 
 
 def phrases(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -172,7 +193,7 @@ def classifier(model: dict):
                 got = np.empty(len(spans))
                 got[order] = phrases(symbols, starts[order], spans[order], table)
                 np.add.at(cost[:, k], owner, got)
-        cost /= np.maximum(sizes, 1)[:, None]
+        cost *= np.array(model["scales"]) / np.maximum(sizes, 1)[:, None]
         lettered = np.zeros(len(texts), bool)
         for i, c in enumerate(coded):
             lettered[i] = bool((c != 0).any())

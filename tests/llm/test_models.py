@@ -126,6 +126,21 @@ def test_langid_odd_texts():
     assert langid.classifier(langid.train({}))(["x"]) == [["und"], [0.0]]
 
 
+def test_a_rare_language_leaves_the_others_whole():
+    rows = duckdb.connect().execute(f"SELECT lang, text, doc_id FROM '{DATA}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    texts = {}
+    for lang, t, d in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            texts.setdefault(lang, []).append(t)
+    held = [(lang, t[:300]) for lang, t, d in rows if zlib.crc32(str(d).encode()) % 4 == 2]
+    right = lambda m: np.mean([a == b for a, (b, _) in zip(langid.classifier(m)([t for _, t in held])[0], held)])
+    without, rare = langid.train(texts, 10_000), langid.train(texts | {"zz": ["zaq wox vuk " * 30]}, 10_000)
+    sizes = {k: len(v) for k, v in zip(rare["languages"], rare["tables"])}
+    assert all(sizes[k] == len(v) for k, v in zip(without["languages"], without["tables"]))
+    assert right(rare) >= right(without) - 0.01
+    assert langid.classifier(rare)(["vuk zaq wox vuk zaq"])[0] == ["zz"]
+
+
 def test_langid_learns_only_from_its_fold(spark):
     rows = [(i, "abc", "xx") for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2] + [(None, "abc", "yy"), (1, None, "zz"), (3, "abc", None)]
     assert langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")) == {}
