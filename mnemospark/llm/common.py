@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
+
+from mnemospark.plans import lineage
 
 #: White space of the contracts' words ``[^\x20\x09-\x0D]+``.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
@@ -34,16 +36,8 @@ def release_memory() -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share, and read from there.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset
-    (a local test) a temporary one is made. Survives the loss of executors.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemospark-"))
-    return df.checkpoint(eager=True)
+    """``df`` written to the folder that driver and executors share, and read from there."""
+    return lineage.cut(df)
 
 
 def fold(id_column: Column, modulus: int) -> Column:
@@ -56,14 +50,37 @@ def held_out(id_column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(id_column, modulus) == remainder, F.lit(False))
 
 
+#: Of a sample of texts at most so many bytes are collected for each class or language, and no text over ``TEXT_BYTES``.
+SAMPLE_BYTES, TEXT_BYTES = 24_000_000, 2_000_000
+
+
+def bounded_texts(docs: DataFrame, picked: DataFrame, by: list[str], budget: int = SAMPLE_BYTES) -> DataFrame:
+    """``picked`` (``by``, doc_id: a bounded number of ids) with one text of each id, within ``budget`` bytes for each ``by``.
+
+    Of the texts of a repeated id the one with the least hash counts. Ids are taken in the order of their hash while
+    their texts fit; a text of more than ``TEXT_BYTES`` isn't taken. Only sizes and hashes are put in order; whole
+    texts move once, when they have been chosen.
+    """
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    key = F.xxhash64("text")
+    sized = texts.where(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(picked), "doc_id").select(*by, "doc_id", key.alias("text_key"), F.octet_length("text").alias("size"))
+    one = sized.groupBy(*by, "doc_id").agg(F.min(F.struct("text_key", "size")).alias("t"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    running = F.sum("t.size").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order))
+    fits = one.withColumn("running", running).where(F.col("running") <= budget).select(*by, "doc_id", "t.text_key")
+    # equal rows of an id are one; of two texts with one hash the lesser counts
+    chosen = texts.join(F.broadcast(fits), "doc_id").where(key == F.col("text_key"))
+    return chosen.groupBy(*by, "doc_id").agg(F.min("text").alias("text"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, per_class: int
 ) -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """At most ``per_class`` labelled texts of each class 0/1, picked by a hash of the id.
 
     Only rows whose fold (``fold(doc_id, modulus)``) is not 0 are used; null ids, labels
-    and texts are skipped, repeated ids count once. The sample is a fixed function of the
-    tables, and its size does not depend on theirs, so it may be collected and broadcast.
+    and texts are skipped, repeated ids count once (a repeated label's larger value holds). The sample is a
+    fixed function of the tables; its rows and bytes are bounded whatever their size.
     Beside it: how many usable labels of class 0 and of class 1 there are in all.
     """
     usable = (
@@ -76,27 +93,15 @@ def labelled_sample(
     picked = usable.where("y = 0").orderBy(*order).limit(per_class).unionByName(
         usable.where("y = 1").orderBy(*order).limit(per_class)
     )
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "text", "y")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-        .limit(2 * per_class)
-        .collect()
-    )
+    rows = bounded_texts(docs, picked, ["y"]).orderBy(*order).select("text", "y").collect()
     totals = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     return [(r["text"], int(r["y"])) for r in rows], (totals.get(0, 0), totals.get(1, 0))
 
 
 def picked_texts(docs: DataFrame, count: int) -> DataFrame:
-    """The non-null texts of ``count`` hash-picked doc_ids, a fixed and bounded sample.
-
-    Only ids are ordered; the texts of the picked ids are then read in place, so no task gathers texts.
-    Rows that repeat a picked id come along up to ``count`` rows in all.
-    """
-    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(count).distinct()
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(count)
+    """The texts (doc_id, text) of ``count`` hash-picked doc_ids, a fixed sample with bounded rows and bytes."""
+    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(count)
+    return bounded_texts(docs, ids, [])
 
 
 def append_columns(
@@ -108,13 +113,17 @@ def append_columns(
 ) -> DataFrame:
     """``df`` narrowed to ``keep`` plus the columns ``new``, computed from the column ``text``.
 
+    A column of ``keep`` that is named like a new one (in any case) is replaced by it.
+
     ``make`` runs once in each Python task and returns the function from a list of whole
     texts to one sequence for each new column. Rows stream through in Arrow batches; memory
     is bounded by a batch, whatever the partition holds.
     """
+    made = {n.lower() for n, _ in new}
+    keep = [c for c in keep if c.lower() not in made]
     columns = list(dict.fromkeys([*keep, text]))
     fields = [df.schema[c] for c in keep] + [T.StructField(n, t, True) for n, t in new]
-    types = [{"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[t.simpleString()] for _, t in new]
+    types = [{"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}[t.simpleString()] for _, t in new]
     names = [n for n, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,17 +171,83 @@ def test_lm_statistics_equal_brute_force(spark, monkeypatch, head):
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_lm_probabilities_sum_to_one():
-    stats = lblm.Statistics(1000, 40, 50, [(b"w%d" % i, 60 - i) for i in range(30)])
-    stats.network = lblm.train(stats, ["w1 w2 w3 w4 " * 20, "w5 w6 zz " * 20])
-    k = stats.outputs
-    logs = lblm.log_probabilities(stats.network, np.full(k, 2), np.full(k, 3), np.arange(k))
-    assert abs(np.exp(logs.astype(np.float64)).sum() - 1) < 1e-4
+@pytest.fixture
+def small_lm(monkeypatch):
+    """A model whose words are single, in bands, by ending in the head and by ending outside it, with random weights."""
+    for k, v in {"SINGLE": 4, "BAND": 3, "ENDINGS": 5, "LEAST": 2, "WORDS": 12}.items():
+        monkeypatch.setattr(lblm, k, v)
+    rng = np.random.default_rng(5)
+    head = [(b"w%d" % i, 40 - 2 * i) for i in range(14)]
+    outside = [(b"r%d" % i, 1) for i in range(9)]
+    tokens, distinct = sum(n for _, n in head + outside) + 6, len(head) + len(outside) + 1
+    tail = np.zeros(5)
+    for w, n in outside:
+        tail[lblm.ending(w)] += (n + 0.1) / (tokens + 0.1 * (distinct + 1))
+    stats = lblm.Statistics(tokens, distinct, 6, head, tail)
+    stats.network = {k: rng.normal(0, 0.7, v.shape).astype(np.float32) for k, v in lblm.first_weights(stats).items()}
+    return stats, dict(head + outside)
+
+
+def plain_log10(stats, counts, word, before):
+    """log10 p(word | the two before it), in plain loops; word None is the end, before None the start."""
+    p, s = stats.network, stats
+    names = [w for w, _ in s.head]
+    base = lambda w: (counts.get(w, 0) + 0.1) / (s.tokens + 0.1 * (s.distinct + 1))
+    row = lambda w: s.own + 1 + lblm.ENDINGS if w is None else names.index(w) if w in names[: s.own] else s.own + 1 + lblm.ending(w)
+    h = p["r"][row(before[0])].astype(float) @ p["c1"] + p["r"][row(before[1])].astype(float) @ p["c2"]
+    first = np.array([math.exp(sum(h[d] * p["q"][k][d] for d in range(len(h))) + p["b"][k]) for k in range(s.outputs)])
+    first /= first.sum()
+    if word is None:
+        return math.log10(first[s.single])
+    if word in names[: s.single]:
+        return math.log10(first[names.index(word)])
+    if word in names[: s.own]:
+        band, at = divmod(names.index(word) - s.single, lblm.BAND)
+        inner = np.array([math.exp(h @ p["v"][band * lblm.BAND + k] + p["a"][band * lblm.BAND + k]) for k in range(lblm.BAND)])
+        return math.log10(first[s.single + 1 + band] * inner[at] / inner.sum())
+    e = lblm.ending(word)
+    mass = base(b"never seen") + sum(base(w) for w in counts if w not in names[: s.own] and lblm.ending(w) == e)
+    return math.log10(first[s.single + 1 + s.bands + e] * base(word) / mass)
+
+
+def test_lm_score_equals_plain_loops(small_lm):
+    stats, counts = small_lm
+    assert (stats.single, stats.bands, stats.own) == (4, 2, 10)
+    texts = [None, "", "w1", "W2 w9 w13 r3 zz", "r1 w5 w5 w0 r8 w12 qq w4 " * 9, "w7 zz"]
+    out = lblm.document_scorer(stats)(texts)
+    for k, t in enumerate(texts):
+        ws, want = lblm.words(t), 0.0
+        for i, w in enumerate([*ws, None]):
+            want += plain_log10(stats, counts, w, [ws[i - 1] if i else None, ws[i - 2] if i > 1 else None])
+        tail = sum(float(stats.base(counts.get(w, 0))) for w in (out[4][k].as_py() or "").encode().split())
+        assert abs(out[3][k] + tail - want) < 1e-4 * max(1, abs(want)) and out[0][k] == len(ws) + 1
+
+
+def test_lm_probabilities_sum_to_one(small_lm):
+    stats, counts = small_lm
+    endings = {lblm.ending(b"u%d" % i): b"u%d" % i for i in range(200)}
+    assert len(endings) == 5
+    for before in ([None, None], [b"w1", b"r2"], [b"w8", None]):
+        whole = sum(10 ** plain_log10(stats, counts, w, before) for w in [None, *counts, *endings.values()])
+        assert abs(whole - 1) < 1e-9
+
+
+def test_lm_goes_over_every_training_document_once():
+    assert [x for low, high in lblm.ROUNDS for x in range(low, high)] == list(range(lblm.PARTS)) and len(lblm.RATES) == len(lblm.ROUNDS)
+
+
+def test_lm_averages_by_tokens(spark):
+    sizes, rows = [3, 1, 4, 5, 9, 2, 6, 8, 7], []
+    for k, n in enumerate(sizes):
+        rows.append((k * 40, float(n), False, bytearray(np.full(4, k, np.float16).tobytes())))
+    total, tokens = lblm.averaged(spark.createDataFrame(rows, lblm.MOVES))
+    assert tokens == sum(sizes) and np.allclose(total, sum(k * n for k, n in enumerate(sizes))) and total.shape == (4,)
 
 
 def test_lm_beats_its_base_on_held_out_rows(spark):
     rows = queries.QUERIES["op6_lblm"](spark, DATA).where("held_out").collect()
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / tokens > 0.15
 
 
 def test_queries_on_empty_tables(spark, tmp_path):
