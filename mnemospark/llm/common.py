@@ -104,6 +104,37 @@ def picked_texts(docs: DataFrame, count: int) -> DataFrame:
     return bounded_texts(docs, ids, [])
 
 
+#: Rows of a narrow table that may be broadcast once they have been counted.
+FEW = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (written already, narrow), marked for broadcast if it has at most ``FEW`` rows; else a join shuffles."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_key) of ``kept``; ``rows`` lists those of all rows.
+
+    ``text_key`` is xxhash64 of the text; nulls are values. Documents move only if what is dropped is too much to broadcast;
+    of equal documents a task keeps one before they move.
+    """
+    named = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    own = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    same = named["doc_id"].eqNullSafe(own["kept_id"]) & (named["text_key"] == own["kept_key"])
+    state = cut_lineage(named.join(own, same, "left").select(F.col("doc_id").alias("told_id"), F.col("text_key").alias("told_key"), F.col("kept_key").isNotNull().alias("stays"), "n").where("not stays or n > 1"))
+    gone, repeated = small(state.where("not stays")), small(state.where("stays"))
+    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+
+    def at(told: DataFrame):
+        return wrapped["id"].eqNullSafe(told["told_id"]) & (wrapped["key"] == told["told_key"])
+
+    left = wrapped.join(gone, at(gone), "left_anti")
+    once = left.join(repeated, at(repeated), "left_anti")
+    one = left.join(repeated, at(repeated), "left_semi").dropDuplicates(["id", "key"])
+    return once.unionByName(one).select("record.*")
+
+
 def append_columns(
     df: DataFrame,
     text: str,

@@ -1,21 +1,20 @@
-"""Near-dedup by resemblance: the exact Jaccard similarity of five-word shingle sets.
+"""Links by resemblance: the exact Jaccard similarity of shingle sets.
 
-Two documents link when their sets' Jaccard similarity is ``SIMILARITY`` or more; a component
-is everything reachable over links. Equal sets are one node before the search.
+Two sets link when their Jaccard similarity is ``similarity`` or more. Equal sets are one node before the search.
 
 Search: with the shingles of all sets in one global order, sets that alike share a shingle
-among the first ``size - ceil(SIMILARITY * size) + 1`` of each (the prefix filter), so no
+among the first ``size - ceil(similarity * size) + 1`` of each (the prefix filter), so no
 linked pair is missed. Shingles that tasks met often come last in the order, so prefixes hold
 rare ones; what order it is changes the work, never the links. Each prefix shingle is a key.
-First every set is verified against the least set under each of its keys, which is linear and
-joins large groups of copies; then all pairs not yet connected that share as many keys as alike
-sets of their sizes must (``t + 1`` less the larger ``ceil(SIMILARITY * size)``, where ``t`` is
-the least overlap) are verified too. So components are those of all linked pairs, though pairs
+First every set is verified against the least set under each of its keys and against the caller's candidates, which
+is linear and joins large groups of copies; then all pairs not yet connected that share as many keys as alike
+sets of their sizes must (``t + 1`` less the larger ``ceil(similarity * size)``, where ``t`` is
+the least overlap) are verified too. So the links' components are those of all linked pairs, though pairs
 within a component need not all be listed.
 
 Shingles are compared by 64-bit hashes and sets by a hash of their shingles. Null, empty and
-wordless texts are one empty set, alike to each other only; fewer than five words are one
-shingle. Null ids keep their row; a component's id is its smallest non-null doc_id.
+wordless texts are one empty set, alike to each other only; fewer words than a shingle are one
+shingle. Long texts are read whole. Repeated rows are one node. An empty table has no links.
 """
 
 from __future__ import annotations
@@ -30,51 +29,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.llm import shingles as pieces
 from mnemospark.llm.common import append_columns, cut_lineage
-from mnemospark.llm.simhash import components
+from mnemospark.llm.components import HOT, HOT_KEYS, components, join_spread
 
-SHINGLE, SEED, SIMILARITY = 5, 42, Fraction(4, 5)
 #: Shingles met so often among ``FLUSH`` of a task are told as common, at most so many of them.
 OFTEN, COMMON, FLUSH = 3, 100_000, 2_000_000
 #: Bits of the filter that keeps unwanted sets from being moved; a wrong hit is dropped by the join.
 SPOTS = 2**26
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles, A-Z lower-cased, as signed longs."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    pieces = zip(*(words[k:] for k in range(SHINGLE))) if len(words) >= SHINGLE else [words]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(p), SEED) for p in pieces), np.uint64).view(np.int64))
-
-
 def digest_of(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), pieces.SEED)).view(np.int64))
 
 
-def least_overlap(size: int) -> int:
+def least_overlap(size: int, similarity: Fraction) -> int:
     """The fewest shingles that a set of ``size`` shares with any set alike to it."""
-    return -(-size * SIMILARITY.numerator // SIMILARITY.denominator)
+    return -(-size * similarity.numerator // similarity.denominator)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that tasks met often, the rarest first."""
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of the shingles that tasks met often, the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            met, times = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+            met, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
             parts.clear()
             often = times >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(met[often]), pa.array(times[often].astype(np.int64))], names=["s", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(met[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["s", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                parts.append(shingle_set(text))
+                parts.append(pieces.hashes(text, shingle))
                 waiting += len(parts[-1])
                 if waiting > FLUSH:
                     yield flush()
@@ -85,56 +74,72 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return found.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toArrow().column(0).to_numpy()[::-1].astype(np.int64)
 
 
-def prefix_maker(common: np.ndarray):
-    """From whole texts: the set's hash, its size, and its prefix in the global order."""
-    order = np.argsort(common)
-    known = common[order]
+def describe(docs: DataFrame, common: np.ndarray, shingle: int, similarity: Fraction) -> DataFrame:
+    """doc_id, text_key (hash of the text), fp (SimHash), node (the set's hash), its size, and its prefix in the global order."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def make(texts: list[str | None]) -> list:
-        nodes, sizes, prefixes = [], [], []
-        for text in texts:
-            s = shingle_set(text)
-            nodes.append(digest_of(s))
-            sizes.append(len(s))
-            if len(s) and len(known):
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                s = s[np.argsort(np.where(known[at] == s, order[at], -1), kind="stable")]
-            prefixes.append(s[: len(s) - least_overlap(len(s)) + 1].astype("<i8").tobytes() if len(s) else b"")
-        return [nodes, sizes, prefixes]
+    def make():
+        common = shared.value
+        order = np.argsort(common)
+        known = common[order]
 
-    return make
+        def compute(texts: list[str | None]) -> list:
+            fps, nodes, sizes, prefixes = [], [], [], []
+            for at in range(0, len(texts), 64):
+                hashed = [pieces.hashes(t, shingle) for t in texts[at : at + 64]]
+                fps += pieces.fingerprints(hashed).view(np.int64).tolist()
+                for h in hashed:
+                    s = np.unique(h).view(np.int64)
+                    nodes.append(digest_of(s))
+                    sizes.append(len(s))
+                    if len(s) and len(known):
+                        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[place] == s, order[place], -1), kind="stable")]
+                    prefixes.append(s[: len(s) - least_overlap(len(s), similarity) + 1].astype("<i8").tobytes() if len(s) else b"")
+            return [fps, nodes, sizes, prefixes]
 
+        return compute
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are alike."""
+    new = [("fp", T.LongType()), ("node", T.LongType()), ("size", T.LongType()), ("prefix", T.BinaryType())]
+    return append_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), "text", ["doc_id", "text_key"], new, make)
 
-    wanted = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    spot = F.col("node").bitwiseAND(F.lit(SPOTS - 1)) + 1
+
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are alike."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut_lineage(asked.join(sets.select("node", "text_key"), "node").select("text_key").distinct())
+    spot = F.col("text_key").bitwiseAND(F.lit(SPOTS - 1)) + 1
     maps = wanted.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).collect()
     spots = np.zeros(SPOTS // 8, np.uint8)
     for r in maps:
         spots[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["m"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(spots)
 
-    def make():
-        bits = shared.value
-
-        def compute(texts: list[str | None]) -> list:
-            nodes, sets = [], []
-            for t in texts:
-                s = shingle_set(t)
-                node = digest_of(s)
-                at = node & (SPOTS - 1)
-                hit = bits[at >> 3] >> (at & 7) & 1
-                nodes.append(node if hit else None)
-                sets.append(s.tobytes() if hit else None)
-            return [nodes, sets]
-
-        return compute
-
-    sets = append_columns(docs, "text", [], [("node", T.LongType()), ("set", T.BinaryType())], make).where(F.col("node").isNotNull())
-    sets = cut_lineage(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of texts that are wanted (and of a few that only look so)."""
+        bits, seen = shared.value, set()
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            at = keys & (SPOTS - 1)
+            hit = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
+            # copies of a text are one in each task
+            hit = np.array([k for k in hit.tolist() if keys[k] not in seen and not seen.add(int(keys[k]))], np.int64)
+            for k in range(0, len(hit), 256):
+                part = hit[k : k + 256]
+                own = [np.unique(pieces.hashes(t, shingle)).view(np.int64) for t in batch.column(1).take(pa.array(part)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "set"])
+
+    found = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(pick, "node long, set binary")
+    own = cut_lineage(found.groupBy("node").agg(F.min("set").alias("set")))
+    total = pairs.count()
+
+    def with_sets(rows: DataFrame, end: str, other: str) -> DataFrame:
+        """The pairs with the sets of one end; a set that many pairs have goes to several tasks."""
+        per = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        told = per.join(own.select(F.col("node").alias(end), F.col("set").alias(f"s{end}")), end)
+        return join_spread(rows, told, end, total, F.col(other))
+
+    both = with_sets(with_sets(pairs, "a", "b"), "b", "a")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,17 +147,24 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared * SIMILARITY.denominator >= SIMILARITY.numerator * (len(x) + len(y) - shared))
+                keep.append(shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of alike sets that connect all that are alike; ``sets`` is (node, size, prefix), each node once."""
+def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, similarity: Fraction, candidates: DataFrame) -> DataFrame:
+    """Pairs (a, b) of alike sets that connect all that are alike.
+
+    ``sets`` is (node, size, prefix, text_key), each node once; ``candidates`` (a < b) are pairs likely to be alike;
+    ``common`` are the shingles that tasks met often.
+    """
+    spark = docs.sparkSession
+    shared_common = spark.sparkContext.broadcast(np.sort(common))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, node, size) for each shingle of a prefix."""
+        """(key, node, size, often) for each shingle of a prefix."""
+        known = shared_common.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
@@ -160,14 +172,24 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
                 per = np.array([len(b) // 8 for b in blobs], np.int64)
                 if not per.sum():
                     continue
+                keys = np.frombuffer(b"".join(blobs), "<i8")
                 node, size = (np.repeat(batch.column(k).to_numpy(), per) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), "<i8")), pa.array(node), pa.array(size)], names=["key", "node", "size"])
-
-    postings = sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long")
+                often = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(size), pa.array(often)], names=["key", "node", "size", "often"])
+
+    postings = sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long, often boolean")
+    total = sets.agg(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0
+    # a key in so many sets is among those that tasks met often; at most HOT_KEYS of them, so they may be broadcast,
+    # and no task takes all sets of one
+    bound = max(HOT, total // 8 // HOT_KEYS)
+    hub = F.min(F.struct("node", "size"))
+    hot = cut_lineage(postings.where("often").groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where(F.col("n") > bound).select("key", "hub"))
     under = Window.partitionBy("key")
-    told = postings.withColumn("n", F.count("*").over(under)).withColumn("hub", F.min(F.struct("node", "size")).over(under))
-    shared = cut_lineage(told.where("n > 1").drop("n"))
-    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+    cold = postings.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    told = cold.withColumn("n", F.count("*").over(under)).withColumn("hub", hub.over(under)).where("n > 1")
+    columns = ["key", "node", "size", "hub"]
+    shared = cut_lineage(told.select(*columns).unionByName(postings.join(F.broadcast(hot), "key").select(*columns)))
+    p, q = similarity.numerator, similarity.denominator
 
     def fits(x, y):
         return (x * q >= y * p) & (y * q >= x * p)
@@ -178,39 +200,14 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         met = of.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).groupBy("a", "b").count()
         least = [F.ceil(F.col(f"{k}.size") * p / q) for k in "ab"]
         overlap = F.ceil((F.col("a.size") + F.col("b.size")) * p / (p + q))
-        return cut_lineage(met.where(F.col("count") >= overlap + 1 - F.greatest(*least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+        return met.where(F.col("count") >= overlap + 1 - F.greatest(*least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
     first = shared.withColumn("own", F.struct("node", "size")).where((F.col("node") != F.col("hub.node")) & fits(F.col("size"), F.col("hub.size")))
-    near = verified(docs, pairs("own", "hub", first))
-    rooted = shared.select("key", "node", "size").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = verified(docs, cut_lineage(pairs("own", "hub", first).unionByName(candidates).distinct()), sets, shingle, similarity)
+    rooted = cut_lineage(shared.select("key", "node", "size").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")))
     # a key whose sets are all connected has nothing left to find
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("key")
-    left = cut_lineage(rooted.join(open_, "key", "left_semi"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count("*").alias("n")).where("l < h").select("key", "n")
+    left = cut_lineage(join_spread(rooted, open_, "key", rooted.count(), F.col("node")))
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    found = pairs("x", "y", left.alias("x").join(left.alias("y"), cond & fits(F.col("x.size"), F.col("y.size"))))
-    return near.unionByName(verified(docs, found)) if found.limit(1).count() else near
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-    new = [("node", T.LongType()), ("size", T.LongType()), ("prefix", T.BinaryType())]
-    rows = cut_lineage(append_columns(docs, "text", ["doc_id"], new, lambda: prefix_maker(shared.value)))
-    sets = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    roots = components(links(docs, sets))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, without those that have a smaller id in their component.
-
-    Rows are told apart by doc_id: rows of one id stand or fall together, and rows with a
-    null id always stay.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    found = cut_lineage(pairs("x", "y", left.alias("x").join(left.alias("y"), cond & fits(F.col("x.size"), F.col("y.size")))))
+    return near.unionByName(verified(docs, found, sets, shingle, similarity)) if found.limit(1).count() else near

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 
 import corpus_pipeline
-from mnemospark.llm import resemblance
+from mnemospark.llm import components, resemblance, simhash
 
 
 def brute_kept(rows):
@@ -57,4 +57,28 @@ def test_stage_drops_copies_far_apart_in_simhash_bits(spark):
     words = [f"x{i}" for i in range(80)]
     other = [*words[:40], "changed", *words[41:]]  # 71 of 81 shingles are shared
     docs = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(other)), (None, " ".join(words))], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 1]
+    # null is a value like others: one document of the group stays
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()] == [1]
+
+
+def test_one_row_of_equal_documents_stays(spark):
+    a, b = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    rows = [(5, a), (5, a), (5, a), (7, b), (7, a), (None, b), (None, "only here now"), (None, "only here now")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, prefix string")
+    for f in (lambda d: corpus_pipeline.near_dedup_stage(spark, d, ""), simhash.drop_near_duplicates):
+        got = f(docs)
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"] or 0), r["text"]) for r in got.collect()) == [(0, "only here now"), (5, a), (7, b)]
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 3)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), int(i)) for i, k in enumerate(rng.choice(5, 400, p=[0.8, 0.05, 0.05, 0.05, 0.05]))]
+    df = spark.createDataFrame(rows, "key long, i long")
+    told = df.groupBy("key").count().withColumnRenamed("count", "n").selectExpr("key", "n", "key * 10 as v")
+    got = components.join_spread(df, told, "key", 400, df["i"]).select("key", "i", "v").collect()
+    assert sorted((r["key"], r["i"], r["v"]) for r in got) == sorted((k, i, 10 * k) for k, i in rows)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)]
+    roots = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert roots == {i: 0 for i in range(60)} | {i: 100 for i in range(100, 161)}
