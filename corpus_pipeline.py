@@ -8,10 +8,12 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.llm import bpe, decontaminate, quality, resemblance, toxicity
+from mnemospark.llm import bpe, decontaminate, quality, simhash, toxicity
 from mnemospark.llm.common import cut_lineage, read_table
 
 
@@ -28,8 +30,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of alike texts (five-word shingles, Jaccard 0.8)."""
-    return resemblance.drop_near_duplicates(docs)
+    """One document, that with the smallest id, of each component of alike texts (SimHash search over five-word shingles, Jaccard 0.8)."""
+    return simhash.drop_near_duplicates(docs, shingle=5, similarity=Fraction(4, 5))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
