@@ -1,38 +1,41 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-For each language a suffix automaton of its labelled training text tells, letter by letter,
-how long the next letters of a document go on occurring somewhere in that text. The document
-is parsed greedily into such longest matches; the language that needs the fewest phrases per
-letter wins. The automaton's transitions are laid out as a dense table, in which a missing
+For each language a suffix automaton of its labelled training text tells, byte by byte,
+how long the next bytes of a document go on occurring somewhere in that text. The document
+is parsed greedily, from its first byte to its last, into such longest matches; the language that needs the fewest
+phrases per byte wins. The automaton's transitions are laid out as a dense table, in which a missing
 transition counts a phrase and starts the next one, so whole batches of texts are parsed in
-numpy, one step for all texts at a time.
-
-Letters are lower-cased; everything else counts as one space. Texts are parsed whole, in
-segments of ``SEGMENT`` letters that each begin a phrase. Every language keeps all its training
-letters; phrases against shorter texts are scaled by what less text costs the longest. Nulls and texts without a letter
-are ``und`` with score 0, as is everything if there is nothing to learn from. Ties go to the
-language that sorts first. The score is the winner's share of a softmax over the languages'
-phrases per letter.
+numpy, one step for all texts at a time: long texts in segments at once, whose beginnings are then parsed again
+from the state that the segment before ended in, until both parses meet.
+
+Letters are lower-cased and read as UTF-8, so all letters of all scripts differ; everything else counts as one
+space. Each language's automaton has an alphabet of its own: the bytes of its text. All languages are learned; every
+language keeps all its training text, and phrases against shorter texts are scaled by what less text costs the longest.
+
+Nulls and texts without a letter are ``und`` with score 0, as is everything if there is nothing to learn from. Ties go
+to the language that sorts first. The score is the winner's share of a softmax over the languages'
+phrases per byte. Equal texts get equal results, and repeated rows are identified like others; a repeated id is learned
+from once. An empty table gives no rows. Columns besides doc_id, text and lang are not read; those named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from mnemospark.llm.common import append_columns, fold
 
-#: Per language, at most so many texts and so many letters of them are learned from.
-TEXTS, LETTERS, LANGUAGES = 200, 40_000, 64
-#: All languages' automata together hold at most so many letters, so a task's tables stay small.
-ALL_LETTERS = 480_000
-#: Letters beyond the most frequent ones of the training texts share one symbol.
-ALPHABET, SEGMENT, SHARPNESS = 64, 2048, 60.0
+#: Per language, at most so many texts and so many bytes of them are learned from.
+TEXTS, LETTERS = 200, 40_000
+#: All languages' automata together hold about so many bytes, so a task's tables stay small, but each language ``FEWEST``.
+ALL_LETTERS, FEWEST = 480_000, 1_000
+#: A column with more different values than this holds no languages.
+LANGUAGES = 4_000
+SEGMENT, SHARPNESS = 2048, 60.0
 UNKNOWN = "und"
 
 
@@ -83,148 +86,180 @@ def parser_table(symbols: np.ndarray, alphabet: int) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
-class Coder:
-    """From texts to arrays of symbols; 0 is the space, 1 a letter outside the alphabet."""
-
-    def __init__(self, alphabet: str) -> None:
-        self.size = len(alphabet) + 2
-        table = np.array([chr(cp).isalpha() for cp in range(0x3000)], np.uint8)
-        for k, c in enumerate(alphabet):
-            if ord(c) < 0x3000:
-                table[ord(c)] = k + 2
-        self.low = table
-        self.rest = {ord(c): k + 2 for k, c in enumerate(alphabet) if ord(c) >= 0x3000}
-
-    def encode(self, text: str | None) -> np.ndarray:
-        points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
-        if len(points) and points.max() >= 0x3000:
-            out = self.low[np.minimum(points, 0x2FFF)]
-            for i in np.flatnonzero(points >= 0x3000):
-                p = int(points[i])
-                out[i] = self.rest.get(p, 1 if chr(p).isalpha() else 0)
-        else:
-            out = self.low[points]
-        if len(out) > 1:  # one space for a run of them
-            out = out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])]
-        return out
+@functools.cache
+def letters() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+
+
+def encode(text: str | None) -> np.ndarray:
+    """The text's letters, lower-cased, as UTF-8 bytes; whatever stands between letters is one space."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
+    own = letters()[points]
+    points = np.where(own, points, np.uint32(32)).astype("<u4")
+    if len(points) > 1:
+        points = points[np.concatenate([[True], own[1:] | own[:-1]])]
+    if len(points) and points.max() < 0x80:
+        return points.astype(np.uint8)
+    return np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
+def symbols_of(reference: np.ndarray) -> tuple[np.ndarray, int]:
+    """A language's symbol for each byte and how many symbols it has: 0 is the space, 1 any byte that its text lacks."""
+    known = np.setdiff1d(np.unique(reference), [32])
+    table = np.ones(256, np.uint8)
+    table[known] = np.arange(2, len(known) + 2)
+    table[32] = 0
+    return table, len(known) + 2
 
 
 def train(texts: dict[str, list[str]], letters_each: int = LETTERS) -> dict:
     """The parser tables from texts by language."""
     if not texts:
         return {"languages": []}
-    letters_each = min(letters_each, ALL_LETTERS // len(texts))
-    counts: dict[str, int] = {}
-    for t in itertools.chain(*texts.values()):
-        for c in t.lower():
-            counts[c] = counts.get(c, 0) + 1
-    alphabet = "".join(sorted((c for c in sorted(counts, key=lambda c: (-counts[c], c)) if c.isalpha()), key=lambda c: (-counts[c], c))[: ALPHABET - 2])
-    coder = Coder(alphabet)
+    letters_each = max(min(FEWEST, letters_each), min(letters_each, ALL_LETTERS // len(texts)))
     coded = {}
     for language, own in texts.items():
         # whole texts as long as they fit; if not even one does, a part of the first
         parts, total = [], 0
         for t in own:
-            got = np.append(coder.encode(t), np.uint8(0))
+            got = np.append(encode(t), np.uint8(32))
             if total + len(got) <= letters_each:
                 parts.append(got)
                 total += len(got)
-        coded[language] = np.concatenate(parts) if parts else coder.encode(own[0])[:letters_each]
+        coded[language] = np.concatenate(parts) if parts else encode(own[0])[:letters_each]
     languages = sorted(coded)
-    scales = length_scales([coded[x] for x in languages], coder.size)
-    return {"languages": languages, "alphabet": alphabet, "scales": scales, "tables": [parser_table(coded[x], coder.size) for x in languages]}
+    references, maps, sizes = [], [], []
+    for x in languages:
+        table, size = symbols_of(coded[x])
+        references.append(table[coded[x]])
+        maps.append(table)
+        sizes.append(size)
+    return {"languages": languages, "maps": maps, "scales": length_scales(references, sizes), "tables": [parser_table(r, n) for r, n in zip(references, sizes)]}
 
 
-def length_scales(references: list[np.ndarray], alphabet: int) -> list[float]:
-    """What each language's phrases per letter are multiplied by: more text means longer matches.
+def length_scales(references: list[np.ndarray], sizes: list[int]) -> list[float]:
+    """What each language's phrases per byte are multiplied by: more text means longer matches.
 
-    The phrases per letter that the longest references need for text of their own language, cut
-    from their ends, with all the rest learned, to those with only as many letters learned.
+    The phrases per byte that the longest references need for text of their own language, cut
+    from their ends, with all the rest learned, to those with only as many bytes learned.
     References within a tenth of the longest are taken as equally long.
     """
     longest = max(map(len, references))
     if all(10 * len(r) >= 9 * longest for r in references):
         return [1.0] * len(references)
-    probes = [(r[: -len(r) // 10], r[-len(r) // 10 :]) for r in references if 10 * len(r) >= 9 * longest][:3]
+    probes = [(r[: -len(r) // 10], r[-len(r) // 10 :], n) for r, n in zip(references, sizes) if 10 * len(r) >= 9 * longest][:3]
 
     def needed(length: int) -> float:
-        got = [phrases(np.append(x, 0), np.array([0]), np.array([len(x)]), parser_table(r[:length], alphabet))[0] / len(x) for r, x in probes]
-        return float(np.mean(got))
+        return float(np.mean([phrases(x, np.array([len(x)]), parser_table(r[:length], n))[0] / max(1, len(x)) for r, x, n in probes]))
 
     whole = needed(longest)
-    return [1.0 if 10 * len(r) >= 9 * longest else min(1.0, whole / needed(len(r))) for r in references]
-
-
-def phrases(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of each segment (given longest first), all segments one symbol at a time."""
-    count = np.ones(len(sizes), np.int32)
-    state = np.zeros(len(sizes), np.int32)
-    alive = len(sizes)
-    ends = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")
-    for t in range(int(sizes[0])):
-        if ends[t] != alive:
-            alive = int(ends[t])
-            state = state[:alive]
-        got = table[state + symbols[starts[:alive] + t]]
-        count[:alive] += got & 1
-        state = got >> 1
-    return count
+    return [1.0 if 10 * len(r) >= 9 * longest else min(1.0, whole / max(needed(len(r)), 1e-9)) for r in references]
+
+
+def phrases(symbols: np.ndarray, sizes: np.ndarray, table: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Phrases of each text; ``symbols`` holds them end to end, ``sizes`` their lengths."""
+    begin = np.cumsum(sizes) - sizes
+    pieces = -(-sizes // segment)
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = begin[owner] + nth * segment
+    spans = np.minimum(segment, begin[owner] + sizes[owner] - starts)
+    after = np.zeros(len(symbols), np.int32)  # the state behind each symbol
+    ended = np.zeros(len(symbols), bool)  # whether a phrase ends before it
+
+    def parse(which: np.ndarray, state: np.ndarray, meet: bool) -> np.ndarray:
+        """Parses segments from given states; if ``meet``, each up to where it meets the parse before. Those that never do."""
+        order = np.argsort(-spans[which], kind="stable")
+        which, state = which[order], state[order]
+        met = []
+        for t in range(int(spans[which[0]]) if len(which) else 0):
+            alive = spans[which] > t
+            if not alive.all():
+                met.append(which[~alive])
+                which, state = which[alive], state[alive]
+            at = starts[which] + t
+            got = table[state + symbols[at]]
+            state = got >> 1
+            if meet:
+                same = after[at] == state
+            after[at], ended[at] = state, (got & 1).astype(bool)
+            if meet and same.any():
+                which, state = which[~same], state[~same]
+            if not len(which):
+                break
+        return np.concatenate([*met, which]) if meet else which
+
+    parse(np.arange(len(owner)), np.zeros(len(owner), np.int32), False)
+    again = np.flatnonzero(nth > 0)
+    while len(again):  # a parse that doesn't meet the one before changes the next segment's beginning
+        over = parse(again, after[starts[again] - 1], True)
+        following = over + 1
+        following = following[following < len(owner)]
+        again = np.sort(following[nth[following] > 0])
+    whole = np.concatenate([[0], np.cumsum(ended, dtype=np.int64)])
+    return 1 + whole[begin + sizes] - whole[begin]
 
 
 def classifier(model: dict):
     """A function from whole texts to their languages and scores."""
     if not model["languages"]:
         return lambda texts: [[UNKNOWN] * len(texts), [0.0] * len(texts)]
-    coder = Coder(model["alphabet"])
     names = np.array(model["languages"], object)
 
-    def classify(texts: list[str | None]) -> list:
-        coded = [coder.encode(t) for t in texts]
+    def some(texts: list[str | None]) -> tuple[list, list]:
+        coded = [encode(t) for t in texts]
         sizes = np.array([len(c) for c in coded])
-        symbols = np.concatenate([*coded, np.zeros(1, np.uint8)])
-        begin = np.cumsum(sizes) - sizes
-        starts = np.concatenate([np.arange(b, b + n, SEGMENT) for b, n in zip(begin, sizes)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), -(-sizes // SEGMENT))
-        spans = np.minimum(SEGMENT, begin[owner] + sizes[owner] - starts)
-        cost = np.full((len(texts), len(names)), 0.0)
-        if len(spans):
-            order = np.argsort(-spans, kind="stable")
-            for k, table in enumerate(model["tables"]):
-                got = np.empty(len(spans))
-                got[order] = phrases(symbols, starts[order], spans[order], table)
-                np.add.at(cost[:, k], owner, got)
-        cost *= np.array(model["scales"]) / np.maximum(sizes, 1)[:, None]
-        lettered = np.zeros(len(texts), bool)
-        for i, c in enumerate(coded):
-            lettered[i] = bool((c != 0).any())
+        joined = np.concatenate([*coded, np.zeros(0, np.uint8)])
+        cost = np.stack([phrases(own[joined], sizes, table) * scale for own, table, scale in zip(model["maps"], model["tables"], model["scales"])], axis=1)
+        cost = cost / np.maximum(sizes, 1)[:, None]
+        lettered = np.array([bool((c != 32).any()) for c in coded])
         best = cost.argmin(axis=1)
         share = 1 / np.exp(-SHARPNESS * (cost - cost.min(axis=1, keepdims=True))).sum(axis=1)
-        return [np.where(lettered, names[best], UNKNOWN).tolist(), np.where(lettered, share, 0.0).tolist()]
+        return np.where(lettered, names[best], UNKNOWN).tolist(), np.where(lettered, share, 0.0).tolist()
+
+    def classify(texts: list[str | None]) -> list:
+        out, at = [[], []], 0
+        while at < len(texts):  # as many texts at a time as make about two million characters
+            n, size = 0, 0
+            while at + n < len(texts) and (not n or size + len(texts[at + n] or "") < 2_000_000):
+                size += len(texts[at + n] or "")
+                n += 1
+            for o, got in zip(out, some(texts[at : at + n])):
+                o += got
+            at += n
+        return out
 
     return classify
 
 
-def training_texts(docs: DataFrame, texts_each: int = TEXTS) -> dict[str, list[str]]:
-    """At most ``texts_each`` hash-picked learnable texts of each language.
+def training_texts(docs: DataFrame, texts_each: int = TEXTS, letters_each: int = LETTERS) -> dict[str, list[str]]:
+    """At most ``texts_each`` hash-picked learnable texts of each language, of about ``letters_each`` characters in all.
 
-    Learnable: lang and text are not null and the id's fold of four is not 2. Of more than
-    ``LANGUAGES`` languages, those with the most rows are learned.
+    Learnable: lang and text are not null and the id's fold of four is not 2. Texts are taken whole while they fit;
+    the first of a language always is, up to ``letters_each`` characters of it.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("lang", "doc_id", "text")
     # the first of every language by a hash; each task cuts its own rows to as many before they
     # move, so a language with a third of all rows sends no more than any other
     key = F.xxhash64("doc_id")
-    first = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ids = usable.where(F.col("lang").isin(common)).select("lang", "doc_id", key.alias("key"))
-    picked = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= texts_each).select("lang", "doc_id").distinct()
-    rows = usable.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"], "left_semi")
-    rows = rows.orderBy("lang", key, "doc_id", F.xxhash64("text")).limit(LANGUAGES * texts_each).collect()
+    first = Window.partitionBy("lang").orderBy("key", "doc_id", "text_key")
+    size = F.least(F.length("text"), F.lit(letters_each))
+    ids = usable.select("lang", "doc_id", key.alias("key"), F.xxhash64("text").alias("text_key"), size.alias("size"))
+    # of a repeated id one text is taken
+    one = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 4 * texts_each).groupBy("lang", "doc_id", "key").agg(F.min(F.struct("text_key", "size")).alias("t"))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    before = F.coalesce(F.sum("t.size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = one.withColumn("before", before).withColumn("r", F.row_number().over(order)).where((F.col("before") < letters_each) & (F.col("r") <= texts_each))
+    picked = picked.select("lang", "doc_id", F.col("t.text_key").alias("text_key"))
+    languages = usable.select("lang").distinct().count()
+    if languages > LANGUAGES:
+        raise ValueError(f"lang has {languages} values, more than the {LANGUAGES} that can be learned")
+    found = usable.join(F.broadcast(picked), ["lang", "doc_id"]).where(F.xxhash64("text") == F.col("text_key"))
+    rows = found.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", key.alias("key"), "doc_id", F.substring("text", 1, letters_each).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in rows:
-        own = out.setdefault(r["lang"], [])
-        if not own or own[-1] != r["text"]:
-            own.append(r["text"])
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["key"], r["doc_id"])):
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 

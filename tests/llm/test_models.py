@@ -106,8 +106,22 @@ def test_cross_parsing_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(60):
         ref, x = rng.integers(0, 3, rng.integers(1, 90)).astype(np.uint8), rng.integers(0, 4, rng.integers(1, 90)).astype(np.uint8)
-        got = langid.phrases(np.append(x, 0), np.array([0]), np.array([len(x)]), langid.parser_table(ref, 4))[0]
-        assert got == brute_phrases(bytes(x), bytes(ref))
+        for segment in (1, 3, 7, 1000):  # long texts are parsed as one, however they are cut for the work
+            both = langid.phrases(np.concatenate([x, x[:5], x]), np.array([len(x), len(x[:5]), len(x)]), langid.parser_table(ref, 4), segment)
+            assert both.tolist() == [brute_phrases(bytes(x), bytes(ref)), brute_phrases(bytes(x[:5]), bytes(ref)), brute_phrases(bytes(x), bytes(ref))]
+
+
+def test_langid_tells_many_scripts_apart():
+    rng = np.random.default_rng(3)
+    texts, held = {}, []
+    for k, first in enumerate([0x4E00, 0x5E00, 0xAC00, 0x3041, 0x0430, 0x0561, 0x05D0, 0x0E01, 0x10D0] + [0x61] * 70):
+        # languages of one script differ by their words
+        words = ["".join(chr(first + int(c)) for c in rng.integers(0, 26, rng.integers(2, 7))) for _ in range(60)]
+        texts[f"l{k:02}"] = [" ".join(rng.choice(words, 400))]
+        held.append((f"l{k:02}", " ".join(rng.choice(words, 40))))
+    model = langid.train(texts)
+    assert len(model["languages"]) == 79
+    assert langid.classifier(model)([t for _, t in held])[0] == [x for x, _ in held]
 
 
 def test_langid_query(spark):
