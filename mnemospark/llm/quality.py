@@ -1,11 +1,13 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Filters of ``WIDTH`` bytes slide over the UTF-8 bytes with stride ``STRIDE``; responses are
+Each of the 256 byte values has a learned vector, which starts from the classes the byte belongs to. Filters of ``WIDTH`` bytes slide over the UTF-8 bytes with stride ``STRIDE``; responses are
 max-pooled within chunks of ``2 * HALF`` bytes that overlap by half and cover the whole text;
 a small layer maps each chunk's pooled responses to hidden values, whose mean over all
 chunks gives one probability. Every byte of a text is read, at any length.
 
-Nulls and empty texts count as a single chunk of padding and get that chunk's score.
+Nulls and empty texts count as a single chunk of padding and get that chunk's score. Equal texts get equal
+scores, whatever stands beside them, and repeated rows are scored like others; an empty table gives no rows. A score
+that equals the threshold keeps its document. Other columns are never read; one named like the score is replaced.
 Without labelled rows of both classes the score is the labels' rate of 1 (0.5 with none).
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 
 from mnemospark.llm.common import Adam, append_columns, labelled_sample, release_memory, sigmoid
 
-WIDTH, STRIDE, HALF, FILTERS, HIDDEN = 16, 4, 64, 16, 8
+WIDTH, STRIDE, HALF, FILTERS, HIDDEN, VECTOR = 16, 4, 64, 16, 8, 14
 #: Of the labelled texts, at most so many of each class are learned from; the rest of the
 #: labels adds nothing that the held-out accuracy shows.
 SAMPLE_PER_CLASS = 1000
@@ -27,7 +29,7 @@ THRESHOLD = 0.3
 
 
 def byte_features() -> np.ndarray:
-    """What a filter sees of each of the 256 bytes: the classes it belongs to."""
+    """The classes of each of the 256 bytes, from which its vector starts."""
     b = np.arange(256)
     return np.stack(
         [
@@ -61,9 +63,11 @@ def train(sample: list[tuple[str, int]], seed: int = 9) -> dict:
     if not len(ys) or ys.min() == ys.max():
         return {"prior": float(ys.mean()) if len(ys) else 0.5}
     rng = np.random.default_rng(seed)
-    feats = byte_features()
-    d = feats.shape[1]
+    d, start = VECTOR, byte_features()
+    vectors = rng.normal(0, 0.15, (256, d)).astype(np.float32)
+    vectors[:, : start.shape[1]] += start
     p = {
+        "e": vectors,
         "f": rng.normal(0, 0.15, (WIDTH * d, FILTERS)).astype(np.float32),
         "fb": np.zeros(FILTERS, np.float32),
         "h": rng.normal(0, 0.3, (FILTERS, HIDDEN)).astype(np.float32),
@@ -91,7 +95,8 @@ def train(sample: list[tuple[str, int]], seed: int = 9) -> dict:
                     owner.append(k)
             owner = np.array(owner)
             share = 1 / np.bincount(owner, minlength=len(ids))
-            x = feats[np.stack(chunks)].reshape(len(chunks), -1)
+            seen = np.stack(chunks)
+            x = p["e"][seen].reshape(len(chunks), -1)
             w = np.lib.stride_tricks.sliding_window_view(x, WIDTH * d, axis=1)[:, :: STRIDE * d]
             w = np.ascontiguousarray(w)
             a = w @ p["f"] + p["fb"]
@@ -109,7 +114,12 @@ def train(sample: list[tuple[str, int]], seed: int = 9) -> dict:
             rows = np.arange(len(chunks))
             for j in range(FILTERS):
                 gf[:, j] = glive[:, j] @ w[rows, top[:, j]]
-            adam.step({"f": gf, "fb": glive.sum(0), "h": live.T @ ghid, "hb": ghid.sum(0), "o": mean.T @ g, "ob": g.sum(keepdims=True)})
+            # how much of each filter's gradient falls on each byte value at each of its places
+            place = (np.arange(FILTERS)[None, :, None] * WIDTH + np.arange(WIDTH)) * 256
+            own = seen[rows[:, None, None], top[:, :, None] * STRIDE + np.arange(WIDTH)]
+            fall = np.bincount((place + own).ravel(), np.repeat(glive.ravel(), WIDTH), FILTERS * WIDTH * 256).reshape(FILTERS, WIDTH, 256)
+            ge = np.einsum("jwb,wdj->bd", fall, p["f"].reshape(WIDTH, d, FILTERS), optimize=True).astype(np.float32)
+            adam.step({"e": ge, "f": gf, "fb": glive.sum(0), "h": live.T @ ghid, "hb": ghid.sum(0), "o": mean.T @ g, "ob": g.sum(keepdims=True)})
     return p
 
 
@@ -117,10 +127,8 @@ def scorer(model: dict):
     """A function from whole texts to their probabilities."""
     if "prior" in model:
         return lambda texts: [np.full(len(texts), model["prior"])]
-    feats = byte_features()
-    d = feats.shape[1]
-    filters = model["f"].reshape(WIDTH, d, FILTERS)
-    single = np.einsum("bd,wdf->wbf", feats, filters)
+    filters = model["f"].reshape(WIDTH, VECTOR, FILTERS)
+    single = np.einsum("bd,wdf->wbf", model["e"], filters)
     # two neighbouring bytes at once: the row of the pair (first, second), little-endian
     pairs = [np.ascontiguousarray((single[j + 1][:, None, :] + single[j][None, :, :]).reshape(65536, FILTERS)) for j in range(0, WIDTH, 2)]
 
