@@ -1,12 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its learned word vector (for words of the training sample's vocabulary)
-beside the mean of its hashed character n-gram vectors, so unseen spellings also count. All
+beside the mean of its hashed character n-grams' learned vectors, so unseen spellings also count. Both start
+from the classes' log odds and are trained with the network. All
 windows of ``LENGTH`` words, overlapping by half, over the whole text are scored; a text's
 score comes from its highest window through a fitted logistic curve. Long runs without
 spaces are read as overlapping pieces, each a word.
 
-Nulls and empty texts are one window of padding. Without labelled rows of both classes the
+Nulls and empty texts are one window of padding. Equal texts get equal scores; repeated rows are scored like
+others; an empty table gives no rows. Among windows with equal scores any stands for the text; a score that equals
+the threshold drops its document. Other columns are never read; one named like the score is replaced. Without labelled rows of both classes the
 score is the labels' rate of 1 (0 with none).
 """
 
@@ -22,7 +25,7 @@ from mnemospark.llm.common import Adam, append_columns, labelled_sample, release
 LENGTH, HALF, STATE, WORD, CHAR, BUCKETS, VOCABULARY = 16, 8, 8, 6, 6, 8192, 6000
 #: At most so many labelled texts of each class are learned from.
 SAMPLE_PER_CLASS = 1200
-ROUNDS, MEMO, LEAST, UNSEEN = 8, 120_000, 3, 0.1
+ROUNDS, MEMO, LEAST, UNSEEN, SETTLE = 8, 120_000, 3, 0.1, 0.1
 #: Longer tokens are read as pieces of so many characters, each half over the next.
 LONGEST, PIECE = 40, 20
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
@@ -241,10 +244,22 @@ def train(sample: list[tuple[str, int]], counts_of: tuple[int, int] | None = Non
         "out": rng.normal(0, 0.3, 2 * STATE).astype(np.float32),
         "bias": np.zeros(1, np.float32),
         "words": words,
+        "chars": chars,
     }
-    adam = Adam(p, 5e-3)
-    char_in = np.zeros((len(tokens), CHAR), np.float32)
-    char_in[:] = char_means(clean, chars)
+    adam, chars_start = Adam(p, 5e-3), chars.copy()
+
+    def spelled(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of some tokens end to end, where each token's begin, and the tokens' mean vectors."""
+        n = per[which]
+        begin = np.cumsum(n) - n
+        rows = gram_rows[np.repeat(gram_at[which] - begin, n) + np.arange(n.sum())]
+        mean = np.add.reduceat(p["chars"][rows], begin, axis=0) / n[:, None]
+        return rows, n, (mean * real[which, None]).astype(np.float32)
+
+    def char_inputs() -> np.ndarray:
+        return np.concatenate([spelled(np.arange(at, min(at + 20_000, len(tokens))))[2] for at in range(0, len(tokens), 20_000)])
+
+    char_in = char_inputs()
 
     def project_all() -> np.ndarray:
         return np.concatenate([p["words"][word_row] * real[:, None], char_in], axis=1) @ p["wx"] + p["bx"]
@@ -276,7 +291,9 @@ def train(sample: list[tuple[str, int]], counts_of: tuple[int, int] | None = Non
                 win = every[chosen[b]]
                 flat = win.ravel()
                 shown = real[flat] & (rng.random(len(flat)) > UNSEEN)  # a word must also do by its characters
-                xin = np.concatenate([p["words"][word_row[flat]] * shown[:, None], char_in[flat]], axis=1)
+                distinct, back = np.unique(flat, return_inverse=True)
+                g_rows, g_sizes, spelling = spelled(distinct)
+                xin = np.concatenate([p["words"][word_row[flat]] * shown[:, None], spelling[back]], axis=1)
                 x = (xin @ p["wx"] + p["bx"]).reshape(len(b), LENGTH, 6 * STATE)
                 sf, tf = run_gru(x[:, :, : 3 * STATE], p["uf"], False, True)
                 sb, tb = run_gru(x[:, :, 3 * STATE :], p["ub"], True, True)
@@ -291,18 +308,27 @@ def train(sample: list[tuple[str, int]], counts_of: tuple[int, int] | None = Non
                 dxf, duf = back_gru(tf, p["uf"], dstates[:, :, :STATE])
                 dxb, dub = back_gru(tb, p["ub"], dstates[:, :, STATE:])
                 dx = np.concatenate([dxf, dxb], axis=2).reshape(-1, 6 * STATE)
+                dxin = dx @ p["wx"].T
                 dwords = np.zeros_like(p["words"])
-                np.add.at(dwords, word_row[flat], ((dx @ p["wx"].T)[:, :WORD] * shown[:, None]))
+                np.add.at(dwords, word_row[flat], dxin[:, :WORD] * shown[:, None])
                 dwords[0] = 0
+                # a token's gradient falls on its n-grams in equal parts
+                dspelling = np.zeros((len(distinct), CHAR), np.float32)
+                np.add.at(dspelling, back, dxin[:, WORD:])
+                part = np.repeat(dspelling * (real[distinct] / g_sizes)[:, None], g_sizes, axis=0)
+                dchars = np.stack([np.bincount(g_rows, part[:, c], BUCKETS) for c in range(CHAR)], axis=1).astype(np.float32)
                 adam.step(
                     {
                         "wx": xin.T @ dx, "bx": dx.sum(0), "uf": duf, "ub": dub,
                         "att": np.einsum("lbi,lbj->ij", states, de), "query": np.einsum("lb,lbj->j", ds, e),
-                        "out": pooled.T @ g, "bias": g.sum(keepdims=True), "words": dwords,
+                        "out": pooled.T @ g, "bias": g.sum(keepdims=True), "words": dwords, "chars": dchars,
                     }
                 )
+                # n-grams that the sample holds a few times only stay near where they start
+                p["chars"] += SETTLE * (chars_start - p["chars"])
         if turn % 2 == 0 and turn < ROUNDS - 2:
             continue
+        char_in = char_inputs()
         table = project_all()
         score = np.concatenate([forward(table[every[at : at + 4096]], p) for at in range(0, len(every), 4096)])
     fit_on = apart if apart.any() else used
@@ -317,7 +343,7 @@ def train(sample: list[tuple[str, int]], counts_of: tuple[int, int] | None = Non
         curve = (design * (share * q * (1 - q))[:, None]).T @ design + np.diag([0.02, 1e-6])
         coef = coef - np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
     a, c = map(float, coef)
-    return p | {"chars": chars, "vocabulary": vocabulary, "curve": (a, c)}
+    return p | {"vocabulary": vocabulary, "curve": (a, c)}
 
 
 def scorer(model: dict):
