@@ -165,39 +165,45 @@ def phrases(symbols: np.ndarray, sizes: np.ndarray, table: np.ndarray, segment:
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts = begin[owner] + nth * segment
     spans = np.minimum(segment, begin[owner] + sizes[owner] - starts)
-    after = np.zeros(len(symbols), np.int32)  # the state behind each symbol
-    ended = np.zeros(len(symbols), bool)  # whether a phrase ends before it
-
-    def parse(which: np.ndarray, state: np.ndarray, meet: bool) -> np.ndarray:
-        """Parses segments from given states; if ``meet``, each up to where it meets the parse before. Those that never do."""
-        order = np.argsort(-spans[which], kind="stable")
-        which, state = which[order], state[order]
-        met = []
-        for t in range(int(spans[which[0]]) if len(which) else 0):
-            alive = spans[which] > t
-            if not alive.all():
-                met.append(which[~alive])
-                which, state = which[alive], state[alive]
-            at = starts[which] + t
+    after = np.zeros(len(symbols), np.int32)  # what the table says at each symbol
+
+    def parse(which: np.ndarray) -> None:
+        """Parses segments, the longest first, each from the automaton's beginning."""
+        alive = len(which)
+        state, at = np.zeros(alive, np.int32), starts[which]
+        ends = np.searchsorted(-spans[which], -np.arange(1, int(spans[which[0]]) + 1), side="right")
+        for end in ends.tolist():
+            if end != alive:
+                alive = end
+                state, at = state[:alive], at[:alive]
             got = table[state + symbols[at]]
             state = got >> 1
-            if meet:
-                same = after[at] == state
-            after[at], ended[at] = state, (got & 1).astype(bool)
-            if meet and same.any():
-                which, state = which[~same], state[~same]
-            if not len(which):
-                break
-        return np.concatenate([*met, which]) if meet else which
-
-    parse(np.arange(len(owner)), np.zeros(len(owner), np.int32), False)
+            after[at] = got  # twice the state, plus 1 if a phrase ends
+            at = at + 1
+
+    def parse_on(which: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Parses segments from given states, each up to where it meets the parse before; returns those that never do."""
+        never, at, end = [], starts[which], starts[which] + spans[which]
+        while len(which):
+            got = table[state + symbols[at]]
+            state, met = got >> 1, after[at] >> 1 == got >> 1
+            after[at] = got
+            at = at + 1
+            out = at == end
+            never.append(which[out & ~met])
+            on = ~(met | out)
+            which, state, at, end = which[on], state[on], at[on], end[on]
+        return np.concatenate([np.zeros(0, np.int64), *never])
+
+    if len(owner):
+        parse(np.argsort(-spans, kind="stable"))
     again = np.flatnonzero(nth > 0)
     while len(again):  # a parse that doesn't meet the one before changes the next segment's beginning
-        over = parse(again, after[starts[again] - 1], True)
+        over = parse_on(again, after[starts[again] - 1] >> 1)
         following = over + 1
         following = following[following < len(owner)]
         again = np.sort(following[nth[following] > 0])
-    whole = np.concatenate([[0], np.cumsum(ended, dtype=np.int64)])
+    whole = np.concatenate([[0], np.cumsum(after & 1, dtype=np.int64)])
     return 1 + whole[begin + sizes] - whole[begin]
 
 
