@@ -36,6 +36,33 @@ def test_shards_are_even_gapless_and_whole(spark, odd, bucket_bytes):
     assert all(p == list(range(len(p))) for p in per) and max(map(len, per)) - min(map(len, per)) <= 1
 
 
+def test_shards_dont_depend_on_the_files(spark, odd, monkeypatch):
+    rows = odd.select("doc_id", "text").unionByName(spark.range(700).select(F.col("id").alias("doc_id"), F.repeat(F.lit("xy "), (F.col("id") % 40).cast("int")).alias("text")))
+    run = lambda df: sorted((str(r["doc_id"]), r["text"] or "", r["shard"], r["slot"]) for r in shard.shuffle_shards(df, 5, "doc_id", shard.text_size(), bucket_bytes=5000).collect())
+    assert run(rows.repartition(3)) == run(rows.repartition(7, "text").sortWithinPartitions("text"))
+
+
+def test_a_record_with_a_third_of_all_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(shard, "REPEATS", 20)
+    monkeypatch.setattr(shard, "PARTITIONS", 2)
+    monkeypatch.setattr(shard, "PARTITION_BYTES", 4000)
+    rows = [(1, "same text")] * 300 + [(i, f"text {i}") for i in range(600)]
+    got = shard.shuffle_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4, "doc_id", shard.text_size(), bucket_bytes=500).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(rows)
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(225)) for k in range(4))
+    per = [sum(r["text"] == "same text" and r["slot"] // 45 == k for r in got) for k in range(5)]
+    assert min(per) > 30
+
+
+def test_written_shards_read_back(spark, odd, tmp_path):
+    sharded = shard.shuffle_shards(odd, 3, "doc_id", shard.text_size(), stable=False)
+    shard.write_shards(sharded, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["slot"])
+    assert sorted(key(r) for r in back.collect()) == sorted(key(r) for r in sharded.collect())
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
 def test_shards_repeat_and_follow_the_seed(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     a, b, c = ({r["doc_id"]: (r["shard"], r["slot"]) for r in shard.shuffle_shards(df, 8, "doc_id", shard.text_size(), seed=s, bucket_bytes=100).collect()} for s in (1, 1, 2))
@@ -50,6 +77,18 @@ def test_op1_columns(spark):
     assert max(n) - min(n) <= 1
 
 
+def test_op1_values_equal_brute_force(spark):
+    rows = queries.QUERIES["op1_shard"](spark, DATA).collect()
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall())
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+    for k in range(16):
+        own = sorted(r["slot"] for r in rows if r["shard"] == k)
+        assert own == list(range(len(own)))
+
+
 # --- near-dedup ---
 
 
