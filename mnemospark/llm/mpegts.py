@@ -8,8 +8,12 @@ reference. Reading: sync bytes, the two tables (section lengths and CRC-32), con
 counters and PES headers are checked, packets are reassembled, and the payload, timestamps
 and random-access points come back. Damage raises ``ValueError``; nothing is skipped.
 
+Storing and reading are two steps, so a table of streams can be written in between and read by others. Timestamps and
+random-access points are columns of arrays.
+
 Nulls and empty texts are 64 zero bytes. All numbers follow from the text alone, so equal
-texts have equal streams.
+texts have equal streams, and repeated rows are stored like others; timestamps start again after 2^33 ticks in very
+long texts. There are no ties. An empty table gives no rows. Other columns are kept if asked; those named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -198,33 +202,45 @@ def demux(stream: bytes) -> tuple[bytes, list[int], list[int]]:
     return b"".join(payload), stamps, points
 
 
-def media_row(text: str | None) -> tuple:
-    """The stream of a text, and what reading it back gives."""
+def stored(text: str | None) -> tuple[bytes, int]:
+    """The stream that stores a text, and the text's bytes."""
     payload, n_bytes = padded(text)
-    stream = mux(payload)
+    return mux(payload), n_bytes
+
+
+def read_back(stream: bytes) -> tuple:
+    """What a stored stream holds: digests of its payload and of itself, its timestamps and random-access points, its feature."""
     back, stamps, points = demux(stream)
     samples = np.frombuffer(back, np.uint8)
-    feature = f"units={len(stamps)};last_pts={stamps[-1]};access_points={','.join(map(str, points))};mean={samples.mean():.4f};max={int(samples.max())}"
-    return stream, n_bytes, back, feature
+    feature = f"units={len(stamps)};mean={samples.mean():.4f};max={int(samples.max())}"
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, stamps, points
 
 
-def media_columns(docs: DataFrame, keep: list[str], stream: bool = False) -> DataFrame:
-    """``keep`` and digests of every row's stored and reread stream (and, if asked, the stream)."""
+def store(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with ``n_bytes`` and ``media``, the stream that stores each row's whole text."""
+
+    def run(texts: list[str | None]) -> list:
+        return [list(x) for x in zip(*((n, data) for data, n in map(stored, texts)))] if texts else [[], []]
 
-    def make():
-        def run(texts):
-            rows = []
-            for text in texts:
-                data, n_bytes, back, feature = media_row(text)
-                row = (n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature)
-                rows.append((*row, data) if stream else row)
-            return list(map(list, zip(*rows)))
+    return append_columns(docs, "text", keep, [("n_bytes", T.LongType()), ("media", T.BinaryType())], lambda: run)
 
-        return run
 
+def read(media: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with what each row's stream in ``media`` gives when it is read: payload digests, ``pts`` (presentation
+    timestamps of its units) and ``access_points`` (payload offsets at which reading can begin), features."""
+    numbers = T.ArrayType(T.LongType())
     new = [
-        ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
-        ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()),
-        *([("media", T.BinaryType())] if stream else []),
+        ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()),
+        ("media_sha256", T.StringType()), ("feature", T.StringType()), ("pts", numbers), ("access_points", numbers),
     ]
-    return append_columns(docs, "text", keep, new, make)
+
+    def run(streams: list[bytes]) -> list:
+        return [list(x) for x in zip(*map(read_back, streams))] if streams else [[] for _ in new]
+
+    return append_columns(media, "media", keep, new, lambda: run)
+
+
+def media_columns(docs: DataFrame, keep: list[str], stream: bool = False) -> DataFrame:
+    """``keep`` and what every row's stored and reread stream gives (and, if asked, the stream as ``media``)."""
+    kept = [*(c for c in keep if c.lower() not in ("n_bytes", "media")), "n_bytes"]
+    return read(store(docs, keep), [*kept, "media"] if stream else kept)

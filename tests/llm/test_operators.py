@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -289,6 +290,27 @@ def test_op4_digests(spark, odd, codec):
 # --- media ---
 
 
+def test_media_table_is_written_and_read_by_others(spark, odd, tmp_path):
+    mpegts.store(odd, ["doc_id", "text"]).write.parquet(str(tmp_path / "media"))
+    rows = mpegts.read(spark.read.parquet(str(tmp_path / "media")), ["doc_id", "text", "n_bytes", "media"]).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        payload, n = mpegts.padded(r["text"])
+        units = -(-len(payload) // mpegts.UNIT)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["pts"] == [k * mpegts.TICKS for k in range(units)] and r["access_points"] == [k * mpegts.UNIT for k in range(0, units, mpegts.TABLES_EVERY)]
+
+
+def test_new_columns_replace_those_of_the_same_name(spark):
+    df = spark.createDataFrame([(1, "abc", "x", "y", 5)], "doc_id long, text string, feature string, MEDIA string, n_bytes int")
+    got = mpegts.media_columns(df, df.columns)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and got.first()["feature"].startswith("units=1") and got.first()["n_bytes"] == 3
+    page = spark.createDataFrame([(1, "<p>one two three four five six seven</p>", "old", 3)], "page_id long, html string, text string, N_chars int")
+    got = htmltext.extract(page, page.columns)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and got.first()["text"] != "old"
+
+
+
 def test_streams_round_trip():
     rng = random.Random(0)
     for n in [0, 1, 63, 64, 65, *range(140, 200), mpegts.UNIT, mpegts.UNIT + 1, 9 * mpegts.UNIT + 5]:
