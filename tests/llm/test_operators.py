@@ -216,7 +216,36 @@ def test_leaks_planted_exact_cut_and_paraphrased(spark):
     extra = got - want - {(None, 3), (502, 5)}
     assert not extra, extra
     kept = {r["doc_id"] for r in decontaminate.drop_leaked(df, bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in want} - {502}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want} - {502, None}
+
+
+def test_leaks_with_three_tenths_of_the_words_changed(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").limit(400).collect() if r["text"]]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    rng = random.Random(9)
+    pool = [w for t in texts[:100] for w in t.split()]
+    hosts = [t for t in texts if 100 < len(t.split()) < 600]
+    docs, want = [], set()
+    for k in range(100):
+        item, text = rng.choice([x for x in items if len(x[1].split()) >= 12])
+        w = text.split()
+        for i in rng.sample(range(len(w)), round(0.3 * len(w))):
+            w[i] = rng.choice(pool)
+        h = rng.choice(hosts).split()
+        at = rng.randrange(len(h))
+        docs.append((k, " ".join(h[:at] + w + h[at:])))
+        want.add((k, item))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_leaks_in_a_text_of_over_a_million_words(spark, monkeypatch):
+    item = "these are the words of one benchmark item that stands nowhere else in the long text at all".split()
+    text = "filler words go on " * 260_000 + " ".join(item) + " and on" * 50_000
+    docs = spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item), "nowhere else")], "item_id long, text string, answer string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 7)]
 
 
 def test_common_subsequence():
