@@ -25,6 +25,7 @@ table gives no rows. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 
 from mnemospark.llm.common import append_columns, cut_lineage, fold, held_out, release_memory, sigmoid
 
-SINGLE, BAND, ENDINGS, WORDS, LEAST = 256, 128, 64, 8192, 20
-DIMENSION, NOISE, OWN_NOISE = 24, 64, 4
+SINGLE, BAND, ENDINGS, WORDS, LEAST = 128, 128, 32, 8192, 20
+DIMENSION, NOISE, OWN_NOISE = 16, 48, 4
 #: Tokens of a step: a thousandth of the corpus, within these bounds.
 BATCHES = (256, 2048)
 #: Parts of the training documents (of the last number in all) that each round goes over: together all of them.
@@ -158,7 +159,7 @@ class Reader:
         self.get = {w: i for i, (w, _) in enumerate(stats.head)}.get
 
     def places(self, ws: list[bytes]) -> np.ndarray:
-        return np.array([*[self.get(w, TAIL) for w in ws], END], np.int64)
+        return np.fromiter(itertools.chain(map(self.get, ws, itertools.repeat(TAIL)), (END,)), np.int64, len(ws) + 1)
 
     def classes(self, flat: np.ndarray, tail: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First-step output of each token, and the context rows one and two places before it.
@@ -264,7 +265,7 @@ class Learner:
         docs = [words(t) for t in texts]
         ids = [reader.places(d) for d in docs]
         flat, lengths = np.concatenate(ids), np.array([len(i) for i in ids])
-        tail = np.array([ending(w) for d, i in zip(docs, ids) for w, k in zip(d, i.tolist()) if k == TAIL], np.int64)
+        tail = np.array([ending(d[k]) for d, i in zip(docs, ids) for k in np.flatnonzero(i == TAIL).tolist()], np.int64)
         target, one, two = reader.classes(flat, tail, lengths)
         word = np.where((flat >= s.single) & (flat < s.own), flat - s.single, -1)
         order = self.rng.permutation(len(flat))
@@ -365,7 +366,7 @@ class Scorer:
     def __init__(self, stats: Statistics) -> None:
         self.stats, p = stats, stats.network
         self.first, self.second = p["r"] @ p["c1"], p["r"] @ p["c2"]
-        self.q, self.b = np.ascontiguousarray(p["q"].T), p["b"]
+        self.q, self.b = p["q"], p["b"]
         self.v, self.a = p["v"].reshape(-1, BAND, DIMENSION), p["a"].reshape(-1, BAND)
 
     def log_probabilities(self, target: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -375,9 +376,9 @@ class Scorer:
         h = self.first[keys // base] + self.second[keys % base]
         norm = np.empty(len(keys), np.float32)
         for at in range(0, len(keys), 4096):
-            norm[at : at + 4096] = log_sum(h[at : at + 4096] @ self.q + self.b)
+            norm[at : at + 4096] = log_sum(h[at : at + 4096] @ self.q.T + self.b)
         ht = h[inverse]
-        out = np.einsum("ij,ji->i", ht, self.q[:, target]) + self.b[target] - norm[inverse]
+        out = np.einsum("ij,ij->i", ht, self.q[target]) + self.b[target] - norm[inverse]
         inside = np.flatnonzero(word >= 0)
         order = inside[np.argsort(word[inside] // BAND, kind="stable")]
         bands = word[order] // BAND
@@ -414,7 +415,7 @@ def document_scorer(stats: Statistics) -> Callable[[list[str | None]], list]:
             begin = np.cumsum(lengths) - lengths
             own = base[flat]
             known = np.where(flat == END, stats.ends > 0, flat >= 0)
-            tails = [[w for w, k in zip(d, i.tolist()) if k == TAIL] for d, i in zip(docs, ids)]
+            tails = [[d[k] for k in np.flatnonzero(i == TAIL).tolist()] for d, i in zip(docs, ids)]
             model = own
             if scorer is not None:
                 tail = np.array([ending(w) for ws in tails for w in ws], np.int64)
