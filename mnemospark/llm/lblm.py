@@ -40,14 +40,14 @@ from pyspark.sql import types as T
 from mnemospark.llm.common import append_columns, cut_lineage, fold, held_out, release_memory, sigmoid
 
 SINGLE, BAND, ENDINGS, WORDS, LEAST = 128, 128, 32, 8192, 20
-DIMENSION, NOISE, OWN_NOISE = 16, 48, 4
+DIMENSION, NOISE, OWN_NOISE = 16, 32, 2
 #: Tokens of a step: a thousandth of the corpus, within these bounds.
-BATCHES = (256, 2048)
+BATCHES = (256, 4096)
 #: Parts of the training documents (of the last number in all) that each round goes over: together all of them.
-ROUNDS, PARTS = ((0, 1), (1, 2), (2, 4), (4, 8)), 8
+ROUNDS, PARTS = ((0, 1), (1, 3), (3, 8)), 8
 #: Tokens a task goes over in a round at least, where there are so many: weights are moved once for them.
 TASK_TOKENS = 1_000_000
-RATES = (0.12, 0.1, 0.08, 0.05)
+RATES = (0.12, 0.1, 0.06)
 HEAD_WORDS, HEAD_BYTES = 300_000, 12_000_000
 #: Distinct words counted in a task before they are passed on.
 FLUSH = 300_000
@@ -330,7 +330,7 @@ def train(training: DataFrame, stats: Statistics, seed: int = 6) -> dict[str, np
     """The network's weights, from every token of every training document (doc_id, text)."""
     context = training.sparkSession.sparkContext
     weights = first_weights(stats, seed)
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(PARTS))
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PARTS))
     for k, ((low, high), rate) in enumerate(zip(ROUNDS, RATES)):
         shared = context.broadcast((stats, weights))
         # a text goes to the tasks of its round only; small rounds to few tasks
