@@ -9,6 +9,8 @@ from mnemospark.llm.common import cut_lineage
 
 #: A key with more rows than this, and more than a ``HOT_KEYS``-th of all, is split: so at most ``HOT_KEYS`` keys are.
 HOT, HOT_KEYS = 512, 1000
+#: From so many edges on, the rounds that look for components split hot nodes; fewer are a moment's work for one task.
+SPLIT_EDGES = 200_000
 
 
 def join_spread(rows: DataFrame, told: DataFrame, key: str, total: int, by: Column) -> DataFrame:
@@ -40,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        joined = join_spread(both, least, "a", 2 * total, F.col("b"))
+        joined = join_spread(both, least, "a", 2 * total, F.col("b")) if total > SPLIT_EDGES else both.join(least.drop("n"), "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.llm import shingles as pieces
-from mnemospark.llm.common import append_columns, cut_lineage
+from mnemospark.llm.common import append_columns, cut_lineage, release_memory
 from mnemospark.llm.components import HOT, HOT_KEYS, components, join_spread
 
 #: Shingles met so often among ``FLUSH`` of a task are told as common, at most so many of them.
@@ -131,6 +131,9 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, s
 
     found = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(pick, "node long, set binary")
     own = cut_lineage(found.groupBy("node").agg(F.min("set").alias("set")))
+    shared.destroy()
+    del spots, maps
+    release_memory()
     total = pairs.count()
 
     def with_sets(rows: DataFrame, end: str, other: str) -> DataFrame:

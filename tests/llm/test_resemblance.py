@@ -73,6 +73,7 @@ def test_one_row_of_equal_documents_stays(spark):
 
 def test_hot_keys_are_spread(spark, monkeypatch):
     monkeypatch.setattr(components, "HOT", 3)
+    monkeypatch.setattr(components, "SPLIT_EDGES", 0)
     rng = np.random.default_rng(2)
     rows = [(int(k), int(i)) for i, k in enumerate(rng.choice(5, 400, p=[0.8, 0.05, 0.05, 0.05, 0.05]))]
     df = spark.createDataFrame(rows, "key long, i long")
