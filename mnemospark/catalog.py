@@ -539,11 +539,11 @@ def point_lookup(spark, d):
     return S.memories(spark, d).where(F.col("id") == "17").select("id", "project", "superseded_by")
 
 
-@query(f"WITH {M} SELECT id FROM memories ORDER BY updated_at, id LIMIT 100")
+@query(f"WITH {M} SELECT id FROM memories ORDER BY updated_at, id")
 def curation_walk(spark, d):
     from mnemospark.sources.store import curation_walk as walk
 
-    return walk(S.memories(spark, d), 100).select("id")
+    return walk(S.memories(spark, d), 0).select("id")
 
 
 @query(f"WITH {M} SELECT id, project FROM memories WHERE id IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)")

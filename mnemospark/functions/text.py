@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the rules below.
-TITLE_MIN, TITLE_MAX, DESCRIPTION_MAX, MAX_SOURCES, SCAN_CHARS = 8, 120, 240, 8, 65_536
+TITLE_MIN, TITLE_MAX, DESCRIPTION_MAX, MAX_SOURCES, SCAN_BYTES = 8, 120, 240, 8, 65_536
 RESOURCE_EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "rb", "c", "h", "cpp", "md", "yaml", "yml", "toml", "json", "sh", "sql", "tf", "proto"]
 SHORT_BODY, SEGMENT_CHARS, MAX_SEGMENTS = 1200, 1600, 64
 ELLIPSIS = "…"
@@ -52,9 +52,15 @@ def short_id(c: Column) -> Column:
     return F.left(c, F.lit(8))
 
 
+def scanned(body: Column) -> Column:
+    """The body's first ``SCAN_BYTES`` bytes, without a character that they end within."""
+    start = F.make_valid_utf8(F.substring(body.cast("binary"), 1, SCAN_BYTES).cast("string"))
+    return F.when(F.octet_length(body) <= SCAN_BYTES, body).otherwise(F.left(body, F.length(F.regexp_replace(start, "\uFFFD+$", ""))))
+
+
 def content_lines(body: Column) -> Column:
     """The body's lines without marks, empty ones left out, of the scanned part."""
-    lines = F.split(F.left(body, F.lit(SCAN_CHARS)), "\r?\n")
+    lines = F.split(scanned(body), "\r?\n")
     return F.filter(F.transform(lines, strip_markup), lambda x: x != "")
 
 
@@ -78,7 +84,7 @@ def title_description(body: Column) -> Column:
 
 def source_citations(body: Column) -> Column:
     """URLs and directory-qualified source paths, in order, distinct, at most eight."""
-    tokens = F.split(F.left(body, F.lit(SCAN_CHARS)), r"\s+")
+    tokens = F.split(scanned(body), r"\s+")
     bare = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, "^[`\"'()\\[\\]<>]+|[`\"'()\\[\\]<>]+$", ""), r"[.,;:!?]+$", ""))
     path = r"^(?:[\p{L}\p{N}/._+@-]*/)[\p{L}\p{N}_+@-][\p{L}\p{N}._+@-]*\.(?:" + "|".join(RESOURCE_EXTENSIONS) + r")$"
     ok = lambda t: t.startswith("http://") | t.startswith("https://") | (t.rlike(path) & (F.octet_length(t) <= 200))
@@ -194,7 +200,7 @@ def segment_markdown(body: str | None) -> list[tuple[int, str | None, str]]:
         return [(0, None, body)]
     path: list[str] = []
     parts: list[tuple[str | None, list[str]]] = [(None, [])]
-    for line in body.splitlines():
+    for line in re.split("\r?\n", body):
         m = re.match(r"\s*(#{1,6})\s(.*)$", line)
         if m:
             path = [*path[: len(m[1]) - 1], m[2].strip()]

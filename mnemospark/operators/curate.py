@@ -209,7 +209,7 @@ def length_budget(decisions: DataFrame, memories: DataFrame) -> DataFrame:
     """Decisions (batch, id, action, target, content) under length budgets.
 
     A merge target's body may have three quarters of all merged characters, a single replacement one
-    and a half times its original; beyond it the target and all rows that feed it become keep_original.
+    and a half times its original; beyond it, or with a blank one, the target and all rows that feed it become keep_original.
     """
     rows = decisions.join(memories.select("id", F.col("content").alias("own"), F.coalesce("content_raw", "content").alias("raw")), "id")
     n = lambda c: F.length(trimmed(c))
@@ -219,7 +219,7 @@ def length_budget(decisions: DataFrame, memories: DataFrame) -> DataFrame:
     merged = F.col("incoming").isNotNull()
     body = F.when(merged, F.coalesce(replaced, F.col("own"))).otherwise(replaced)
     most = F.when(merged, merge_budget(n(F.col("own")) + F.col("incoming"))).otherwise(rewrite_budget(F.col("raw")))
-    over = j.where(body.isNotNull() & (n(body) > most)).select("batch", F.col("id").alias("over_id"))
+    over = j.where((body.isNotNull() & (n(body) > most)) | (replaced.isNotNull() & (n(replaced) == 0))).select("batch", F.col("id").alias("over_id"))
     marked = decisions.join(over.withColumnRenamed("over_id", "id").withColumn("own_over", F.lit(True)), ["batch", "id"], "left")
     marked = marked.join(over.withColumnRenamed("over_id", "target").withColumn("target_over", F.lit(True)), ["batch", "target"], "left")
     keep = F.coalesce("own_over", F.lit(False)) | (F.coalesce("target_over", F.lit(False)) & (F.col("action") == "merge_into"))

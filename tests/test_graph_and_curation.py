@@ -113,3 +113,12 @@ def test_parse_decisions():
     assert D.parse_decisions(ok, ids) == [{"id": "m1", "action": "merge_into", "target": "m2", "content": None}, {"id": "m2", "action": "keep", "target": None, "content": None}]
     for bad in (None, "", "x", "{}", '{"decisions": {"r1": {"action": "keep"}}}', '{"decisions": {"r1": {"action": "keep"}, "m1": {"action": "keep"}}}', '{"decisions": {"zz": {"action": "keep"}, "m2": {"action": "keep"}}}'):
         assert D.parse_decisions(bad, ids) is None
+
+
+def test_a_blank_replacement_keeps_the_original(spark):
+    from mnemospark.operators import curate
+
+    memories = spark.createDataFrame([("a", "an own text", None), ("b", "another text", None)], "id string, content string, content_raw string")
+    decisions = spark.createDataFrame([(1, "a", "supersede_by", None, "  "), (1, "b", "supersede_by", None, "other")], "batch int, id string, action string, target string, content string")
+    got = {r["id"]: r["action"] for r in curate.length_budget(decisions, memories).collect()}
+    assert got == {"a": "keep_original", "b": "supersede_by"}

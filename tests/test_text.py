@@ -91,3 +91,17 @@ def test_documents_parse_and_render():
     assert again == got
     for bad in (None, "no frontmatter", "---\ntype: x\nno end", "---\n- a\n---\n", "---\ntitle: x\n---\n", "---\na: &x [1]\nb: [" + "*x," * 70 + "]\ntype: t\n---\n", "---\ntype: [\n---\n", "---\nd: " + "[" * 40 + "]" * 40 + "\ntype: x\n---\n"):
         assert parse_document(bad)["error"]
+
+
+def test_segments_break_at_newlines_only():
+    body = "intro" + "x" * X.SHORT_BODY + "\u2028# no heading\x0c# none either\r\n# Heading\r\nown text"
+    got = X.segment_markdown(body)
+    assert [h for _, h, _ in got][-1] == "Heading" and "# no heading" in got[-2][2] and "# none either" in got[-2][2]
+    assert all(h in (None, "Heading") for _, h, _ in got)
+
+
+def test_only_64_kib_of_a_body_are_scanned(spark):
+    rows = [("é" * 40_000 + "\nNext line",), (" \n" * 40_000 + "Late title",), ("Short\nline",), (None,)]
+    got = [r["x"] for r in spark.createDataFrame(rows, "body string").select(X.title_description(F.col("body")).alias("x")).collect()]
+    assert got[0]["title"] is None and got[0]["description"].startswith("é")
+    assert (got[1]["title"], got[1]["description"]) == (None, None) and (got[2]["title"], got[2]["description"]) == ("Short", "line")
