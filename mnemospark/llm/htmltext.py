@@ -6,7 +6,9 @@ a container that is named or marked as menu, advert, comment and the like, or ne
 decision tree, trained on the labelled table below, keeps or drops each block.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
-joined by one newline in page order. Nulls, empty pages and pages without text give an
+joined by one newline in page order. Equal pages give equal texts, and repeated rows are read like others; a tie of two splits of
+the tree goes to the feature that comes first. An empty table gives no rows. Columns named like the new ones are replaced; pages of any
+length are read whole. Nulls, empty pages and pages without text give an
 empty string. Broken markup never raises: an unclosed comment, script or style reaches to
 the page's end, a "<" that opens no tag is text.
 """
@@ -44,7 +46,13 @@ MARKED = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login search form widget pagination pager toolbar tags "
     "copyright disclaimer legal skip contentinfo complementary dialog alertdialog".split()
 )
-#: Of these, the ones that still hold for an article inside them.
+#: Parts that say where or how something stands, not what it is: a class word is marked if its other parts all are.
+NEUTRAL = frozenset(
+    "site page main top bottom left right primary secondary global inner outer box wrap wrapper container block list area bar section item items link links "
+    "button buttons text content title heading body group module panel post article entry user reader the js has is sticky fixed floating and of"
+    .split()
+)
+#: Of the marked parts, the ones that still hold for an article inside them.
 STRONG = frozenset("comment comments disqus respond reply replies related recommended".split())
 OPEN, ARTICLE, CONTENT, OUTSIDE, MARK = 1, 3, 2, 0, -1
 
@@ -57,9 +65,9 @@ LABELLED = [
     (30, 0.5, 50, 0.1, 60, 0.0, ARTICLE, 1), (5, 1.0, 60, 0.0, 55, 0.0, ARTICLE, 1), (3, 0.0, 4, 1.0, 12, 0.3, ARTICLE, 1),
     (200, 0.02, 0, 0.0, 9, 0.6, ARTICLE, 1), (4, 0.0, 0, 0.0, 0, 0.0, ARTICLE, 1), (6, 0.3, 9, 0.0, 9, 0.0, ARTICLE, 1),
     (15, 0.8, 40, 0.0, 38, 0.0, ARTICLE, 1), (1, 0.0, 1, 1.0, 7, 0.5, ARTICLE, 1), (9, 0.0, 5, 1.0, 4, 1.0, ARTICLE, 1),
-    # rows of links inside an article
-    (3, 1.0, 4, 1.0, 2, 1.0, ARTICLE, 0), (6, 1.0, 5, 1.0, 30, 0.0, ARTICLE, 1), (7, 1.0, 8, 1.0, 6, 1.0, ARTICLE, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, ARTICLE, 0), (12, 1.0, 14, 1.0, 11, 1.0, ARTICLE, 0),
+    # rows of links inside an article are its text, as a list of works or sources is
+    (3, 1.0, 4, 1.0, 2, 1.0, ARTICLE, 1), (6, 1.0, 5, 1.0, 30, 0.0, ARTICLE, 1), (7, 1.0, 8, 1.0, 6, 1.0, ARTICLE, 1),
+    (2, 1.0, 1, 1.0, 1, 1.0, ARTICLE, 1), (12, 1.0, 14, 1.0, 11, 1.0, ARTICLE, 1),
     # content that is only named as such
     (50, 0.0, 40, 0.0, 45, 0.0, CONTENT, 1), (2, 0.0, 44, 0.0, 38, 0.0, CONTENT, 1), (1, 0.0, 2, 0.0, 1, 0.0, CONTENT, 1),
     (9, 0.1, 3, 1.0, 50, 0.0, CONTENT, 1), (18, 0.6, 35, 0.0, 20, 0.1, CONTENT, 1), (4, 1.0, 3, 1.0, 5, 1.0, CONTENT, 0),
@@ -105,7 +113,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int]]:
     def end_block() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 out.append((text, text.count(" ") + 1, linked, place()))
             pieces.clear()
@@ -114,9 +122,10 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int]]:
     def add(text: str) -> None:
         nonlocal linked
         if text:
+            text = html.unescape(text)  # each run of text by itself: a tag ends a character reference
             pieces.append(text)
             if in_link:
-                linked += len(html.unescape(text).split())
+                linked += len(text.split())
 
     while True:
         m = _TAG.search(page, at, last) if at < last else None
@@ -185,7 +194,10 @@ def meaning(name: str, attributes: str, inside: bool) -> int | None:
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
                 return MARK - 1
             if key in ("class", "id", "role"):
-                parts.update(x.lower() for x in _PARTS.findall(value))
+                for word in value.split():
+                    own = {x.lower() for x in _PARTS.findall(word)}
+                    # "cookie-banner" and "site-footer" are marked, "social-history" is not
+                    parts |= own if not own & MARKED or own <= MARKED | NEUTRAL else own - MARKED
     if parts & STRONG or name in DROPPED:
         return MARK - 1
     if name == "body":

@@ -316,6 +316,19 @@ def test_op4_digests(spark, odd, codec):
     assert ids[4] == public.encode_ordinary("two words") and ids[0] == []
 
 
+def test_extraction_keeps_what_only_looks_like_a_menu():
+    tree = htmltext.train()
+    body = "<p>" + "plain words of the article stand here " * 5 + "</p>"
+    page = f"<article>{body}<div class='social-history'><p>A chapter on social history.</p></div><div class='cookie-banner'>We use cookies</div></article>"
+    got = htmltext.main_text(page, tree)
+    assert "A chapter on social history." in got and "cookies" not in got
+    linked = "".join(f"<p><a href='/{k}'>A paragraph that is wholly a link, number {k}</a></p>" for k in range(3))
+    assert htmltext.main_text(f"<article>{linked}</article>", tree).count("wholly a link") == 3
+    works = "<ul>" + "".join(f"<li><a href='/{k}'>Work {k}</a></li>" for k in range(4)) + "</ul>"
+    assert htmltext.main_text(f"<article>{body}{works}</article>", tree).endswith("Work 0\nWork 1\nWork 2\nWork 3")
+    assert htmltext.main_text(f"<article><p>{'word ' * 30}AT&<b>lt;</b>x</p></article>", tree).endswith("AT&lt;x")
+
+
 # --- media ---
 
 
