@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import glob
+import os
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -35,6 +38,20 @@ def release_memory() -> None:
         pass
 
 
+@functools.cache
+def one_thread() -> None:
+    """Matrix products in this process take one thread: each core has a task of its own, and idle threads only spin."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        try:
+            library = ctypes.CDLL(path)
+        except OSError:
+            continue
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read from there."""
     return lineage.cut(df)
@@ -158,6 +175,7 @@ def append_columns(
     names = [n for n, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         compute = make()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

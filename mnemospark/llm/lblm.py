@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemospark.llm.common import append_columns, cut_lineage, fold, held_out, release_memory, sigmoid
+from mnemospark.llm.common import append_columns, cut_lineage, fold, held_out, one_thread, release_memory, sigmoid
 
 SINGLE, BAND, ENDINGS, WORDS, LEAST = 128, 128, 32, 8192, 20
 DIMENSION, NOISE, OWN_NOISE = 16, 32, 2
@@ -338,6 +338,7 @@ def train(training: DataFrame, stats: Statistics, seed: int = 6) -> dict[str, np
         own = own.coalesce(max(1, stats.tokens * (high - low) // PARTS // TASK_TOKENS))
 
         def run(batches: Iterator[pa.RecordBatch], k=k, rate=rate, shared=shared) -> Iterator[pa.RecordBatch]:
+            one_thread()
             learner = reader = None
             for batch in batches:
                 if learner is None and batch.num_rows:
