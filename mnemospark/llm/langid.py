@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemospark.llm.common import append_columns, fold
+from mnemospark.llm.common import append_columns, cut_lineage, fold
 
 #: Per language, at most so many texts and so many bytes of them are learned from.
 TEXTS, LETTERS = 200, 40_000
@@ -246,21 +246,24 @@ def training_texts(docs: DataFrame, texts_each: int = TEXTS, letters_each: int =
     the first of a language always is, up to ``letters_each`` characters of it.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("lang", "doc_id", "text")
-    # the first of every language by a hash; each task cuts its own rows to as many before they
-    # move, so a language with a third of all rows sends no more than any other
+    # one row for each language; LANGUAGES at most, so they may be broadcast
+    per = cut_lineage(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")))
+    languages = per.count()
+    if languages > LANGUAGES:
+        raise ValueError(f"lang has {languages} values, more than the {LANGUAGES} that can be learned")
+    # the first of every language by a hash; only ids with a hash below that of about eight times as many are put in
+    # order, so a language with most of the rows sends no more than any other
     key = F.xxhash64("doc_id")
     first = Window.partitionBy("lang").orderBy("key", "doc_id", "text_key")
     size = F.least(F.length("text"), F.lit(letters_each))
-    ids = usable.select("lang", "doc_id", key.alias("key"), F.xxhash64("text").alias("text_key"), size.alias("size"))
+    low = (key.cast("double") + 2.0**63) / 2.0**64 * F.col("ids") < 8 * texts_each
+    ids = usable.join(F.broadcast(per), "lang").where(low).select("lang", "doc_id", key.alias("key"), F.xxhash64("text").alias("text_key"), size.alias("size"))
     # of a repeated id one text is taken
     one = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 4 * texts_each).groupBy("lang", "doc_id", "key").agg(F.min(F.struct("text_key", "size")).alias("t"))
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
     before = F.coalesce(F.sum("t.size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = one.withColumn("before", before).withColumn("r", F.row_number().over(order)).where((F.col("before") < letters_each) & (F.col("r") <= texts_each))
     picked = picked.select("lang", "doc_id", F.col("t.text_key").alias("text_key"))
-    languages = usable.select("lang").distinct().count()
-    if languages > LANGUAGES:
-        raise ValueError(f"lang has {languages} values, more than the {LANGUAGES} that can be learned")
     found = usable.join(F.broadcast(picked), ["lang", "doc_id"]).where(F.xxhash64("text") == F.col("text_key"))
     rows = found.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", key.alias("key"), "doc_id", F.substring("text", 1, letters_each).alias("text"))
     out: dict[str, list[str]] = {}
