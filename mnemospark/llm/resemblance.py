@@ -6,11 +6,11 @@ Search: with the shingles of all sets in one global order, sets that alike share
 among the first ``size - ceil(similarity * size) + 1`` of each (the prefix filter), so no
 linked pair is missed. Shingles that tasks met often come last in the order, so prefixes hold
 rare ones; what order it is changes the work, never the links. Each prefix shingle is a key.
-First every set is verified against the least set under each of its keys and against the caller's candidates, which
-is linear and joins large groups of copies; then all pairs not yet connected that share as many keys as alike
-sets of their sizes must (``t + 1`` less the larger ``ceil(similarity * size)``, where ``t`` is
-the least overlap) are verified too. So the links' components are those of all linked pairs, though pairs
-within a component need not all be listed.
+First every set is verified against one set under each of its keys, that with the fewest rarer shingles, and against the caller's candidates, which
+is linear and joins large groups of copies; then pairs not yet connected are verified if a key that both have may be
+the first they share: from its places on, each set has as many shingles left as alike sets of their sizes share. Every alike
+pair passes that test at its first shared key, while sets that share only a passage at the end of their
+orders fail it. So the links' components are those of all linked pairs, though pairs within a component need not all be listed.
 
 Shingles are compared by 64-bit hashes and sets by a hash of their shingles. Null, empty and
 wordless texts are one empty set, alike to each other only; fewer words than a shingle are one
@@ -166,7 +166,7 @@ def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, si
     shared_common = spark.sparkContext.broadcast(np.sort(common))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, node, size, often) for each shingle of a prefix."""
+        """(key, node, size, often, place) for each shingle of a prefix."""
         known = shared_common.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -177,40 +177,44 @@ def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, si
                     continue
                 keys = np.frombuffer(b"".join(blobs), "<i8")
                 node, size = (np.repeat(batch.column(k).to_numpy(), per) for k in (0, 1))
+                place = np.arange(len(keys)) - np.repeat(np.cumsum(per) - per, per)
                 often = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(size), pa.array(often)], names=["key", "node", "size", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(size), pa.array(often), pa.array(place)], names=["key", "node", "size", "often", "place"])
 
-    postings = sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long, often boolean")
+    postings = sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long, often boolean, place long")
     total = sets.agg(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0
     # a key in so many sets is among those that tasks met often; at most HOT_KEYS of them, so they may be broadcast,
     # and no task takes all sets of one
     bound = max(HOT, total // 8 // HOT_KEYS)
-    hub = F.min(F.struct("node", "size"))
+    # the set with the fewest rarer shingles of its own stands nearest to the others under a key
+    hub = F.min_by(F.struct("node", "size"), F.struct("place", "node"))
     hot = cut_lineage(postings.where("often").groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where(F.col("n") > bound).select("key", "hub"))
     under = Window.partitionBy("key")
     cold = postings.join(F.broadcast(hot.select("key")), "key", "left_anti")
     told = cold.withColumn("n", F.count("*").over(under)).withColumn("hub", hub.over(under)).where("n > 1")
-    columns = ["key", "node", "size", "hub"]
+    columns = ["key", "node", "size", "place", "hub"]
     shared = cut_lineage(told.select(*columns).unionByName(postings.join(F.broadcast(hot), "key").select(*columns)))
     p, q = similarity.numerator, similarity.denominator
 
     def fits(x, y):
         return (x * q >= y * p) & (y * q >= x * p)
 
-    def pairs(x: str, y: str, of: DataFrame) -> DataFrame:
-        """Pairs of the rows' sets ``x`` and ``y`` that share as many keys as alike sets must."""
-        a, b = F.struct(f"{x}.node", f"{x}.size"), F.struct(f"{y}.node", f"{y}.size")
-        met = of.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).groupBy("a", "b").count()
+    def met(rows: DataFrame) -> DataFrame:
+        """Pairs of the rows' sets ``own`` and ``hub`` that share as many keys as alike sets must."""
+        a, b = F.least("own", "hub"), F.greatest("own", "hub")
+        counted = rows.select(a.alias("a"), b.alias("b")).groupBy("a", "b").count()
         least = [F.ceil(F.col(f"{k}.size") * p / q) for k in "ab"]
         overlap = F.ceil((F.col("a.size") + F.col("b.size")) * p / (p + q))
-        return met.where(F.col("count") >= overlap + 1 - F.greatest(*least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        return counted.where(F.col("count") >= overlap + 1 - F.greatest(*least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
     first = shared.withColumn("own", F.struct("node", "size")).where((F.col("node") != F.col("hub.node")) & fits(F.col("size"), F.col("hub.size")))
-    near = verified(docs, cut_lineage(pairs("own", "hub", first).unionByName(candidates).distinct()), sets, shingle, similarity)
-    rooted = cut_lineage(shared.select("key", "node", "size").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    near = verified(docs, cut_lineage(met(first).unionByName(candidates).distinct()), sets, shingle, similarity)
+    rooted = cut_lineage(shared.select("key", "node", "size", "place").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")))
     # a key whose sets are all connected has nothing left to find
     open_ = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count("*").alias("n")).where("l < h").select("key", "n")
     left = cut_lineage(join_spread(rooted, open_, "key", rooted.count(), F.col("node")))
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    found = cut_lineage(pairs("x", "y", left.alias("x").join(left.alias("y"), cond & fits(F.col("x.size"), F.col("y.size")))))
+    reach = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    cond &= fits(F.col("x.size"), F.col("y.size")) & (reach * (p + q) >= (F.col("x.size") + F.col("y.size")) * p)
+    found = cut_lineage(left.alias("x").join(left.alias("y"), cond).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     return near.unionByName(verified(docs, found, sets, shingle, similarity)) if found.limit(1).count() else near
