@@ -17,6 +17,7 @@ from mnemospark.operators import graph as G
 from mnemospark.operators import lexical as L
 from mnemospark.operators import retrieve as V
 from mnemospark.operators import revisions as H
+from mnemospark.operators import writes as W
 from mnemospark.operators.vector import knn
 from mnemospark.plans import standins as S
 from mnemospark.plans import sync as Y
@@ -403,11 +404,89 @@ def cas_apply(spark, d):
     return H.cas_apply(current, new).select("memory_id", "outcome", "revision")
 
 
-@query(f"WITH {M} SELECT id AS memory_id, CASE WHEN project = '__global__' THEN 'global' ELSE project END AS scope, sha256(content) AS content_hash FROM memories WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+_HASHED = "hashed AS (SELECT memory_id, revision, sha256(memory_id || '|' || operation || '|' || event_id) AS content_hash FROM revisions)"
+_STONES = f"""{M}, {C}, {R}, {_HASHED},
+  stones AS (SELECT m.id AS memory_id, CASE WHEN project = '__global__' THEN 'global' ELSE project END AS scope, r.content_hash FROM memories m JOIN concepts c ON c.memory_id = m.id
+    JOIN hashed r ON r.memory_id = m.id AND r.revision = c.current_revision WHERE m.doc_id % 2 = 1)"""
+
+
+def _forgotten(spark, d):
+    ids = docs(spark, d).where("doc_id % 2 = 1").select(F.col("doc_id").cast("string").alias("id"))
+    log = S.revisions(spark, d).withColumn("content_hash", F.sha2(F.concat_ws("|", "memory_id", "operation", F.col("event_id").cast("string")), 256))
+    left, stones = H.forget(S.memories(spark, d), S.concepts(spark, d), log, ids, F.lit("2024-06-01").cast("timestamp"))
+    return left, stones, log
+
+
+@query(f"WITH {_STONES} SELECT * FROM stones")
 def forget_tombstones(spark, d):
-    ids = S.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")).distinct()
-    _, stones = H.forget(S.memories(spark, d), S.concepts(spark, d), ids, F.lit("2024-06-01").cast("timestamp"))
-    return stones.select("memory_id", "scope", "content_hash")
+    return _forgotten(spark, d)[1].select("memory_id", "scope", "content_hash")
+
+
+@query(f"""WITH {_STONES}, gone AS (SELECT memory_id FROM stones),
+  rel AS (SELECT id AS src, superseded_by AS dst FROM memories WHERE superseded_by IS NOT NULL AND id NOT IN (SELECT memory_id FROM gone))
+  SELECT 'memories' AS name, COUNT(*) AS n FROM memories WHERE id NOT IN (SELECT memory_id FROM gone)
+  UNION ALL SELECT 'concepts', COUNT(*) FROM concepts WHERE memory_id NOT IN (SELECT memory_id FROM gone)
+  UNION ALL SELECT 'revisions', COUNT(*) FROM revisions WHERE memory_id NOT IN (SELECT memory_id FROM gone)
+  UNION ALL SELECT 'edges', COUNT(*) FROM rel UNION ALL SELECT 'resolved edges', COUNT(*) FROM rel WHERE dst NOT IN (SELECT memory_id FROM gone)""")
+def forget_cascade(spark, d):
+    left, stones, log = _forgotten(spark, d)
+    rel = S.memories(spark, d).where("superseded_by IS NOT NULL").select(F.col("id").alias("src_memory_id"), F.col("superseded_by").alias("dst_memory_id"), F.col("superseded_by").alias("dst_ref"))
+    kept = W.cascade({"concepts": S.concepts(spark, d), "revisions": log, "relationships": rel}, stones)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    out = count(left, "memories").unionByName(count(kept["concepts"], "concepts")).unionByName(count(kept["revisions"], "revisions"))
+    return out.unionByName(count(kept["relationships"], "edges")).unionByName(count(kept["relationships"].where("dst_memory_id IS NOT NULL"), "resolved edges"))
+
+
+_MERGED = f"""{M}, pairs AS (SELECT id AS older, newer FROM (SELECT id, superseded_by, LEAD(id) OVER (PARTITION BY content ORDER BY created_at, id) AS newer FROM memories) WHERE newer IS NOT NULL AND superseded_by IS DISTINCT FROM newer)"""
+
+
+def _merged(spark, d):
+    m, c = S.memories(spark, d), S.concepts(spark, d)
+    mapping = m.select(F.col("id").alias("older"), F.lead("id").over(Window.partitionBy("content").orderBy("created_at", "id")).alias("newer")).where("newer IS NOT NULL")
+    return W.supersede_logged(m, c, mapping, "curator", "merge")
+
+
+@query(f"""WITH {_MERGED} SELECT newer AS src_memory_id, older AS dst_memory_id, 'supersedes' AS relation, 2 AS source_revision FROM pairs""")
+def supersede_edges(spark, d):
+    return _merged(spark, d)[3].select("src_memory_id", "dst_memory_id", "relation", "source_revision")
+
+
+@query(f"""WITH {_MERGED} SELECT newer AS memory_id, 2 AS revision, 1 AS parent_revision, m.superseded_by AS pointer FROM pairs JOIN memories m ON m.id = newer
+  UNION ALL SELECT older, CASE WHEN older IN (SELECT newer FROM pairs) THEN 3 ELSE 2 END, CASE WHEN older IN (SELECT newer FROM pairs) THEN 2 ELSE 1 END, newer FROM pairs""")
+def supersede_log(spark, d):
+    logged = _merged(spark, d)[2]
+    return logged.select("memory_id", "revision", "parent_revision", F.get_json_object("snapshot_json", "$.superseded_by").alias("pointer"))
+
+
+@query("""WITH rel AS (SELECT o_orderkey AS id, CAST(o_custkey % 20 AS VARCHAR) AS src, o_orderkey % 5 + 1 AS rev, o_orderpriority AS relation, o_orderstatus AS dst_ref, CASE WHEN o_orderkey % 2 = 1 THEN 1 END AS ordinal,
+    CASE o_orderkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'store' ELSE 'user' END AS producer FROM orders),
+  made AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS src, r AS rev FROM (SELECT user_id, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE event_type = 'click')
+  SELECT id, CASE WHEN producer = 'store' AND EXISTS (SELECT 1 FROM made m WHERE m.src = rel.src AND m.rev = rel.rev) THEN 'click' ELSE producer END AS producer FROM rel
+  WHERE NOT (producer = 'store' AND EXISTS (SELECT 1 FROM made m WHERE m.src = rel.src AND m.rev = rel.rev) AND EXISTS (SELECT 1 FROM rel t WHERE t.producer = 'click' AND t.src = rel.src AND t.rev = rel.rev
+    AND t.relation = rel.relation AND t.dst_ref = rel.dst_ref AND COALESCE(t.ordinal, -1) = COALESCE(rel.ordinal, -1)))""")
+def repair_producers(spark, d):
+    o = S.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    who = F.when(k % 3 == 0, "click").when(k % 3 == 1, "store").otherwise("user")
+    rel = o.select(k.alias("id"), (F.col("o_custkey") % 20).cast("string").alias("src_memory_id"), (k % 5 + 1).alias("source_revision"), F.col("o_orderpriority").alias("relation"), F.col("o_orderstatus").alias("dst_ref"), F.when(k % 2 == 1, 1).alias("ordinal"), who.alias("producer"))
+    log = S.revisions(spark, d).withColumn("actor", F.col("operation"))
+    return W.repair_producers(rel, log, "click", "store").select("id", "producer")
+
+
+@query(f"""WITH {M}, {C}, {R}, n AS (SELECT (SELECT COUNT(*) FROM memories) AS memories, (SELECT COUNT(*) FROM concepts) AS concepts, (SELECT COUNT(*) FROM revisions WHERE revision = 1) AS first_revisions)
+  SELECT *, memories = concepts AND memories = first_revisions AS equal FROM n""")
+def count_check(spark, d):
+    return W.count_check(S.memories(spark, d), S.concepts(spark, d), S.revisions(spark, d))
+
+
+_FLAGS = ["1", " True ", "YES", "y", "on", "0", "False", "no", " N", "OFF", "maybe", ""]
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FLAGS}[doc_id % 12 + 1] AS word, lang, source FROM documents)
+  SELECT doc_id, CASE WHEN lower(trim(word)) IN ('1', 'true', 'yes', 'y', 'on') THEN TRUE WHEN lower(trim(word)) IN ('0', 'false', 'no', 'n', 'off') THEN FALSE END AS flag, lang || ':' || left(sha256(source || lang), 8) AS stamp FROM f""")
+def flags_and_stamps(spark, d):
+    word = F.element_at(F.array(*map(F.lit, _FLAGS)), (F.col("doc_id") % 12 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", X.parse_flag(word).alias("flag"), X.version_stamp(F.col("lang"), F.col("source"), F.col("lang")).alias("stamp"))
 
 
 @query(f"""WITH {M} SELECT id AS older, newer FROM (SELECT id, LEAD(id) OVER (PARTITION BY content ORDER BY created_at, id) AS newer FROM memories WHERE superseded_by IS NULL) WHERE newer IS NOT NULL""")

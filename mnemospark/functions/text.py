@@ -330,3 +330,18 @@ def reference_id(reference: Column) -> Column:
         .when(~bare.contains("/") & bare.endswith(".md"), F.regexp_extract(bare, r"^(.*)\.md$", 1))
     )
     return F.nullif(found, F.lit(""))
+
+
+# The words that switch a setting on and off.
+ON_WORDS, OFF_WORDS = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
+
+
+def parse_flag(c: Column) -> Column:
+    """True, false, or null where the text is neither."""
+    word = F.lower(F.trim(c))
+    return F.when(word.isin(*ON_WORDS), F.lit(True)).when(word.isin(*OFF_WORDS), F.lit(False))
+
+
+def version_stamp(model: Column, *prompts: Column) -> Column:
+    """The model's name and the first 8 hex digits of the SHA-256 of its prompts."""
+    return F.concat(model, F.lit(":"), F.left(F.sha2(F.concat(*prompts), 256), F.lit(8)))

@@ -64,15 +64,20 @@ def diff(old: Column, new: Column, limit: int = 240) -> Column:
     return F.transform(F.filter(rows, lambda r: ~r["before"].eqNullSafe(r["after"])), lambda r: F.struct(r["field"].alias("field"), cut(r["before"]).alias("before"), cut(r["after"]).alias("after")))
 
 
-def forget(memories: DataFrame, concepts: DataFrame, ids: DataFrame, now: Column, actor: str | None = None, reason: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(memories left, tombstones) after forgetting ``ids`` (id); tombstones outlive the rows."""
-    gone = memories.join(ids, "id", "left_semi").join(concepts.select(F.col("memory_id").alias("id"), "current_revision", "virtual_path"), "id", "left")
-    hashed = F.sha2("content", 256)
+def forget(memories: DataFrame, concepts: DataFrame, revisions: DataFrame, ids: DataFrame, now: Column, actor: str | None = None, reason: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(memories left, tombstones) after forgetting ``ids`` (id); tombstones outlive the rows.
+
+    A tombstone holds the hash of the current revision's snapshot. A memory without a concept or without that
+    revision isn't forgotten. ``writes.cascade`` takes what belongs to the forgotten from the other tables.
+    """
+    state = concepts.select(F.col("memory_id").alias("id"), "virtual_path", F.col("current_revision").alias("revision"))
+    hashes = revisions.select(F.col("memory_id").alias("id"), "revision", "content_hash")
+    gone = memories.join(ids.select("id").distinct(), "id", "left_semi").join(state, "id").join(hashes, ["id", "revision"])
     stones = gone.select(
         F.sha2(F.concat(F.lit("tombstone:"), F.col("id")), 256).alias("id"), F.col("id").alias("memory_id"), "virtual_path", "project", scope_label(F.col("project")).alias("scope"),
-        F.coalesce("current_revision", F.lit(1)).cast("bigint").alias("last_revision"), hashed.alias("content_hash"), F.lit(actor).cast("string").alias("actor"), F.lit(reason).cast("string").alias("reason"), now.alias("deleted_at"),
+        F.col("revision").cast("bigint").alias("last_revision"), "content_hash", F.lit(actor).cast("string").alias("actor"), F.lit(reason).cast("string").alias("reason"), now.alias("deleted_at"),
     )
-    return memories.join(ids, "id", "left_anti"), stones
+    return memories.join(stones.select(F.col("memory_id").alias("id")), "id", "left_anti"), stones
 
 
 def pending_deletes(queue: DataFrame, memories: DataFrame) -> DataFrame:
