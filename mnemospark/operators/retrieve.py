@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from mnemospark.functions.text import porter_tokens
+from mnemospark.operators.graph import traverse
 from mnemospark.operators.lexical import bm25, collapse, top_k
 from mnemospark.operators.vector import knn
 
@@ -26,6 +28,8 @@ class SearchOptions:
     current_boost: float | None = CURRENT_BOOST
     global_boost: float | None = GLOBAL_BOOST
     graph_depth: int = 0
+    #: an SQL predicate over the memories' columns, after the candidates are cut ("post") or before ("pre")
+    where: str | None = None
     filter_mode: str = "post"
     legacy_order: bool = False
     rerank: Callable[[DataFrame], DataFrame] | None = None
@@ -95,16 +99,19 @@ def relation_factor(relation: Column) -> Column:
     return out.otherwise(F.lit(OTHER_RELATION))
 
 
-def graph_neighbours(results: DataFrame, paths: DataFrame, limit: int) -> DataFrame:
+def graph_neighbours(results: DataFrame, paths: DataFrame, limit: int, live: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, relation, distance): neighbours that join the results.
 
     ``results``: (query_id, id, score, rank); ``paths``: (query_id, ord, root, node, relation,
-    distance, cycle) in traversal order. A third of the limit, rounded up, of new nodes by path order.
+    distance, cycle) in traversal order. A third of the limit, rounded up, of new nodes by path order;
+    only nodes of ``live`` (id), if given, which others don't take the places of.
     """
     budget = max(1, -(-limit // 3))
     seeds = results.where(F.col("rank") <= max(limit, 1)).select("query_id", F.col("id").alias("root"), F.col("score").alias("seed_score"))
     known = results.select("query_id", F.col("id").alias("node"))
     fresh = paths.where(~F.col("cycle")).join(seeds, ["query_id", "root"]).join(known, ["query_id", "node"], "left_anti")
+    if live is not None:
+        fresh = fresh.join(live.select(F.col("id").alias("node")), "node", "left_semi")
     first = Window.partitionBy("query_id", "node").orderBy("ord")
     place = Window.partitionBy("query_id").orderBy("ord")
     once = fresh.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("n", F.row_number().over(place)).where(F.col("n") <= budget)
@@ -112,21 +119,34 @@ def graph_neighbours(results: DataFrame, paths: DataFrame, limit: int) -> DataFr
     return once.select("query_id", F.col("node").alias("id"), score.alias("score"), "relation", "distance")
 
 
-def hybrid_search(memories: DataFrame, concepts: DataFrame, segment_rows: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+def hybrid_search(memories: DataFrame, concepts: DataFrame, segment_rows: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), edges: DataFrame | None = None) -> DataFrame:
     """Results of a batch of queries (query_id, text, embedding, current_project).
 
-    One lazy plan: lexical and vector lists of three times the limit, fusion, lifecycle filter,
-    optional rerank, freshness (column ``stale`` of memories), scope boosts, the best ``limit``.
+    One lazy plan: lexical (stemmed words) and vector lists of three times the limit, fusion, filters, optional rerank,
+    graph neighbours of the best over ``edges``, freshness (column ``stale`` of memories), scope boosts, the best ``limit``.
+    Superseded and deprecated memories, and those that the predicate refuses, come neither from a list nor over an edge.
     """
     over = OVERFETCH * options.limit
-    lexical = collapse(bm25(segment_rows, ["memory_id", "segment_no"], "searchable", queries, match_all=True), "memory_id", over, 8 * over, "segment_no").withColumnRenamed("memory_id", "id")
-    vector = knn(memories.where("superseded_by IS NULL"), queries.select("query_id", "embedding"), over)
+    live = memories.where("superseded_by IS NULL")
+    allowed = live if options.where is None else live.where(options.where)
+    if options.filter_mode == "pre":
+        live = allowed
+        segment_rows = segment_rows.join(allowed.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    lexical = collapse(bm25(segment_rows, ["memory_id", "segment_no"], "searchable", queries, match_all=True, tokens=porter_tokens), "memory_id", over, 8 * over, "segment_no").withColumnRenamed("memory_id", "id")
+    vector = knn(live, queries.select("query_id", "embedding"), over)
     fused = rrf(lexical, vector, "id", over)
-    rows = memories.join(concepts.select("memory_id", "status", "concept_type"), memories["id"] == concepts["memory_id"]).where("superseded_by IS NULL AND status <> 'deprecated'")
+    rows = allowed.join(concepts.select("memory_id", "status"), F.col("id") == F.col("memory_id")).where("status <> 'deprecated'")
     rows = rows.select("id", "project", F.coalesce(F.col("stale"), F.lit(False)).alias("stale") if "stale" in memories.columns else F.lit(False).alias("stale"))
     found = fused.join(rows, "id")
     if options.rerank is not None:
         found = apply_rerank(found, options.rerank(found))
+    if edges is not None and options.graph_depth > 0:
+        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "id", "score", "rank")
+        roots = best.where(F.col("rank") <= options.limit).select("query_id", F.col("id").alias("root"), F.col("rank").alias("position"))
+        paths, _ = traverse(edges, roots, "both", (), options.graph_depth)
+        paths = paths.select("query_id", "ord", "root", "node", F.element_at("relations", -1).alias("relation"), F.col("depth").alias("distance"), "cycle")
+        near = graph_neighbours(best, paths, options.limit, rows).select("query_id", "id", "score").join(rows, "id")
+        found = found.unionByName(near, allowMissingColumns=True)
     found = found.join(queries.select("query_id", "current_project"), "query_id")
     score = scope_boost(freshness(F.col("score"), F.col("stale")), F.col("project"), F.col("current_project"), options.current_boost, options.global_boost)
     found = found.withColumn("fused_score", F.col("score")).withColumn("score", score)

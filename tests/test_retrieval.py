@@ -70,6 +70,29 @@ def test_hybrid_search_end_to_end(spark):
     assert {r["id"] for r in flat}
 
 
+def test_hybrid_search_filters_and_graph(spark):
+    rows = [("a", "the running fox", "p", [1.0, 0.0], None), ("b", "stone", "p", [0.0, 1.0], None), ("c", "old stone", "p", [0.0, 1.0], "b"), ("d", "gone", "p", [0.0, 1.0], None), ("e", "a fox ran", "q", [0.9, 0.1], None)]
+    m = spark.createDataFrame(rows, "id string, content string, project string, embedding array<float>, superseded_by string").withColumn("tags", F.array(F.lit("t")))
+    c = m.select(F.col("id").alias("memory_id"), F.lit("x").alias("concept_type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"), F.when(F.col("id") == "d", "deprecated").otherwise("stable").alias("status"))
+    q = spark.createDataFrame([(1, "runs", [1.0, 0.0], None)], "query_id long, text string, embedding array<float>, current_project string")
+    edges = spark.createDataFrame([("a", x, x, "supports", i) for i, x in enumerate("cdb")], "src_memory_id string, dst_memory_id string, dst_ref string, relation string, ordinal long").withColumn("id", F.concat("src_memory_id", "dst_ref")).withColumn("producer", F.lit("x")).withColumn("source_revision", F.lit(1).cast("long"))
+
+    def search(*args, **options):
+        return V.hybrid_search(m, c, L.segment_table(m, c), q, V.SearchOptions(limit=1, **options), *args).orderBy("rank").collect()
+
+    top = search()
+    # "runs" and "running" have one stem
+    assert [r["id"] for r in top] == ["a"] and top[0]["bm25_rank"] == 0
+    assert [r["id"] for r in search(where="project = 'q'")] == ["e"] == [r["id"] for r in search(where="project = 'q'", filter_mode="pre")]
+    assert search(where="id = 'b'", filter_mode="pre")[0]["id"] == "b"
+    wide = V.hybrid_search(m.where("id <> 'e'"), c, L.segment_table(m, c), q, V.SearchOptions(limit=1, graph_depth=1, where="id IN ('a', 'b')"), edges).collect()
+    assert [r["id"] for r in wide] == ["a"]
+    seeds = spark.createDataFrame([(1, "a", 1.0, 1)], "query_id long, id string, score double, rank int")
+    paths = spark.createDataFrame([(1, k, "a", x, "supports", 1, False) for k, x in enumerate("cdb")], "query_id long, ord int, root string, node string, relation string, distance int, cycle boolean")
+    live = m.where("superseded_by IS NULL AND id <> 'd'")
+    assert [(r["id"], r["score"]) for r in V.graph_neighbours(seeds, paths, 1, live).collect()] == [("b", 0.8)]
+
+
 def test_rerank_covers_a_query_or_leaves_it(spark):
     cand = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.4), (2, "a", 0.3), (2, "b", 0.2)], "query_id long, id string, score double")
     logits = spark.createDataFrame([(1, "a", 0.0), (1, "b", 2.0), (2, "a", 1.0)], "query_id long, id string, logit double")
