@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontaminate, htmltext, langid, lblm, mpegts, quality, shard, simhash, toxicity
+from mnemospark.llm import bpe, decontaminate, htmltext, langid, lblm, mpegts, phrases, quality, shard, simhash, tokencount, toxicity, whitening
 from mnemospark.llm.common import held_out, read_table
 
 
@@ -82,6 +82,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+    # null only if the exact value is none of a long
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_decontaminate": op2_decontaminate,
@@ -93,8 +107,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op11_phrases": op11_phrases,
+    "op12_token_counts": op12_token_counts,
+    "op13_whitening": op13_whitening,
 }
 
-#: None of these operators can be written in SQL that runs over whole tables in reasonable
-#: time (checksums, hashes, tokenisers, learned models); tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for op11 only. The others can't be written in SQL that runs over whole tables in reasonable
+#: time (checksums, hashes, tokenisers, learned models, eigenvectors); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op11_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+phrases AS (
+  SELECT lang, 1 AS depth, w[i] AS phrase FROM places
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM places WHERE i + 1 <= len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 2 <= len(w)),
+f AS (SELECT lang, depth, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE depth = 1 GROUP BY lang),
+candidates AS (SELECT lang, depth, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE depth > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE depth = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE depth = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase WHERE g.longer IS NULL OR 100 * g.longer < 50 * c.a),
+cuts AS (SELECT *, unnest(range(1, depth)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r, ((1000000::HUGEINT * c.a * c.a) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts c
+  JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.k], ' ') AND h.depth = c.k
+  JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1:], ' ') AND t.depth = c.depth - c.k),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n, score
+FROM worst w JOIN totals USING (lang) QUALIFY rank <= 2000
+""",
+}
