@@ -178,6 +178,11 @@ def centred(x: np.ndarray, n: int, mean: np.ndarray, rest: np.ndarray) -> np.nda
     return y.astype(object) * n - rest
 
 
+def projected(y: np.ndarray, n: int, turn: np.ndarray) -> np.ndarray:
+    """The whitened values of n x - S. Not a BLAS product, whose last bit depends on a row's place in the block."""
+    return np.einsum("ij,jk->ik", y.astype(np.float64) / n, turn)
+
+
 def identity_error(vectors: DataFrame, d: int, n: int, mean: np.ndarray, rest: np.ndarray, turn: np.ndarray) -> float:
     """The largest absolute entry of the covariance of the whitened values, less the identity, over all rows."""
     k = turn.shape[1]
@@ -187,7 +192,7 @@ def identity_error(vectors: DataFrame, d: int, n: int, mean: np.ndarray, rest: n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second, seen = np.zeros(k), np.zeros((k, k)), False
         for _, _, x in parts(batches, d):
-            w = (centred(x, n, mean, rest).astype(np.float64) / n) @ turn
+            w = projected(centred(x, n, mean, rest), n, turn)
             first, second, seen = first + w.sum(axis=0), second + w.T @ w, True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k + k)), pa.array(np.concatenate([second.ravel(), first]))], names=["cell", "v"])
@@ -226,7 +231,7 @@ def whiten(df: DataFrame, vector: str, keep: list[str], components: int = 8) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows, x in parts(batches, d):
             y = centred(x, n, mean, rest)
-            w = (y.astype(np.float64) / n) @ turn
+            w = projected(y, n, turn)
             top = int(np.abs(y).max(initial=0))
             z = y if top * top * d < 1 << 62 else y.astype(object)
             deviation = decimals((z * z).sum(axis=1))
