@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -223,11 +224,11 @@ def segments(bodies: pd.Series) -> pd.Series:
 
 def fold_word(word: str) -> str:
     """Lower case without diacritics."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)))
 
 
 class Porter:
-    """The Porter stemmer (1980), step by step."""
+    """The Porter stemmer (1980), step by step; a character that is no vowel, a digit too, counts as a consonant."""
 
     STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
     STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
@@ -255,9 +256,9 @@ class Porter:
 
     @classmethod
     def stem(cls, w: str) -> str:
-        if len(w) <= 2 or not w.isascii() or not w.isalpha():
+        if not 3 <= len(w) <= LONGEST_STEMMED:
             return w
-        if w.endswith("sses") or w.endswith("ies"):
+        if (w.endswith("sses") and len(w) > 4) or (w.endswith("ies") and len(w) > 3):
             w = w[:-2]
         elif w.endswith("s") and not w.endswith("ss"):
             w = w[:-1]
@@ -298,8 +299,19 @@ class Porter:
         return w
 
 
+#: Words of more bytes are not stemmed.
+LONGEST_STEMMED = 64
+
+
+@functools.lru_cache(1 << 17)
+def porter_term(word: str) -> str:
+    """A word's stem, by its bytes: each byte of another alphabet is a consonant."""
+    return Porter.stem(word.encode().decode("latin-1")).encode("latin-1").decode(errors="ignore")
+
+
 def porter_words(text: str | None) -> list[str]:
-    return [Porter.stem(fold_word(w)) for w in re.findall(r"[^\W_]+", text or "")]
+    """Runs of letters and digits, folded and stemmed; marks above or below a letter are part of its word."""
+    return [porter_term(w) for w in re.findall(r"[^\W_]+", fold_word(text or ""))]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,54 @@ def normalise_query(query: str) -> list[str]:
     return [t if t in OPERATORS or re.fullmatch(r"\w+", t) else '"' + t.replace('"', '""') + '"' for t in q.split()[:MAX_QUERY_TOKENS]]
 
 
+def normalise_query(query: str) -> list[str]:
+    """The query's tokens, phrases quoted; empty if it is too long or not text."""
+    q = query.strip()
+    if not q or len(q) > MAX_QUERY_CHARS or "\0" in q:
+        return []
+    return [t if t in OPERATORS or re.fullmatch(r"\w+", t) else '"' + t.replace('"', '""') + '"' for t in q.split()[:MAX_QUERY_TOKENS]]
+
+
+def simple_words(text: str) -> list[str]:
+    """A query's words as ``simple_tokens`` cuts them."""
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def parse_query(query: str | None, words: Callable[[str], list[str]]) -> tuple[list[str], list[tuple[int, list[int]]]]:
+    """(phrases, terms joined by a space; branches (needed phrases, vetoed groups), as masks); no branches if malformed or hopeless."""
+    groups: list[list[list[str]]] = [[]]
+    operators: list[str] = []
+    for item in normalise_query(query or ""):
+        if item in ("AND", "OR", "NOT"):
+            if not groups[-1]:
+                return [], []
+            operators.append(item)
+            groups.append([])
+        else:
+            groups[-1].append(words(item))
+    if not groups[-1]:
+        return [], []
+    phrases: list[str] = []
+    masks: list[int] = []
+    for group in groups:
+        mask = 0
+        for terms in filter(None, group):
+            mask |= 1 << len(phrases)
+            phrases.append(" ".join(terms))
+        masks.append(mask)
+    # a group without a term matches nothing
+    branches: list[list] = [[masks[0], [], masks[0] == 0]]
+    for operator, mask in zip(operators, masks[1:]):
+        if operator == "OR":
+            branches.append([mask, [], mask == 0])
+        elif operator == "AND":
+            branches[-1][0] |= mask
+            branches[-1][2] |= mask == 0
+        elif mask:
+            branches[-1][1].append(mask)
+    return phrases, [(need, veto) for need, veto, hopeless in branches if not hopeless]
+
+
 def term_rows(rows: DataFrame, keys: list[str], text: str, tokens=simple_tokens) -> DataFrame:
     """keys, len, term: one row for each token."""
     t = tokens(F.col(text))
@@ -108,45 +158,24 @@ def top_k(scored: DataFrame, id_column: str, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def phrase_match(rows: DataFrame, keys: list[str], text: str, phrase: str, tokens=simple_tokens) -> DataFrame:
-    """Keys of rows where the phrase's tokens stand side by side."""
-    words = rows.select(*keys, tokens(F.col(text)).alias("ts"))
-    want = [w for w in re.split(r"[^a-z0-9]+", phrase.lower()) if w]
-    if not want:
-        return words.select(*keys).limit(0)
-    joined = F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" "))
-    return words.where(joined.contains(" " + " ".join(want) + " ")).select(*keys)
+def phrase_match(rows: DataFrame, keys: list[str], text: str, phrase: str, tokens=simple_tokens, words=simple_words) -> DataFrame:
+    """Keys of rows where the phrase's tokens stand side by side; ``words`` cuts the phrase as ``tokens`` cuts the rows."""
+    want = words(phrase)
+    found = rows.select(*keys, tokens(F.col(text)).alias("ts"))
+    return found.where(holds("ts", " ".join(want)) if want else F.lit(False)).select(*keys)
 
 
-def boolean_match(rows: DataFrame, keys: list[str], text: str, query: str, tokens=simple_tokens) -> DataFrame:
-    """Keys of rows under a query of terms, phrases, AND, OR and NOT; nothing if it is malformed.
+def holds(tokens: str, phrase: str) -> Column:
+    """Whether an array of tokens has the phrase's tokens side by side."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {phrase} ")
 
-    NOT binds first, then AND (also between neighbours), then OR.
-    """
-    items = normalise_query(query)
-    ts = tokens(F.col(text))
-    joined = F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" "))
-    groups: list[Column] = []
-    now: Column | None = None
-    pending = ""
-    for item in items:
-        if item in ("AND", "OR", "NOT"):
-            if pending or now is None:
-                return rows.select(*keys).limit(0)
-            pending = item
-            continue
-        if item == "NEAR":
-            return rows.select(*keys).limit(0)
-        want = " ".join(w for w in re.split(r"[^a-z0-9]+", item.lower()) if w)
-        test = joined.contains(f" {want} ") if want else F.lit(True)
-        if pending == "OR":
-            groups.append(now)
-            now = test
-        else:
-            now = test if now is None else now & (~test if pending == "NOT" else test)
-        pending = ""
-    if now is None or pending:
-        return rows.select(*keys).limit(0)
-    for g in groups:
-        now = g | now
-    return rows.where(now).select(*keys)
+
+def boolean_match(rows: DataFrame, keys: list[str], text: str, query: str, tokens=simple_tokens, words=simple_words) -> DataFrame:
+    """Keys of rows under one query of ``parse_query``'s language; nothing if it is malformed. For a batch, scored, see ``search_index``."""
+    phrases, branches = parse_query(query, words)
+    test = F.lit(False)
+    found = rows.select(*keys, tokens(F.col(text)).alias("ts"))
+    every = lambda mask: functools.reduce(lambda a, b: a & b, (holds("ts", p) for k, p in enumerate(phrases) if mask >> k & 1))
+    for need, veto in branches:
+        test = test | functools.reduce(lambda a, v: a & ~every(v), veto, every(need))
+    return found.where(test).select(*keys)

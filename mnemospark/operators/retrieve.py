@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from mnemospark.functions.text import porter_tokens
 from mnemospark.operators.graph import traverse
-from mnemospark.operators.lexical import bm25, collapse, top_k
+from mnemospark.operators.lexical import top_k
+from mnemospark.operators.search_index import PORTER, Analyzer, Index, in_memory, search
 from mnemospark.operators.vector import knn
 
 RRF_K, OVERFETCH = 60, 3
@@ -19,6 +19,8 @@ CURRENT_BOOST, GLOBAL_BOOST, STALE_FACTOR, DISTANCE_DECAY = 1.5, 1.25, 0.9, 0.75
 # What a neighbour's score keeps, by the relation that leads to it.
 RELATION_FACTORS = {"supports": 0.80, "supersedes": 0.78, "derived_from": 0.70, "links_to": 0.65, "cites": 0.62}
 OTHER_RELATION = 0.60
+# How far a search looks over edges.
+GRAPH_DEPTH, GRAPH_FAN_OUT, GRAPH_PATHS = 2, 12, 300
 OFF_VALUES = ("0", "false", "off", "no", "n")
 
 
@@ -119,23 +121,25 @@ def graph_neighbours(results: DataFrame, paths: DataFrame, limit: int, live: Dat
     return once.select("query_id", F.col("node").alias("id"), score.alias("score"), "relation", "distance")
 
 
-def hybrid_search(memories: DataFrame, concepts: DataFrame, segment_rows: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), edges: DataFrame | None = None) -> DataFrame:
+def hybrid_search(memories: DataFrame, concepts: DataFrame, index: Index | DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), edges: DataFrame | None = None, analyzer: Analyzer = PORTER, digits: int | None = None) -> DataFrame:
     """Results of a batch of queries (query_id, text, embedding, current_project).
 
-    One lazy plan: lexical (stemmed words) and vector lists of three times the limit, fusion, filters, optional rerank,
-    graph neighbours of the best over ``edges``, freshness (column ``stale`` of memories), scope boosts, the best ``limit``.
-    Superseded and deprecated memories, and those that the predicate refuses, come neither from a list nor over an edge.
+    Lexical list (the query language of ``search_index``, over a stored index or rows of segments) and vector list of three times
+    the limit, fusion cut to as many, filters, optional rerank, graph neighbours of the best over ``edges``, freshness (column ``stale`` of
+    memories), scope boosts, the best ``limit``. Superseded and deprecated memories take no places of the lexical list, superseded ones none
+    of the vector list; none of both comes out, nor do those that the predicate refuses. ``digits``: scores are rounded before they are compared.
     """
     over = OVERFETCH * options.limit
     live = memories.where("superseded_by IS NULL")
     allowed = live if options.where is None else live.where(options.where)
     if options.filter_mode == "pre":
         live = allowed
-        segment_rows = segment_rows.join(allowed.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-    lexical = collapse(bm25(segment_rows, ["memory_id", "segment_no"], "searchable", queries, match_all=True, tokens=porter_tokens), "memory_id", over, 8 * over, "segment_no").withColumnRenamed("memory_id", "id")
-    vector = knn(live, queries.select("query_id", "embedding"), over)
+    stable = concepts.where("status <> 'deprecated'").select("memory_id")
+    ranked_ids = live.select(F.col("id").alias("memory_id")).join(stable, "memory_id")
+    lexical = search(index if isinstance(index, Index) else in_memory(index, analyzer), queries.select("query_id", "text"), over, ranked_ids, analyzer, digits).withColumnRenamed("memory_id", "id")
+    vector = knn(live, queries.where("embedding IS NOT NULL").select("query_id", "embedding"), over)
     fused = rrf(lexical, vector, "id", over)
-    rows = allowed.join(concepts.select("memory_id", "status"), F.col("id") == F.col("memory_id")).where("status <> 'deprecated'")
+    rows = allowed.join(stable, F.col("id") == F.col("memory_id"))
     rows = rows.select("id", "project", F.coalesce(F.col("stale"), F.lit(False)).alias("stale") if "stale" in memories.columns else F.lit(False).alias("stale"))
     found = fused.join(rows, "id")
     if options.rerank is not None:
@@ -143,7 +147,7 @@ def hybrid_search(memories: DataFrame, concepts: DataFrame, segment_rows: DataFr
     if edges is not None and options.graph_depth > 0:
         best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "id", "score", "rank")
         roots = best.where(F.col("rank") <= options.limit).select("query_id", F.col("id").alias("root"), F.col("rank").alias("position"))
-        paths, _ = traverse(edges, roots, "both", (), options.graph_depth)
+        paths, _ = traverse(edges, roots, "both", (), min(options.graph_depth, GRAPH_DEPTH), GRAPH_FAN_OUT, min(max(OVERFETCH * options.limit, 1), GRAPH_PATHS))
         paths = paths.select("query_id", "ord", "root", "node", F.element_at("relations", -1).alias("relation"), F.col("depth").alias("distance"), "cycle")
         near = graph_neighbours(best, paths, options.limit, rows).select("query_id", "id", "score").join(rows, "id")
         found = found.unionByName(near, allowMissingColumns=True)
@@ -151,6 +155,8 @@ def hybrid_search(memories: DataFrame, concepts: DataFrame, segment_rows: DataFr
     score = scope_boost(freshness(F.col("score"), F.col("stale")), F.col("project"), F.col("current_project"), options.current_boost, options.global_boost)
     found = found.withColumn("fused_score", F.col("score")).withColumn("score", score)
     order_by = "fused_score" if options.legacy_order and options.current_boost is None and options.global_boost is None else "score"
+    if digits is not None:
+        found = found.withColumn(order_by, F.round(order_by, digits))
     order = Window.partitionBy("query_id").orderBy(F.desc(order_by), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.limit)
     return ranked.select("query_id", "id", "project", "score", "bm25_rank", "vector_rank", match_quality(F.col("bm25_rank"), F.col("vector_rank")).alias("quality"), section(F.col("project"), F.col("current_project")).alias("section"), "rank")

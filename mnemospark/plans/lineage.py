@@ -1,21 +1,33 @@
-"""Cutting a plan's lineage through the folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and cutting a plan's lineage through it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read from there, so it survives lost executors.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, that of ``spark.checkpoint.dir``.
 
     Only a local session may go without that setting (tests): it gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemospark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so it survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"

@@ -42,6 +42,58 @@ def test_traverse_equals_a_plain_walk(spark):
             assert got == walk(edges, "n0", direction, 3, fan, cap), (direction, fan, cap)
 
 
+def plain_walks(edges, roots, direction, relations, depth, fan, cap):
+    """(paths, diagnostics, truncated) of a queue; edges (id, src, dst or None, ref, relation)."""
+    paths, lost, truncated = [], set(), False
+    queue = deque([r] for r in roots)
+    while queue:
+        path = queue.popleft()
+        if len(path) > depth:
+            continue
+        node = path[-1]
+        near = [(r, d, ref) for i, s, d, ref, r in sorted(edges, key=lambda e: (e[4], e[3], e[0])) if s == node and direction != "in"][:fan]
+        if direction != "out":
+            near += [(r, s, ref) for i, s, d, ref, r in sorted(edges, key=lambda e: (e[4], e[1], e[0])) if d == node][: fan - len(near)]
+        truncated |= len(near) == fan
+        for relation, other, ref in near:
+            if relations and relation not in relations:
+                continue
+            if other is None:
+                lost.add((node, relation, ref))
+                continue
+            paths.append(("/".join([*path, other]), other in path))
+            if len(paths) >= cap:
+                return paths, lost, True
+            if other not in path:
+                queue.append([*path, other])
+    return paths, lost, truncated
+
+
+def test_bounded_walks_equal_a_queue(spark):
+    rnd = random.Random(8)
+    edges = [(f"e{k:03d}", f"n{rnd.randrange(14)}", None if rnd.random() < 0.25 else f"n{rnd.randrange(14)}", f"ref{rnd.randrange(9)}", rnd.choice(["cites", "links_to"])) for k in range(70)]
+    edges = [(i, s, d, d or ref, r) for i, s, d, ref, r in edges]
+    df = spark.createDataFrame([(i, s, d, ref, r, "p", None, 1) for i, s, d, ref, r in edges], "id string, src_memory_id string, dst_memory_id string, dst_ref string, relation string, producer string, ordinal long, source_revision long")
+    walks = {0: ["n0"], 1: ["n3", "n1"], 2: ["nowhere"], 3: ["n5"]}
+    roots = spark.createDataFrame([(q, r, k) for q, rs in walks.items() for k, r in enumerate(rs)], "query_id int, root string, position int")
+    for direction, relations, depth, fan, cap in (("both", (), 3, 4, 25), ("out", ("cites",), 8, 100, 1000), ("in", (), 2, 2, 3), ("both", ("links_to",), 4, 3, 1), ("out", (), 0, 5, 5)):
+        got = G.bounded_walks(df, roots, direction, relations, depth, fan, cap)
+        paths, lost, cut = got.paths.orderBy("query_id", "ord").collect(), got.diagnostics.collect(), {r["query_id"]: r["truncated"] for r in got.truncated.collect()}
+        for q, own in walks.items():
+            want = plain_walks(edges, own, direction, relations, depth, fan, cap)
+            mine = [r for r in paths if r["query_id"] == q]
+            assert [("/".join(r["nodes"]), r["cycle"]) for r in mine] == want[0] and [r["ord"] for r in mine] == list(range(1, len(mine) + 1))
+            assert {tuple(r)[1:] for r in lost if r["query_id"] == q} == want[1] and cut[q] == want[2], (direction, q)
+
+
+def test_a_deep_walk_over_a_dense_graph_ends(spark):
+    """Eight levels of a hundred edges each: 10^16 paths, of which a thousand are looked at."""
+    n = spark.range(120).crossJoin(spark.range(120).withColumnRenamed("id", "j"))
+    df = n.select(F.concat("id", F.lit(">"), "j").alias("id"), F.col("id").cast("string").alias("src_memory_id"), F.col("j").cast("string").alias("dst_memory_id"), F.col("j").cast("string").alias("dst_ref"), F.lit("cites").alias("relation"), F.lit("p").alias("producer"), F.lit(None).cast("long").alias("ordinal"))
+    got = G.bounded_walks(df, spark.createDataFrame([("7",)], "root string"), "out", (), 8, 100, 1000)
+    assert got.paths.count() == 1000 and got.truncated.collect()[0]["truncated"]
+
+
 def test_unresolved_edges_and_repeats(spark):
     schema = "id string, src_memory_id string, dst_memory_id string, dst_ref string, relation string, producer string, ordinal long, source_revision long, created_at timestamp"
     now = datetime(2024, 1, 1)
