@@ -17,8 +17,10 @@ from mnemospark.operators import graph as G
 from mnemospark.operators import lexical as L
 from mnemospark.operators import retrieve as V
 from mnemospark.operators import revisions as H
+from mnemospark.operators import search_index as I
 from mnemospark.operators import writes as W
 from mnemospark.operators.vector import knn
+from mnemospark.plans import lineage
 from mnemospark.plans import standins as S
 from mnemospark.plans import sync as Y
 
@@ -293,6 +295,117 @@ def hybrid_scope_boost(spark, d):
     return L.top_k(j, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "section", "rank")
 
 
+# --- the stored index and its query language ---------------------------------------------------
+
+# the segments of all documents with what a search reads of them, and their tokens
+_SEGMENTS = r"""cut AS (SELECT doc_id, lang, source, CASE WHEN length(text) <= 1200 THEN text ELSE regexp_replace(regexp_replace(text, '\r?\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS body, length(text) <= 1200 AS short FROM documents),
+  parts AS (SELECT *, unnest(range(CASE WHEN short THEN 1 ELSE least(64, CAST(ceil(length(body) / 1600.0) AS BIGINT)) END)) AS k FROM cut),
+  seg AS (SELECT CAST(doc_id AS VARCHAR) AS memory_id, k AS segment_no, list_filter(regexp_split_to_array(lower('Agent Memory/' || lang || chr(10) || lang || ' ' || source || chr(10) || CASE WHEN short THEN body ELSE substr(body, CAST(k * 1600 + 1 AS BIGINT), 1600) END), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM parts WHERE body IS NOT NULL)"""
+
+# six kinds of queries from a benchmark item's words
+_MIXED = """words AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w, CAST(item_id % 6 AS INTEGER) AS kind FROM benchmark),
+  asked AS (SELECT query_id, kind, 0 AS no, CASE WHEN kind IN (2, 4) THEN w[1] || ' ' || w[2] ELSE w[1] END AS phrase FROM words WHERE len(w) >= 5
+    UNION ALL SELECT query_id, kind, 1, CASE WHEN kind IN (2, 4) THEN w[3] ELSE w[2] END FROM words WHERE len(w) >= 5
+    UNION ALL SELECT query_id, kind, 2, CASE kind WHEN 4 THEN w[4] ELSE w[3] END FROM words WHERE len(w) >= 5 AND kind >= 4
+    UNION ALL SELECT query_id, kind, 3, CASE kind WHEN 4 THEN w[5] ELSE w[4] || ' ' || w[5] END FROM words WHERE len(w) >= 5 AND kind >= 4)"""
+
+_MATCHED = """stats AS (SELECT COUNT(*) AS n, AVG(len(ts)) AS avg_len FROM seg),
+  place AS (SELECT memory_id, segment_no, ts, len(ts) AS len, unnest(range(1, len(ts) + 1)) AS i FROM seg),
+  gram AS (SELECT memory_id, segment_no, len, ts[i] AS phrase FROM place UNION ALL SELECT memory_id, segment_no, len, ts[i] || ' ' || ts[i + 1] FROM place WHERE i < len),
+  hit AS (SELECT phrase, memory_id, segment_no, any_value(len) AS len, COUNT(*) AS tf FROM gram WHERE phrase IN (SELECT phrase FROM asked) GROUP BY 1, 2, 3),
+  w AS (SELECT phrase, avg_len, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM (SELECT phrase, COUNT(*) AS df FROM hit GROUP BY 1), stats),
+  met AS (SELECT query_id, memory_id, segment_no, any_value(kind) AS kind, {0} FROM asked JOIN hit USING (phrase) JOIN w USING (phrase) GROUP BY 1, 2, 3),
+  sc AS (SELECT query_id, memory_id, segment_no, CASE
+      WHEN kind = 0 AND p0 > 0 AND p1 > 0 OR kind IN (1, 2) THEN p0 + p1
+      WHEN kind = 3 AND p1 = 0 THEN p0
+      WHEN kind >= 4 THEN p0 + CASE WHEN p1 > 0 AND p2 > 0 AND p3 = 0 THEN p1 + p2 ELSE 0 END ELSE 0 END AS score FROM met),
+  lex AS (SELECT query_id, memory_id, segment_no, round(score, 9) AS score FROM sc WHERE score > 0)""".format(
+    ", ".join(f"SUM(CASE WHEN no = {k} THEN idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)) ELSE 0 END) AS p{k}" for k in range(4))
+)
+
+
+def _ranked(limit: int) -> str:
+    """SQL of the best segments of the living memories, each memory by its best."""
+    return f"""live AS (SELECT m.id FROM memories m JOIN concepts c ON c.memory_id = m.id WHERE m.superseded_by IS NULL AND c.status <> 'deprecated'),
+  top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id, segment_no) AS place FROM lex WHERE memory_id IN (SELECT id FROM live)) WHERE place <= {8 * limit}),
+  best AS (SELECT query_id, memory_id, MAX(score) AS score FROM top GROUP BY 1, 2),
+  ranked AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM best) WHERE rank <= {limit})"""
+
+
+def mixed_queries(spark, d):
+    """A query of one of six kinds from the first words of each benchmark item that has five."""
+    items = S.search_queries(spark, d).select(F.col("query_id").alias("item_id"), "embedding", "current_project").join(S.table(spark, d, "benchmark"), "item_id")
+    w = lambda k: F.element_at("w", k)
+    kind = F.pmod("item_id", F.lit(6))
+    shapes = ["%s %s", "%s OR %s", "%s-%s OR %s", "%s NOT %s", "%s-%s OR %s AND %s NOT %s", "%s OR %s %s NOT %s-%s"]
+    text = F.when(F.lit(False), "")
+    for k, shape in enumerate(shapes):
+        text = text.when(kind == k, F.format_string(shape, *(w(j + 1) for j in range(shape.count("%s")))))
+    return items.withColumn("w", X.simple_tokens(F.col("text"))).where(F.size("w") >= 5).select(F.col("item_id").alias("query_id"), text.alias("text"), "embedding", "current_project")
+
+
+def segment_rows(spark, d):
+    return L.segment_table(S.memories(spark, d).where("content IS NOT NULL"), S.concepts(spark, d))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d):
+    """The index of a folder's documents, built once a session and read by every search."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = lineage.new_folder(spark)
+        I.build(segment_rows(spark, d), path, I.SIMPLE)
+        _INDEXES[key] = path
+    return I.open_index(spark, _INDEXES[key])
+
+
+def living(spark, d):
+    rows = S.memories(spark, d).where(P.live()).join(S.concepts(spark, d).where("status <> 'deprecated'"), F.col("id") == F.col("memory_id"))
+    return rows.select("memory_id")
+
+
+@query(f"WITH {M}, {C}, {_SEGMENTS}, {_MIXED}, {_MATCHED}, {_ranked(10)} SELECT query_id, memory_id, round(score, 6) AS score, rank FROM ranked")
+def index_search(spark, d):
+    found = I.search(stored_index(spark, d), mixed_queries(spark, d), 10, living(spark, d), I.SIMPLE, 9)
+    return found.select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {M}, {C}, {_SEGMENTS.replace("FROM parts WHERE body IS NOT NULL)", "FROM parts WHERE body IS NOT NULL AND doc_id % 13 <> 5 AND doc_id % 11 <> 3 UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') FROM documents WHERE text IS NOT NULL AND doc_id % 13 = 5)")}, {_MIXED}, {_MATCHED}, {_ranked(10)}
+  SELECT query_id, memory_id, round(score, 6) AS score, rank FROM ranked""")
+def index_search_changed(spark, d):
+    """Every thirteenth memory has become one segment, every eleventh of the others is gone; the index is not rebuilt."""
+    path = lineage.new_folder(spark)
+    I.build(segment_rows(spark, d), path, I.SIMPLE)
+    t = docs(spark, d).where("text IS NOT NULL").select("doc_id", F.col("doc_id").cast("string").alias("memory_id"), F.lit(0).alias("segment_no"), F.col("text").alias("searchable"))
+    I.replace(t.where("doc_id % 13 = 5"), t.where("doc_id % 13 = 5"), path, I.SIMPLE)
+    I.replace(t.limit(0), t.where("doc_id % 11 = 3 AND doc_id % 13 <> 5"), path, I.SIMPLE)
+    found = I.search(I.open_index(spark, path), mixed_queries(spark, d), 10, living(spark, d), I.SIMPLE, 9)
+    return found.select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {M}, {C}, {_SEGMENTS}, {_MIXED}, {_MATCHED}, {_ranked(30)},
+  kn AS (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS id, round({_COS}, 9) AS score FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM words WHERE len(w) >= 5)) q,
+    (SELECT v.* FROM embeddings v JOIN memories m ON m.doc_id = v.vec_id WHERE m.superseded_by IS NULL) e),
+  vx AS (SELECT query_id, id, r - 1 AS vector_rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM kn) WHERE r <= 30),
+  lx AS (SELECT query_id, memory_id AS id, rank - 1 AS bm25_rank FROM ranked),
+  fu AS (SELECT query_id, id, bm25_rank, vector_rank, COALESCE(1.0 / (61 + bm25_rank), 0) + COALESCE(1.0 / (61 + vector_rank), 0) AS score FROM lx FULL JOIN vx USING (query_id, id)),
+  cu AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM fu) WHERE r <= 30),
+  ok AS (SELECT u.*, m.project, 'src' || (u.query_id % 20) AS here, u.score * CASE WHEN m.doc_id % 5 = 0 THEN 0.9 ELSE 1 END AS s FROM cu u JOIN memories m USING (id) JOIN live USING (id)),
+  bo AS (SELECT *, round(CASE WHEN project = here THEN s * 1.5 WHEN project = '__global__' THEN s * 1.25 ELSE s END, 9) AS total FROM ok)
+  SELECT query_id, id, round(total, 6) AS score, CAST(bm25_rank AS INTEGER) AS bm25_rank, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(rank AS INTEGER) AS rank,
+    CASE WHEN bm25_rank < 5 AND vector_rank < 5 THEN 'high' WHEN bm25_rank < 10 AND vector_rank < 10 THEN 'medium' WHEN bm25_rank < 5 OR vector_rank < 5 THEN 'medium' ELSE 'low' END AS quality,
+    CASE WHEN project = '__global__' THEN 'general_knowledge' WHEN project = here THEN 'project_memories' ELSE 'other_projects' END AS section
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS rank FROM bo) WHERE rank <= 10""")
+def hybrid_search_full(spark, d):
+    """The engine's own hybrid search: stored index, vectors, fusion, lifecycle, freshness, boosts."""
+    vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    memories = S.memories(spark, d).join(vectors, "doc_id", "left").withColumn("stale", F.col("doc_id") % 5 == 0)
+    found = V.hybrid_search(memories, S.concepts(spark, d), stored_index(spark, d), mixed_queries(spark, d), analyzer=I.SIMPLE, digits=9)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "bm25_rank", "vector_rank", "rank", "quality", "section")
+
+
 # --- graph ---------------------------------------------------------------------------------
 
 

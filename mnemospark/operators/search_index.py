@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.text import porter_tokens, porter_words, simple_tokens
 from mnemospark.operators.lexical import B, K1, collapse, idf, parse_query, simple_words
 
-BUCKETS = 256
+BUCKETS = 64
 #: A batch with at most so many different terms is sent to every task, and named in the scan's filter if it has ``NAMED`` at most.
 BROADCAST_TERMS, NAMED = 50_000, 500
 KEYS = ["memory_id", "segment_no"]
