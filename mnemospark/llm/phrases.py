@@ -38,7 +38,7 @@ from mnemospark.llm.common import cut_lineage, release_memory
 #: 2^BITS cells in 2^RANGE_BITS ranges; the counts of a range's cells share a row and a task.
 BITS, RANGE_BITS, SKETCH_TASKS = 27, 10, 64
 #: Bytes of text that make a shard.
-SHARD = 16 << 20
+SHARD = 4 << 20
 NO_LANG = "und"
 
 BLANK, BREAK = 1, 2
