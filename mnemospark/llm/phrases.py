@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import cut_lineage, release_memory
 
-#: 2^BITS cells in 2^RANGE_BITS ranges; the counts of a range's cells share a row and a task.
-BITS, RANGE_BITS, SKETCH_TASKS = 27, 10, 64
+#: 2^BITS cells, in ranges of 2^RANGE_BITS (16 at most); the counts of a range's cells share a row and a task.
+BITS, RANGE_BITS, SKETCH_TASKS = 27, 16, 64
 #: Bytes of text that make a shard.
 SHARD = 4 << 20
 NO_LANG = "und"
@@ -137,10 +137,13 @@ def build(langs: list[str], texts: list[bytes], depth: int, may: np.ndarray | No
 
 
 def phrases(automaton: Automaton) -> Iterator[pa.RecordBatch]:
-    """(lang, depth, phrase, f) of the automaton's phrases, and of each language at depth 0 how many words it has."""
-    names = pa.array(automaton.langs)
-    schema = ["lang", "depth", "phrase", "f"]
-    yield pa.RecordBatch.from_arrays([names, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(automaton.totals.astype(np.int64))], names=schema)
+    """(key, f) of the automaton's phrases, and how many words each language has, as those of the empty phrase.
+
+    A key is a phrase, a tab, which no word has, and the language: one column takes less than two when it is moved.
+    """
+    names = pa.array([x.encode() for x in automaton.langs], pa.large_binary())
+    tab, blank = pa.scalar(b"\t", pa.large_binary()), pa.scalar(b" ", pa.large_binary())
+    yield pa.RecordBatch.from_arrays([pa.array(["\t" + x for x in automaton.langs]), pa.array(automaton.totals.astype(np.int64))], names=["key", "f"])
     first = automaton.levels[0]
     for k, level in enumerate(automaton.levels):
         kept = np.flatnonzero(level.count)
@@ -151,8 +154,9 @@ def phrases(automaton: Automaton) -> Iterator[pa.RecordBatch]:
                 parts.append(first.last[automaton.levels[j].last[state]])
                 state = automaton.levels[j].before[state]
             parts.append(first.last[state])
-            text = pc.binary_join_element_wise(*(automaton.words.take(pa.array(p)) for p in reversed(parts)), pa.scalar(b" ", pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(first.before[state])), pa.array(np.full(len(own), k + 1, np.int32)), text.cast(pa.binary()).cast(pa.string()), pa.array(level.count[own])], names=schema)
+            text = pc.binary_join_element_wise(*(automaton.words.take(pa.array(p)) for p in reversed(parts)), blank)
+            key = pc.binary_join_element_wise(text, names.take(pa.array(first.before[state])), tab)
+            yield pa.RecordBatch.from_arrays([key.cast(pa.binary()).cast(pa.string()), pa.array(level.count[own])], names=["key", "f"])
 
 
 def shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -170,38 +174,55 @@ def shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[list
         yield langs, texts
 
 
+def packed(cells: np.ndarray, counts: np.ndarray, per: int) -> Iterator[tuple[int, bytes]]:
+    """(range, bytes) of cells' counts: each range's steps from cell to cell, low bytes, then high bytes, then the counts.
+
+    Most high bytes are 0 and most counts 1, so what is moved is little more than a byte a cell.
+    """
+    value = (cells << np.uint64(8)) | counts.astype(np.uint64)
+    value.sort()
+    cell = value >> np.uint64(8)
+    begin = np.flatnonzero(np.diff(cell, prepend=np.uint64((1 << 64) - 1)))
+    if not len(begin):
+        return
+    total = np.minimum(np.add.reduceat(value & np.uint64(255), begin), np.uint64(255)).astype(np.uint8)
+    cell = cell[begin].astype(np.int64)
+    of, within = np.divmod(cell, per)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    step = np.diff(within, prepend=0)
+    step[starts] = within[starts]
+    planes = np.stack([(step & 255).astype(np.uint8), (step >> 8).astype(np.uint8), total])
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+        yield int(of[x]), planes[:, x:y].tobytes()
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells within their range, counts)."""
+    low, high, count = data.reshape(3, -1)
+    return np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 8), count
+
+
 def sketch(rows: DataFrame, depth: int, least: int, bits: int = BITS, shard: int = SHARD) -> np.ndarray:
-    """One bit for each cell: whether the phrases with that hash together occur ``least`` times."""
-    per = 1 << (bits - RANGE_BITS)
-    top = min(least, (1 << 15) - 1)
+    """One bit for each cell: whether the phrases with that hash together occur ``least`` times (255 times, if that is less)."""
+    per, top = 1 << min(bits, RANGE_BITS), min(least, 255)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in shards(batches, shard):
             levels = build(langs, texts, depth).levels
-            cell = np.concatenate([v.hash for v in levels]) >> np.uint64(64 - bits)
-            cells, count = np.unique((cell << np.uint64(15)) | np.concatenate([np.minimum(v.count, top) for v in levels]).astype(np.uint64), return_counts=True)
-            # one entry for each cell and count: (cell in its range, count) in 32 bits, times are added as counts
-            value = np.minimum((cells & np.uint64((1 << 15) - 1)) * count.astype(np.uint64), np.uint64(top))
-            packed = ((cells >> np.uint64(15)) % np.uint64(per) << np.uint64(15) | value).astype(np.uint32)
-            of = (cells >> np.uint64(15)) // np.uint64(per)
-            ends = np.flatnonzero(np.diff(of, append=np.uint64(1 << 63)))
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            if len(cells):
-                yield pa.RecordBatch.from_arrays([pa.array(of[ends].astype(np.int32)), pa.array([packed[b : e + 1].tobytes() for b, e in zip(begins, ends)])], names=["range", "cells"])
-            del levels, cell, cells, packed
+            cells = np.concatenate([v.hash for v in levels]) >> np.uint64(64 - bits)
+            found = list(packed(cells, np.minimum(np.concatenate([v.count for v in levels]), top), per))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["range", "cells"])
+            del levels, cells, found
         release_memory()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for r, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = np.frombuffer(cells.as_buffer(), np.uint32)
+            for r, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cells, count = unpacked(np.frombuffer(data.as_buffer(), np.uint8))
                 sums = found.setdefault(r, np.zeros(per, np.uint16))
-                at = packed >> 15
-                # entries of a blob are sorted by cell, few cells have two
-                begin = np.flatnonzero(np.diff(at, prepend=np.uint32(1 << 31)))
-                more = np.add.reduceat((packed & ((1 << 15) - 1)).astype(np.int64), begin) if len(begin) else begin
-                sums[at[begin]] = np.minimum(sums[at[begin]] + more, top)
+                sums[cells] = np.minimum(sums[cells] + count, top)
         for r, sums in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(sums >= top, bitorder="little").tobytes()])], names=["range", "bits"])
 
@@ -222,8 +243,11 @@ def counts(docs: DataFrame, depth: int = 3, least: int = 10, text: str = "text",
             yield from phrases(build(langs, texts, depth, shared.value, bits))
         release_memory()
 
-    found = rows.mapInArrow(enumerated, "lang string, depth int, phrase string, f long")
-    return found.groupBy("lang", "depth", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("depth") == 0))
+    found = rows.mapInArrow(enumerated, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase, words = F.substring_index("key", "\t", 1), F.size(F.split("phrase", " "))
+    named = found.select(F.expr("substring(key, instr(key, '\t') + 1)").alias("lang"), phrase.alias("phrase"), "f")
+    out = named.select("lang", F.when(F.col("phrase") == "", 0).otherwise(words).alias("depth"), "phrase", "f")
+    return out.where((F.col("f") >= least) | (F.col("depth") == 0))
 
 
 def collocations(docs: DataFrame, depth: int = 3, least: int = 10, top: int = 2000, subsumed: int = 50, text: str = "text", lang: str = "lang", bits: int = BITS, shard: int = SHARD) -> DataFrame:
