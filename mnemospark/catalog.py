@@ -15,6 +15,7 @@ from mnemospark.operators import bundle as B
 from mnemospark.operators import curate as D
 from mnemospark.operators import graph as G
 from mnemospark.operators import lexical as L
+from mnemospark.operators import put as U
 from mnemospark.operators import retrieve as V
 from mnemospark.operators import revisions as H
 from mnemospark.operators import search_index as I
@@ -23,6 +24,7 @@ from mnemospark.operators.vector import knn
 from mnemospark.plans import lineage
 from mnemospark.plans import standins as S
 from mnemospark.plans import sync as Y
+from mnemospark.schemas import conform, empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -523,6 +525,44 @@ _STONES = f"""{M}, {C}, {R}, {_HASHED},
     JOIN hashed r ON r.memory_id = m.id AND r.revision = c.current_revision WHERE m.doc_id % 2 = 1)"""
 
 
+# proposals over the documents: two thirds are put again, one in seven twice in a batch, one in five wants a revision
+_PUT = """p AS (SELECT doc_id, doc_id AS base, CASE WHEN doc_id % 3 = 1 THEN text || ' and more' ELSE text END AS content, CASE WHEN doc_id % 5 = 2 THEN CASE WHEN doc_id % 10 = 2 THEN 2 ELSE 1 END END AS expected, doc_id % 8 = 4 AS dry, doc_id * 3 AS seq, CASE WHEN doc_id % 19 = 6 THEN 'new-' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0
+    UNION ALL SELECT doc_id, doc_id, text || ' again', CASE WHEN doc_id % 2 = 0 THEN 2 END, FALSE, doc_id * 3 + 1, CAST(doc_id AS VARCHAR) FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 5)"""
+
+
+@query(f"""WITH RECURSIVE {_PUT},
+  held AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, doc_id % 11 = 10 AS outside, doc_id % 23 = 9 AS dead FROM documents WHERE text IS NOT NULL),
+  o AS (SELECT p.*, h.id IS NOT NULL AND NOT dead AS there, coalesce(outside, FALSE) AS outside, coalesce(dead, FALSE) AS dead, h.text AS was, ROW_NUMBER() OVER (PARTITION BY p.id ORDER BY seq) AS k FROM p LEFT JOIN held h ON h.id = p.id),
+  f AS (
+    SELECT id, 0 AS k, CAST(NULL AS BIGINT) AS seq, '' AS outcome, CASE WHEN any_value(there) THEN 1 END AS revision, CASE WHEN any_value(there) THEN any_value(was) END AS now, CASE WHEN any_value(there) THEN any_value(outside) ELSE FALSE END AS outside FROM o GROUP BY id
+    UNION ALL
+    SELECT id, k, seq, outcome, CASE WHEN outcome IN ('created', 'changed') AND NOT dry THEN coalesce(revision, 0) + 1 WHEN outcome = 'created' THEN 1 ELSE revision END, CASE WHEN outcome IN ('created', 'changed') AND NOT dry THEN content ELSE now END, outside
+    FROM (SELECT o.id, o.k, o.seq, o.dry, o.content, f.revision, f.now, f.outside,
+      CASE WHEN f.revision IS NULL AND o.expected IS NOT NULL THEN 'expected_of_new' WHEN f.revision IS NULL AND o.dead THEN 'tombstoned' WHEN f.revision IS NULL THEN 'created'
+        WHEN f.outside THEN 'scope' WHEN o.expected <> f.revision THEN 'conflict' WHEN o.content = f.now THEN 'unchanged' ELSE 'changed' END AS outcome
+      FROM f JOIN o ON o.id = f.id AND o.k = f.k + 1))
+  SELECT seq, id AS memory_id, outcome, CAST(revision AS BIGINT) AS revision, CASE outcome WHEN 'changed' THEN 'body' WHEN 'created' THEN 'body,status,type,x-agent-memory' END AS fields FROM f WHERE k > 0""")
+def put_apply(spark, d):
+    """A batch of documents put into the global bundle: changed, unchanged, conflicting, dry, new, deleted and foreign ones, some twice."""
+    rows = docs(spark, d).where("text IS NOT NULL")
+    now, id_ = F.lit("2024-05-01 00:00:00").cast("timestamp"), F.col("doc_id").cast("string")
+    alive = rows.where("doc_id % 23 <> 9")
+    project = F.when(F.pmod("doc_id", F.lit(11)) == 10, F.col("source")).otherwise("__global__")
+    tables = {
+        "memories": conform(alive.select(id_.alias("id"), F.col("text").alias("content"), project.alias("project"), F.lit("user").alias("memory_type")), "memories"),
+        "concepts": conform(alive.select(id_.alias("memory_id"), F.lit("Note").alias("concept_type"), F.lit("stable").alias("status"), F.lit(1).alias("current_revision")), "concepts"),
+        "tombstones": conform(rows.where("doc_id % 23 = 9").select(id_.alias("memory_id")), "tombstones"),
+    } | {n: empty(spark, n) for n in ("sources", "verifications", "relationships")}
+    mod = lambda n, k: F.pmod("doc_id", F.lit(n)) == k
+    first = rows.where(~mod(3, 0)).select(
+        (F.col("doc_id") * 3).alias("seq"), F.when(mod(19, 6), F.concat(F.lit("new-"), id_)).otherwise(id_).alias("id"), F.when(mod(3, 1), F.concat("text", F.lit(" and more"))).otherwise(F.col("text")).alias("content"),
+        F.when(mod(5, 2), F.when(mod(10, 2), 2).otherwise(1)).alias("expected"), mod(8, 4).alias("dry_run"), F.lit("Note").alias("concept_type"),
+    )
+    again = rows.where(mod(7, 5)).select((F.col("doc_id") * 3 + 1).alias("seq"), id_.alias("id"), F.concat("text", F.lit(" again")).alias("content"), F.when(mod(2, 0), 2).alias("expected"), F.lit(False).alias("dry_run"), F.lit("Note").alias("concept_type"))
+    done = U.put(tables, first.unionByName(again), "__global__", now)
+    return done.results.select("seq", "memory_id", "outcome", "revision", F.array_join(F.transform("diff", lambda x: x["field"]), ",").alias("fields"))
+
+
 def _forgotten(spark, d):
     ids = docs(spark, d).where("doc_id % 2 = 1").select(F.col("doc_id").cast("string").alias("id"))
     log = S.revisions(spark, d).withColumn("content_hash", F.sha2(F.concat_ws("|", "memory_id", "operation", F.col("event_id").cast("string")), 256))
