@@ -653,10 +653,18 @@ def near_duplicates(spark, d):
     return D.near_pairs(rows, 0.35, ["label"]).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE pr AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS score FROM embeddings x JOIN embeddings y ON y.label = x.label AND y.vec_id > x.vec_id),
+  near AS (SELECT * FROM pr WHERE score >= 0.35),
+  adj AS (SELECT label, id, list(peer ORDER BY score DESC, peer) AS peers FROM (SELECT label, a AS id, b AS peer, score FROM near UNION ALL SELECT label, b, a, score FROM near) GROUP BY 1, 2),
+  o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY id) AS k FROM adj),
+  w AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS older, CAST(NULL AS BIGINT) AS newer FROM o
+    UNION ALL SELECT label, k, CASE WHEN best IS NULL THEN gone ELSE list_append(gone, least(id, best)) END, CASE WHEN best IS NOT NULL THEN least(id, best) END, greatest(id, best) FROM
+      (SELECT o.label, o.k, o.id, w.gone, CASE WHEN NOT list_contains(w.gone, o.id) THEN list_filter(o.peers, lambda p: NOT list_contains(w.gone, p))[1] END AS best FROM w JOIN o ON o.label = w.label AND o.k = w.k + 1))
+  SELECT older, newer FROM w WHERE older IS NOT NULL""")
 def dedup_greedy(spark, d):
     rows = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", F.lit(None).cast("string").alias("superseded_by"), F.timestamp_seconds("vec_id").alias("created_at"))
-    return D.greedy_dedup(D.near_pairs(rows, 0.35, ["label"]), rows)
+    pairs = D.near_pairs(rows, 0.35 - 1e-6, ["label"]).withColumn("score", F.round("score", 9)).where("score >= 0.35")
+    return D.greedy_dedup(pairs, rows)
 
 
 @query(f"WITH {M} SELECT project, COUNT(*) AS n, SUM(strlen(content)) AS bytes, COUNT(*) <= 200 AND SUM(strlen(content)) <= 160000 AS whole FROM memories GROUP BY project")
@@ -664,7 +672,11 @@ def review_partition(spark, d):
     return D.review_partition(S.memories(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, o AS (SELECT id, project, tags, updated_at, ROW_NUMBER() OVER (PARTITION BY project ORDER BY updated_at, id) AS k FROM memories WHERE superseded_by IS NULL),
+  w AS (SELECT DISTINCT project, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS id, CAST([] AS STRUCT(tags VARCHAR[], seen TIMESTAMP)[]) AS heads, CAST(0 AS BIGINT) AS cluster FROM o
+    UNION ALL SELECT project, k, id, CASE WHEN hit IS NULL THEN list_append(heads, {{'tags': tags, 'seen': updated_at}}) ELSE heads END, CASE WHEN hit IS NULL THEN len(heads) ELSE hit - 1 END FROM
+      (SELECT o.*, w.heads, list_position(list_transform(w.heads, lambda h: abs(epoch_us(o.updated_at) - epoch_us(h.seen)) < 15 * 86400000000 AND len(list_filter(o.tags, lambda t: list_contains(h.tags, t))) >= 2), TRUE) AS hit FROM w JOIN o ON o.project = w.project AND o.k = w.k + 1))
+  SELECT id, CAST(cluster AS INTEGER) AS cluster FROM w WHERE k > 0""")
 def cluster_greedy(spark, d):
     return D.cluster(S.memories(spark, d).where(P.live()))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -14,8 +15,12 @@ from pyspark.sql import Window
 from mnemospark.functions.predicates import is_refusal, live
 from mnemospark.functions.text import merge_budget, rewrite_budget, strip_code_fence, trimmed
 from mnemospark.operators.vector import cosine
+from mnemospark.plans import lineage
+from mnemospark.schemas import NO_PROJECT
 
-THRESHOLD, MAX_ROWS, MAX_BYTES, MIN_SHARED_TAGS, WINDOW_DAYS = 0.87, 200, 160_000, 2, 14
+THRESHOLD, MAX_ROWS, MAX_BYTES = 0.87, 200, 160_000
+#: Two rows lie near each other if there are at most 14 whole days between them.
+NEAR_MICROS = 15 * 86_400 * 10**6
 BLOCK = ["project", "memory_type", "embedding_model"]
 #: Rows of a dedup block that are compared at a time; larger blocks are split into pairs of tiles.
 TILE = 512
@@ -139,29 +144,82 @@ def greedy_dedup(pairs: DataFrame, memories: DataFrame, skip: DataFrame | None =
 
 
 def cluster(memories: DataFrame) -> DataFrame:
-    """(id, cluster): the first cluster whose first row shares two tags and lies within 14 days.
-
-    Rows join in (updated_at, id) order; stamped rows (``stamped``) pass the time test. The order
-    decides, so a project is folded in one task, holding ids, tags and times only.
+    """(id, cluster): the first cluster whose first row (its head) shares two tags and lies within 14 days.
+
+    Rows join in (updated_at, id) order, rows without a time last; stamped rows (``stamped``) pass the time test. A row is a head if no
+    earlier head takes it, so heads are found in rounds: a row that an earlier head takes is settled, and so is one, as a head, before
+    which no row is left that could take it. Rows meet by pairs of tags, never pair by pair of rows: windows over a pair's rows of
+    ``NEAR`` time tell of the nearest head and open row before each, sums over the windows tell of what lies before. There
+    are about as many rounds as spans of ``NEAR``, over what is left. Clusters are numbered from 0 in each project by their heads'
+    order. A tag that the joining row repeats counts as often, as the rule has it. Ids are unique.
     """
-    id_type = memories.schema["id"].dataType.simpleString()
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        heads, out = [], []
-        for r in frame.sort_values(["updated_at", "id"]).itertuples():
-            own = list(r.tags) if r.tags is not None else []
-            for k, (tags, at, stamped) in enumerate(heads):
-                near = stamped or r.stamped or (pd.notna(at) and pd.notna(r.updated_at) and abs(int((r.updated_at - at).total_seconds() / 86_400)) <= WINDOW_DAYS)
-                if near and sum(t in tags for t in own) >= MIN_SHARED_TAGS:
-                    out.append((r.id, k))
-                    break
-            else:
-                heads.append((set(own), r.updated_at, r.stamped))
-                out.append((r.id, len(heads) - 1))
-        return pd.DataFrame(out, columns=["id", "cluster"])
-
-    rows = memories.select("project", "id", "tags", "updated_at", (F.col("stamped") if "stamped" in memories.columns else F.lit(False)).alias("stamped"))
-    return rows.groupBy("project").applyInPandas(fold, f"id {id_type}, cluster int")
+    stamp = F.coalesce("stamped", F.lit(False)) if "stamped" in memories.columns else F.lit(False)
+    at, tags = F.unix_micros("updated_at"), F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull())))
+    rows = lineage.cut(memories.select(F.coalesce("project", F.lit(NO_PROJECT)).alias("project"), "id", "tags", at.alias("at"), stamp.alias("stamped"), F.struct(at.isNull().alias("late"), at.alias("at"), F.col("id").alias("id")).alias("place")))
+    two = F.flatten(F.transform(tags, lambda t, i: F.transform(F.slice(tags, i + 2, F.size(tags)), lambda u: F.struct(t.alias("t"), u.alias("u"), F.lit(True).alias("joins")))))
+    # a tag beside itself: every row that has it can take one that repeats it
+    one = F.transform(tags, lambda t: F.struct(t.alias("t"), t.alias("u"), (F.size(F.filter("tags", lambda x: x == t)) > 1).alias("joins")))
+    slab = F.coalesce(F.floor(F.col("at") / NEAR_MICROS), F.lit(1 << 40)).alias("slab")
+    own = rows.select("project", "id", "place", "at", "stamped", slab, F.explode(F.concat(two, one)).alias("p")).select("*", "p.t", "p.u", "p.joins").drop("p")
+    group = ["project", "t", "u"]
+    own = lineage.cut(own.join(own.where("joins").select(*group).distinct(), group, "left_semi"))
+    open_rows, members = own.withColumn("head", F.lit(False)), []
+    while True:
+        state = lineage.cut(_settled(open_rows, group))
+        members.append(state.where("state = 'member'").select("id"))
+        left = open_rows.where("NOT head").join(state.where("state <> 'member'"), "id")
+        waiting = left.where("state = 'open'").drop("state")
+        if waiting.isEmpty():
+            break
+        # heads stay while a pair of their tags has an open row
+        heads = open_rows.where("head").unionByName(left.where("state = 'head'").drop("state").withColumn("head", F.lit(True)))
+        open_rows = lineage.cut(waiting.unionByName(heads.join(waiting.select(*group).distinct(), group, "left_semi")))
+    joined = functools.reduce(DataFrame.unionByName, members)
+    took = _first_heads(own.join(joined.withColumn("member", F.lit(True)), "id", "left").withColumn("head", F.col("member").isNull()).drop("member"), group)
+    heads = rows.join(joined, "id", "left_anti")
+    numbered = heads.select(F.col("id").alias("head"), (F.row_number().over(Window.partitionBy("project").orderBy("place")) - 1).alias("cluster"))
+    owner = rows.select("id").join(took, "id", "left").select("id", F.coalesce("head", "id").alias("head"))
+    return owner.join(numbered, "head").select("id", "cluster")
+
+
+def _settled(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(id, state) of the rows that are no heads: member (an earlier head takes it), open (an earlier open row could), or head."""
+    here = Window.partitionBy(*group, "slab").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    every = {}
+    for k, kind in (("head", F.col("head")), ("open", ~F.col("head"))):
+        every |= {f"{k}_at": F.max(F.when(kind, F.col("at"))), f"{k}_stamped": F.max(F.when(kind, F.col("stamped"))), f"{k}_any": F.max(F.when(kind, F.lit(True)))}
+    slabs = rows.groupBy(*group, "slab").agg(*(v.alias(k) for k, v in every.items()))
+    slabs = slabs.select(*group, "slab", *(F.max(k).over(earlier).alias(f"before_{k}") for k in every))
+    local = rows.select("*", *(v.over(here).alias(k) for k, v in every.items())).where("NOT head").join(slabs, [*group, "slab"])
+
+    def takes(kind: str) -> Column:
+        out = F.lit(False)
+        for p in ("", "before_"):
+            near = F.col("at") - F.col(f"{p}{kind}_at") < NEAR_MICROS
+            out = out | F.coalesce(F.col(f"{p}{kind}_stamped"), F.lit(False)) | (F.col("stamped") & F.coalesce(F.col(f"{p}{kind}_any"), F.lit(False))) | F.coalesce(near, F.lit(False))
+        return F.max(F.col("joins") & out)
+
+    found = local.groupBy("id").agg(takes("head").alias("taken"), takes("open").alias("waits"))
+    return found.select("id", F.when(F.col("taken"), "member").when(F.col("waits"), "open").otherwise("head").alias("state"))
+
+
+def _first_heads(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(id, head) of the members: the earliest head that takes each.
+
+    Two rows that share two different tags are no heads within ``NEAR`` of each other, so of a pair's heads only the last before a row, the first
+    stamped one and, for a stamped row, the first of all count. A tag beside itself has no such rule: there heads of the time span are looked through.
+    """
+    whole, before = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    span = Window.partitionBy(*group).orderBy("at").rangeBetween(-(NEAR_MICROS - 1), 0)
+    head = F.when(F.col("head"), F.col("place"))
+    alike = F.when(F.col("t") == F.col("u"), F.lit(True))
+    base = rows.select("id", "place", "at", "stamped", "head", "joins", "t", "u", F.last(head, True).over(before).alias("last"), F.min(F.when(F.col("head") & F.col("stamped"), F.col("place"))).over(whole).alias("first_stamped"), F.min(head).over(whole).alias("first"))
+    near = F.when(F.col("at") - F.col("last.at") < NEAR_MICROS, F.col("last"))
+    some = F.array_compact(F.array(near, F.col("first_stamped"), F.when(F.col("stamped"), F.col("first"))))
+    found = base.where("NOT head AND joins").select("id", "place", F.explode(some).alias("h"))
+    twice = rows.where(alike & F.col("at").isNotNull()).select("id", "place", "head", "joins", F.min(head).over(span).alias("h")).where("NOT head AND joins AND h IS NOT NULL").select("id", "place", "h")
+    return found.unionByName(twice).where("h < place").groupBy("id").agg(F.min("h").alias("h")).select("id", F.col("h.id").alias("head"))
 
 
 DECISION = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("action", T.StringType()), T.StructField("target", T.StringType()), T.StructField("content", T.StringType())]))

@@ -159,6 +159,40 @@ def test_cluster_and_budgets(spark):
     assert {r["project"]: r["whole"] for r in D.review_partition(part, 3, 1_000).collect()} == {"p": False, None: True}
 
 
+def plain_clusters(rows):
+    """A walk over (id, project, tags, at, stamped) of all projects."""
+    out, heads = {}, {}
+    far = datetime.max
+    for i, project, tags, at, stamped in sorted(rows, key=lambda r: (r[3] is None, r[3] or far, r[0])):
+        own = heads.setdefault(project, [])
+        for k, (had, when, mark) in enumerate(own):
+            near = stamped or mark or (at is not None and when is not None and abs(at - when) < timedelta(days=15))
+            if near and sum(t in had for t in tags or [] if t is not None) >= 2:
+                out[i] = k
+                break
+        else:
+            own.append((set(tags or []), at, stamped))
+            out[i] = len(own) - 1
+    return out
+
+
+def test_clusters_in_rounds_equal_a_plain_walk(spark):
+    rnd = random.Random(11)
+    for n, words, days, marks in ((300, "abcdef", 90, 0.0), (300, "abcd", 400, 0.03), (200, "abcdefghijkl", 30, 0.3), (40, "ab", 200, 0.0)):
+        rows = []
+        for i in range(n):
+            tags = rnd.choice([None, [], [rnd.choice(words)] * 2, rnd.choices(words, k=rnd.randrange(1, 5)), rnd.choices([*words, None], k=3)])
+            at = None if rnd.random() < 0.05 else datetime(2024, 1, 1) + timedelta(hours=rnd.randrange(days * 24))
+            rows.append((f"i{i:04d}", rnd.choice(["p", "p", "q", None]), tags, at, rnd.random() < marks))
+        df = spark.createDataFrame(rows, "id string, project string, tags array<string>, updated_at timestamp, stamped boolean").repartition(3)
+        assert {r["id"]: r["cluster"] for r in D.cluster(df).collect()} == plain_clusters(rows), (n, words)
+
+
+def test_clusters_of_nothing(spark):
+    df = spark.createDataFrame([], "id string, project string, tags array<string>, updated_at timestamp")
+    assert D.cluster(df).collect() == []
+
+
 def test_parse_decisions():
     ids = ["m1", "m2"]
     ok = '```json\n{"decisions": {"r1": {"action": "merge_into", "target_id": "r2"}, "m2": {"action": "keep"}}}\n```'
