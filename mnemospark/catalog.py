@@ -17,6 +17,7 @@ from mnemospark.operators import graph as G
 from mnemospark.operators import lexical as L
 from mnemospark.operators import put as U
 from mnemospark.operators import retrieve as V
+from mnemospark.operators import review as K
 from mnemospark.operators import revisions as H
 from mnemospark.operators import search_index as I
 from mnemospark.operators import writes as W
@@ -716,6 +717,53 @@ def length_budget(spark, d):
     return D.length_budget(valid, memories).select("batch", "id", "action")
 
 
+_APPLIED = f"""{_DECIDE}, mem AS (SELECT batch, CAST(id AS VARCHAR) AS id, ROW_NUMBER() OVER (PARTITION BY batch ORDER BY id) AS place, text AS own FROM dec WHERE text IS NOT NULL),
+  names AS (SELECT batch, id, id AS name FROM mem UNION ALL SELECT batch, id, 'r' || place FROM mem),
+  said AS (SELECT d.batch, CASE WHEN d.batch % 13 = 1 AND d.id % 10 = 3 THEN 'zz' WHEN d.id % 2 = 0 THEN 'r' || m.place ELSE m.id END AS key, d.action, CAST(d.target AS VARCHAR) AS target, CASE WHEN d.batch % 13 = 4 AND d.id % 10 = 4 THEN ' ' ELSE d.content END AS content
+    FROM dec d JOIN mem m ON m.id = CAST(d.id AS VARCHAR) WHERE NOT (d.batch % 13 = 3 AND d.id % 10 = 7)
+    UNION ALL SELECT batch, id, 'keep', NULL, NULL FROM mem WHERE batch % 13 = 2 AND place = 2),
+  res AS (SELECT s.*, n.id FROM said s LEFT JOIN names n ON n.batch = s.batch AND n.name = s.key),
+  whole AS (SELECT m.batch, COUNT(DISTINCT m.id) AS members FROM mem m GROUP BY 1),
+  bad AS (SELECT w.batch, CASE WHEN bool_or(r.id IS NULL) THEN 'unknown id' WHEN COUNT(r.id) > COUNT(DISTINCT r.id) THEN 'duplicate decision' WHEN COUNT(DISTINCT r.id) < any_value(members) THEN 'coverage mismatch' END AS why FROM whole w LEFT JOIN res r ON r.batch = w.batch GROUP BY 1),
+  fine AS (SELECT r.batch, r.id, r.action, r.target, r.content, m.own FROM res r JOIN mem m ON m.batch = r.batch AND m.id = r.id WHERE r.batch IN (SELECT batch FROM bad WHERE why IS NULL)),
+  val AS (SELECT f.batch, f.id, f.content, f.own, CASE WHEN ok THEN f.action ELSE 'keep' END AS action, CASE WHEN ok THEN f.target END AS target FROM
+    (SELECT f.*, CASE f.action WHEN 'merge_into' THEN t.id IS NOT NULL AND t.id <> f.id AND t.action IN ('keep', 'supersede_by') WHEN 'contradiction' THEN t.id IS NOT NULL AND t.id <> f.id ELSE TRUE END AS ok FROM fine f LEFT JOIN fine t ON t.batch = f.batch AND t.id = f.target) f),
+  n AS (SELECT *, length(regexp_replace(own, '^\\s+|\\s+$', '', 'g')) AS len FROM val),
+  fed AS (SELECT batch, target AS id, SUM(len) AS incoming FROM n WHERE action = 'merge_into' GROUP BY 1, 2),
+  j AS (SELECT n.*, length(regexp_replace(CASE WHEN action = 'supersede_by' THEN coalesce(content, '') WHEN incoming IS NOT NULL THEN own END, '^\\s+|\\s+$', '', 'g')) AS size, CASE WHEN incoming IS NOT NULL THEN floor(3 * (len + incoming) / 4.0) ELSE len + len // 2 END AS most FROM n LEFT JOIN fed USING (batch, id)),
+  why AS (SELECT batch, why FROM bad WHERE why IS NOT NULL UNION ALL SELECT DISTINCT batch, 'blank body' FROM j WHERE size = 0),
+  bud AS (SELECT j.batch, j.id, CASE WHEN j.size > j.most OR (t.size > t.most AND j.action = 'merge_into') THEN 'keep_original' ELSE j.action END AS action, CASE WHEN NOT coalesce(j.size > j.most OR (t.size > t.most AND j.action = 'merge_into'), FALSE) THEN j.target END AS target FROM j LEFT JOIN j t ON t.batch = j.batch AND t.id = j.target),
+  st AS (SELECT m.batch, m.id, b.action, b.target, coalesce(y.why, CASE WHEN CAST(m.id AS BIGINT) % 29 = 5 THEN 'gateway' END) AS own_why FROM mem m LEFT JOIN bud b ON b.batch = m.batch AND b.id = m.id LEFT JOIN why y ON y.batch = m.batch),
+  fin AS (SELECT s.*, coalesce(s.own_why, CASE WHEN s.action = 'merge_into' AND t.own_why IS NOT NULL THEN 'merge target replacement failed' END) AS why FROM st s LEFT JOIN st t ON t.batch = s.batch AND t.id = s.target),
+  dun AS (SELECT *, CASE WHEN why IS NOT NULL THEN 'failed' ELSE CASE action WHEN 'merge_into' THEN 'merged' WHEN 'drop' THEN 'dropped' WHEN 'contradiction' THEN 'contradictions' WHEN 'supersede_by' THEN 'superseded' ELSE 'kept' END END AS outcome FROM fin)"""
+
+
+def _decided(spark, d):
+    rows = _decisions(spark, d).where("content IS NOT NULL").withColumn("num", F.col("id")).withColumn("id", F.col("id").cast("string"))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("num"))
+    members = rows.withColumn("place", place)
+    at = lambda b, i: (F.pmod("batch", F.lit(13)) == b) & (F.pmod("num", F.lit(10)) == i)
+    key = F.when(at(1, 3), "zz").when(F.pmod("num", F.lit(2)) == 0, F.concat(F.lit("r"), F.col("place").cast("string"))).otherwise(F.col("id"))
+    said = members.where(~at(3, 7)).select("batch", key.alias("key"), "action", F.col("target").cast("string").alias("target"), F.when(at(4, 4), " ").otherwise(F.col("content")).alias("content"))
+    blank = F.lit(None).cast("string")
+    twice = members.where((F.pmod("batch", F.lit(13)) == 2) & (F.col("place") == 2)).select("batch", F.col("id").alias("key"), F.lit("keep").alias("action"), blank.alias("target"), blank.alias("content"))
+    decisions = said.unionByName(twice).withColumn("tags", F.lit(None).cast("array<string>")).withColumn("reason", blank)
+    failures = members.where(F.pmod("num", F.lit(29)) == 5).select("id", F.lit("gateway").alias("why"))
+    memories = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("content_raw"))
+    return K.decide(members.select("batch", "id", "place"), decisions, memories, failures)
+
+
+@query(f"WITH {_APPLIED} SELECT batch, id, action, target, outcome, why FROM dun")
+def apply_decisions(spark, d):
+    """Batches of decisions: unknown, repeated and missing keys, blank bodies, budgets, failed replacements and the merges into them."""
+    return _decided(spark, d).select("batch", "id", "action", "target", "outcome", "why")
+
+
+@query(f"WITH {_APPLIED} SELECT {', '.join(f"COUNT(*) FILTER (outcome = '{n}') AS {n}" for n in dict.fromkeys([*K.EFFECTS.values(), 'failed']))} FROM dun")
+def review_counts(spark, d):
+    return K.review_counters(_decided(spark, d))
+
+
 @query(rf"""WITH r AS (SELECT conv_id, turn, text AS base, CASE (conv_id + turn) % 6 WHEN 0 THEN 'KEEP_UNCHANGED' WHEN 1 THEN ' forget ' WHEN 2 THEN '```text' || chr(10) || 'short' || chr(10) || '```' WHEN 3 THEN 'forget this one' WHEN 4 THEN text || text || text ELSE text END AS reply FROM conversations),
   b AS (SELECT *, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t, regexp_replace(base, '^\s+|\s+$', '', 'g') AS tb FROM r),
   c AS (SELECT *, CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(regexp_replace(t, '^```(?:text|markdown)?', ''), '(?:```)+$', ''), '^\s+|\s+$', '', 'g') ELSE t END AS body FROM b)

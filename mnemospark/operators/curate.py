@@ -311,9 +311,13 @@ def processed_stamp(version: str, reviewed: Column) -> Column:
 
 
 def deprecate(concepts: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Concepts with status deprecated and the reason in their extensions, for (memory_id, reason)."""
+    """Concepts with status deprecated and the reason in their extensions, for (memory_id, reason); what else is in them stays as it is."""
     j = concepts.join(reasons, "memory_id", "left")
-    merged = F.to_json(F.map_concat(F.coalesce(F.from_json("extensions", "map<string,string>"), F.create_map().cast("map<string,string>")), F.create_map(F.lit("deprecated_reason"), F.col("reason"))))
+    # values by their own JSON: numbers, lists and objects keep their kind
+    old = F.coalesce(F.expr("cast(try_parse_json(coalesce(extensions, '{}')) as map<string, variant>)"), F.create_map().cast("map<string,variant>"))
+    others = F.map_filter(old, lambda k, v: k != "deprecated_reason")
+    mark = F.map_from_arrays(F.array(F.lit("deprecated_reason")), F.array(F.expr("cast(reason as variant)")))
+    merged = F.to_json(F.map_concat(others, mark))
     hit = F.col("reason").isNotNull()
     return j.withColumn("status", F.when(hit, "deprecated").otherwise(F.col("status"))).withColumn("extensions", F.when(hit, merged).otherwise(F.col("extensions"))).select(*concepts.columns)
 
