@@ -33,10 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.llm import cells
 from mnemospark.llm.common import cut_lineage, release_memory
 
-#: 2^BITS cells, in ranges of 2^RANGE_BITS (16 at most); the counts of a range's cells share a row and a task.
-BITS, RANGE_BITS, SKETCH_TASKS = 27, 16, 64
+#: 2^BITS cells of the sketch.
+BITS = 27
 #: Bytes of text that make a shard.
 SHARD = 4 << 20
 NO_LANG = "und"
@@ -68,13 +69,6 @@ class Automaton(NamedTuple):
     totals: np.ndarray
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads their bits."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(the words, lower-cased, dictionary-encoded; whether each follows the one before within a piece; the text of each)."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -109,7 +103,7 @@ def build(langs: list[str], texts: list[bytes], depth: int, may: np.ndarray | No
     width = max(1, len(words.dictionary))
     key, at, now, count = states(code * width + words.indices.to_numpy().astype(np.int64))
     before, last = np.divmod(key, width)
-    level = Level(before, last, np.full(len(key), -1), count, mixed(of_word[last] ^ mixed(of_lang[before])))
+    level = Level(before, last, np.full(len(key), -1), count, cells.mixed(of_word[last] ^ cells.mixed(of_lang[before])))
     one, first = now, level
     levels = []
     for k in range(1, depth + 1):
@@ -118,13 +112,12 @@ def build(langs: list[str], texts: list[bytes], depth: int, may: np.ndarray | No
             key, at, own, count = states(now[here - 1] * len(first.count) + one[here])
             before, last = np.divmod(key, max(1, len(first.count)))
             link = now[here[at]]
-            level = Level(before, last, link, count, mixed(level.hash[before] * np.uint64(0x9E3779B97F4A7C15) + first.hash[last]))
+            level = Level(before, last, link, count, cells.mixed(level.hash[before] * np.uint64(0x9E3779B97F4A7C15) + first.hash[last]))
             now = np.full(len(now), -1, np.int64)
             now[here] = own
         if may is not None:
             # the state keeps its number; places that lead to a hopeless one lead nowhere
-            cell = level.hash >> np.uint64(64 - bits)
-            hope = (may[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            hope = cells.told(may, level.hash, bits)
             if k == 1:
                 one = now = np.where(hope[now], now, -1) if len(hope) else now
             else:
@@ -174,63 +167,18 @@ def shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[list
         yield langs, texts
 
 
-def packed(cells: np.ndarray, counts: np.ndarray, per: int) -> Iterator[tuple[int, bytes]]:
-    """(range, bytes) of cells' counts: each range's steps from cell to cell, low bytes, then high bytes, then the counts.
-
-    Most high bytes are 0 and most counts 1, so what is moved is little more than a byte a cell.
-    """
-    value = (cells << np.uint64(8)) | counts.astype(np.uint64)
-    value.sort()
-    cell = value >> np.uint64(8)
-    begin = np.flatnonzero(np.diff(cell, prepend=np.uint64((1 << 64) - 1)))
-    if not len(begin):
-        return
-    total = np.minimum(np.add.reduceat(value & np.uint64(255), begin), np.uint64(255)).astype(np.uint8)
-    cell = cell[begin].astype(np.int64)
-    of, within = np.divmod(cell, per)
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    step = np.diff(within, prepend=0)
-    step[starts] = within[starts]
-    planes = np.stack([(step & 255).astype(np.uint8), (step >> 8).astype(np.uint8), total])
-    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
-        yield int(of[x]), planes[:, x:y].tobytes()
-
-
-def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cells within their range, counts)."""
-    low, high, count = data.reshape(3, -1)
-    return np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 8), count
-
-
 def sketch(rows: DataFrame, depth: int, least: int, bits: int = BITS, shard: int = SHARD) -> np.ndarray:
     """One bit for each cell: whether the phrases with that hash together occur ``least`` times (255 times, if that is less)."""
-    per, top = 1 << min(bits, RANGE_BITS), min(least, 255)
+    top = min(least, 255)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in shards(batches, shard):
             levels = build(langs, texts, depth).levels
-            cells = np.concatenate([v.hash for v in levels]) >> np.uint64(64 - bits)
-            found = list(packed(cells, np.minimum(np.concatenate([v.count for v in levels]), top), per))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["range", "cells"])
-            del levels, cells, found
+            yield from cells.batches(np.concatenate([v.hash for v in levels]), np.concatenate([v.count for v in levels]), bits, top)
+            del levels
         release_memory()
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for r, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                cells, count = unpacked(np.frombuffer(data.as_buffer(), np.uint8))
-                sums = found.setdefault(r, np.zeros(per, np.uint16))
-                sums[cells] = np.minimum(sums[cells] + count, top)
-        for r, sums in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(sums >= top, bitorder="little").tobytes()])], names=["range", "bits"])
-
-    moved = rows.mapInArrow(counted, "range int, cells binary").repartition(SKETCH_TASKS, "range")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in moved.mapInArrow(added, "range int, bits binary").collect():
-        out[r["range"] * per // 8 : (r["range"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return cells.often(rows.mapInArrow(counted, "range int, cells binary"), bits, top)
 
 
 def counts(docs: DataFrame, depth: int = 3, least: int = 10, text: str = "text", lang: str = "lang", bits: int = BITS, shard: int = SHARD) -> DataFrame:

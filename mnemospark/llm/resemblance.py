@@ -5,7 +5,7 @@ Two sets link when their Jaccard similarity is ``similarity`` or more. Equal set
 Search: with the shingles of all sets in one global order, sets that alike share a shingle
 among the first ``size - ceil(similarity * size) + 1`` of each (the prefix filter), so no
 linked pair is missed. Shingles that tasks met often come last in the order, so prefixes hold
-rare ones; what order it is changes the work, never the links. Each prefix shingle is a key.
+rare ones; what order it is changes the work, never the links. Each prefix shingle that may stand in two prefixes (a count by cells tells) is a key.
 First every set is verified against one set under each of its keys, that with the fewest rarer shingles, and against the caller's candidates, which
 is linear and joins large groups of copies; then pairs not yet connected are verified if a key that both have may be
 the first they share: from its places on, each set has as many shingles left as alike sets of their sizes share. Every alike
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.llm import cells
 from mnemospark.llm import shingles as pieces
 from mnemospark.llm.common import append_columns, cut_lineage, release_memory
 from mnemospark.llm.components import HOT, HOT_KEYS, components, join_spread
@@ -37,6 +38,8 @@ from mnemospark.llm.components import HOT, HOT_KEYS, components, join_spread
 OFTEN, COMMON, FLUSH = 3, 100_000, 2_000_000
 #: Bits of the filter that keeps unwanted sets from being moved; a wrong hit is dropped by the join.
 SPOTS = 2**26
+#: Keys are counted in 2^CELL_BITS cells before they are moved.
+CELL_BITS = 27
 
 
 def digest_of(shingles: np.ndarray) -> int:
@@ -156,6 +159,28 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, s
     return cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
 
 
+def keys_of_several(sets: DataFrame) -> np.ndarray:
+    """One bit for each cell of keys: whether two sets have a key of it in their prefixes. Most shingles are in one set, and needn't move."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        waiting = 0
+        for batch in batches:
+            for prefix in batch.column(0):
+                parts.append(np.frombuffer(prefix.as_buffer(), np.uint64))
+                waiting += len(parts[-1])
+                if waiting > FLUSH:
+                    met, times = np.unique(cells.mixed(np.concatenate(parts)), return_counts=True)
+                    parts, waiting = [], 0
+                    yield from cells.batches(met, times, CELL_BITS, 2)
+        if waiting:
+            met, times = np.unique(cells.mixed(np.concatenate(parts)), return_counts=True)
+            yield from cells.batches(met, times, CELL_BITS, 2)
+        release_memory()
+
+    return cells.often(sets.select("prefix").mapInArrow(counted, "range int, cells binary"), CELL_BITS, 2)
+
+
 def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, similarity: Fraction, candidates: DataFrame) -> DataFrame:
     """Pairs (a, b) of alike sets that connect all that are alike.
 
@@ -164,10 +189,11 @@ def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, si
     """
     spark = docs.sparkSession
     shared_common = spark.sparkContext.broadcast(np.sort(common))
+    shared_may = spark.sparkContext.broadcast(keys_of_several(sets))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, node, size, often, place) for each shingle of a prefix."""
-        known = shared_common.value
+        """(key, node, size, often, place) for each shingle of a prefix that may be in another's too."""
+        known, may = shared_common.value, shared_may.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
@@ -178,10 +204,12 @@ def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, si
                 keys = np.frombuffer(b"".join(blobs), "<i8")
                 node, size = (np.repeat(batch.column(k).to_numpy(), per) for k in (0, 1))
                 place = np.arange(len(keys)) - np.repeat(np.cumsum(per) - per, per)
+                several = cells.told(may, cells.mixed(keys.view(np.uint64)), CELL_BITS)
+                keys, node, size, place = keys[several], node[several], size[several], place[several]
                 often = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(size), pa.array(often), pa.array(place)], names=["key", "node", "size", "often", "place"])
 
-    postings = sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long, often boolean, place long")
+    postings = cut_lineage(sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long, often boolean, place long"))
     total = sets.agg(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0
     # a key in so many sets is among those that tasks met often; at most HOT_KEYS of them, so they may be broadcast,
     # and no task takes all sets of one

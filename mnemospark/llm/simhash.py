@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     if similarity is not None:
         common = resemblance.common_shingles(docs, shingle)
         rows = cut_lineage(resemblance.describe(docs, common, shingle, similarity))
-        sets = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("size", "prefix", "text_key", "fp")))
+        sets = cut_lineage(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("size", "prefix", "text_key", "fp"))))
         # sets of one fingerprint are candidates by the least of them, and so are those of linked ones
         prints = cut_lineage(sets.groupBy("fp").agg(F.min("node").alias("node")))
         one, other = prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), prints.select(F.col("fp").alias("b"), F.col("node").alias("y"))

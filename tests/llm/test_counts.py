@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from mnemospark.llm import phrases, queries, tokencount, whitening
+from mnemospark.llm import cells, phrases, queries, tokencount, whitening
 
 DATA = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,9 +72,20 @@ def test_sketch_never_loses_a_frequent_phrase(spark):
     bits = phrases.sketch(rows.repartition(5), 3, 10)
     automaton = phrases.build(["en"] * 300, [f"w{i % 9} v{i % 7} x".encode() for i in range(300)], 3)
     for level in automaton.levels:
-        cell = level.hash >> np.uint64(64 - phrases.BITS)
-        has = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
-        assert ((has == 1) | (level.count < 10)).all() and not has[level.count < 2].any()
+        has = cells.told(bits, level.hash, phrases.BITS)
+        assert (has | (level.count < 10)).all() and not has[level.count < 2].any()
+
+
+def test_cells_keep_what_is_frequent(spark):
+    draw = np.random.default_rng(1)
+    hashes = draw.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)
+    counts = draw.integers(1, 9, 5000)
+    for bits in (12, 16, 20):
+        parts = [r for k in range(4) for b in cells.batches(hashes[k::4], counts[k::4], bits, 7) for r in b.to_pylist()]
+        got = cells.often(spark.createDataFrame(parts, "range int, cells binary"), bits, 7)
+        want = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), np.minimum(counts, 7), 1 << bits) >= 7
+        assert (np.unpackbits(got, bitorder="little").astype(bool) == want).all()
+    assert list(cells.batches(hashes[:0], counts[:0], 20, 7)) == []
 
 
 def test_automaton_links_and_endpos_counts():
