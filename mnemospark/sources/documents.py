@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from mnemospark.functions.predicates import has_secret
 
 MAX_DOCUMENT, MAX_FRONTMATTER, MAX_DEPTH, MAX_ITEMS, MAX_TAGS, MAX_ALIASES = 1 << 20, 128 << 10, 32, 10_000, 256, 64
-KNOWN = ["id", "type", "title", "description", "resource", "tags", "status", "project", "scope", "memory_type", "stale_after", "sources", "verified", "generated", "metadata"]
-_FIELDS = ["id", "type", "title", "description", "resource", "tags", "status", "project", "memory_type", "stale_after", "sources", "verified", "extensions", "body", "error"]
+KNOWN = ["id", "type", "title", "description", "resource", "tags", "status", "project", "scope", "memory_type", "stale_after", "sources", "verified", "generated", "edges", "revision", "metadata"]
+_FIELDS = ["id", "type", "title", "description", "resource", "tags", "status", "project", "memory_type", "stale_after", "sources", "verified", "generated", "edges", "revision", "scope", "extensions", "body", "error"]
 PARSED = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "tags" else T.StringType()) for n in _FIELDS])
 
 
@@ -57,7 +57,7 @@ def parse_document(document: str | None) -> dict:
         tags = meta.get("tags") or []
         if not isinstance(tags, list) or len(tags) > MAX_TAGS:
             raise ValueError("tags are no list, or too many")
-        for k in ("id", "type", "title", "description", "resource", "status", "project", "memory_type", "stale_after", "sources", "verified"):
+        for k in ("id", "type", "title", "description", "resource", "status", "project", "memory_type", "stale_after", "sources", "verified", "generated", "edges", "revision", "scope"):
             out[k] = _text(meta.get(k))
         out["tags"] = [str(t) for t in tags]
         out["extensions"] = json.dumps({k: v for k, v in meta.items() if k not in KNOWN}, default=str, ensure_ascii=False, sort_keys=True)
@@ -70,7 +70,7 @@ def parse_document(document: str | None) -> dict:
 def render_document(row: dict) -> str:
     """The document of a row: frontmatter keys in a fixed order, absent ones left out."""
     meta = {k: row[k] for k in KNOWN if row.get(k) not in (None, [], "")}
-    for k in ("sources", "verified"):
+    for k in ("sources", "verified", "generated", "edges", "revision"):
         if isinstance(meta.get(k), str):
             meta[k] = json.loads(meta[k])
     extra = json.loads(row.get("extensions") or "{}")
@@ -84,8 +84,8 @@ def parsed(documents: pd.Series) -> pd.DataFrame:
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """(path, document parts) of ``path``/memories/*.md, through Spark's reader."""
-    texts = spark.read.text(f"{path}/memories/*.md", wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """(path, document parts) of ``path``/memories/*.md, or of the file ``path``, through Spark's reader."""
+    texts = spark.read.text(path if path.endswith(".md") else f"{path}/memories/*.md", wholetext=True).select(F.input_file_name().alias("path"), "value")
     return texts.select("path", parsed("value").alias("d")).select("path", "d.*")
 
 
