@@ -564,6 +564,31 @@ def put_apply(spark, d):
     return done.results.select("seq", "memory_id", "outcome", "revision", F.array_join(F.transform("diff", lambda x: x["field"]), ",").alias("fields"))
 
 
+@query("""WITH e AS (SELECT doc_id, unnest([{'target': CAST(doc_id + 1 AS VARCHAR) || '.md', 'relation': 'links_to', 'producer': 'markdown', 'n': 0}, {'target': '/memories/' || CAST(doc_id * 7 AS VARCHAR) || '.md', 'relation': 'links_to', 'producer': 'markdown', 'n': 1},
+    {'target': 'src/a' || doc_id || '.py', 'relation': 'cites', 'producer': 'sources', 'n': 0}, {'target': 'memory://global/' || CAST(doc_id + 2 AS VARCHAR), 'relation': 'supports', 'producer': 'document', 'n': 0}]) AS x FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 1),
+  r AS (SELECT CAST(doc_id AS VARCHAR) AS src, x.target, x.relation, x.producer, CAST(x.n AS BIGINT) AS ordinal, CASE WHEN x.target LIKE '%.py' THEN NULL WHEN x.producer = 'document' THEN CAST(doc_id + 2 AS VARCHAR) WHEN x.n = 1 THEN CAST(doc_id * 7 AS VARCHAR) ELSE CAST(doc_id + 1 AS VARCHAR) END AS named FROM e)
+  SELECT r.src, CAST(d.doc_id AS VARCHAR) AS dst, r.target, r.relation, r.producer, r.ordinal FROM r LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.named AND d.text IS NOT NULL
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'kept', 'cites', 'other', 0 FROM documents WHERE text IS NOT NULL AND doc_id % 4 IN (1, 2)
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'stays', 'links_to', 'markdown', 0 FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 2""")
+def put_edges(spark, d):
+    """The edges after every fourth memory was put with links, a reference, a code span, sources and a declared edge: those of the three producers made anew."""
+    rows, id_ = docs(spark, d).where("text IS NOT NULL"), F.col("doc_id").cast("string")
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    edge = lambda where, ref, relation, producer: rows.where(where).select(F.concat(id_, F.lit(f" {producer} {ref}")).alias("id"), id_.alias("src_memory_id"), F.lit(ref).alias("dst_ref"), F.lit(relation).alias("relation"), F.lit(producer).alias("producer"), F.lit(0).alias("ordinal"))
+    old = edge("doc_id % 4 IN (1, 2)", "kept", "cites", "other").unionByName(edge("doc_id % 4 IN (1, 2)", "stays", "links_to", "markdown"))
+    tables = {
+        "memories": conform(rows.select(id_.alias("id"), F.col("text").alias("content"), F.lit("__global__").alias("project"), F.lit("user").alias("memory_type")), "memories"),
+        "concepts": conform(rows.select(id_.alias("memory_id"), F.lit("Note").alias("concept_type"), F.lit("stable").alias("status"), F.lit(1).alias("current_revision")), "concepts"),
+        "relationships": conform(old, "relationships"),
+    } | {n: empty(spark, n) for n in ("sources", "verifications", "tombstones")}
+    body = F.concat(F.lit("see [next](<"), (F.col("doc_id") + 1).cast("string"), F.lit(".md>) and `[none](x.md)`, [far [off]][r]\n\n[R]: /memories/"), (F.col("doc_id") * 7).cast("string"), F.lit('.md "title"\n'))
+    source = F.from_json(F.concat(F.lit('[{"resource":"src/a'), id_, F.lit('.py"}]')), U.SOURCES)
+    declared = F.from_json(F.concat(F.lit('[{"target":"memory://global/'), (F.col("doc_id") + 2).cast("string"), F.lit('","relation":"supports"}]')), U.EDGES)
+    batch = rows.where("doc_id % 4 = 1").select(F.col("doc_id").alias("seq"), id_.alias("id"), body.alias("content"), F.lit("Note").alias("concept_type"), source.alias("sources"), declared.alias("edges"))
+    made = U.put(tables, batch, "__global__", now).relationships
+    return made.select(F.col("src_memory_id").alias("src"), F.col("dst_memory_id").alias("dst"), F.col("dst_ref").alias("target"), "relation", "producer", "ordinal")
+
+
 def _forgotten(spark, d):
     ids = docs(spark, d).where("doc_id % 2 = 1").select(F.col("doc_id").cast("string").alias("id"))
     log = S.revisions(spark, d).withColumn("content_hash", F.sha2(F.concat_ws("|", "memory_id", "operation", F.col("event_id").cast("string")), 256))

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.links import links as links_of
 from mnemospark.functions.semantic import semantic_diff, semantic_hash, semantic_json, semantic_parts
-from mnemospark.functions.text import inline_links
 from mnemospark.operators.graph import project_edges
 from mnemospark.operators.revisions import resolve_references
 from mnemospark.plans import lineage
@@ -239,7 +239,7 @@ def written(tables: dict[str, DataFrame], final: DataFrame, project: str | None,
     out_sources = replaced(tables["sources"], "sources", {"ordinal": F.col("k")})
     out_verifications = replaced(tables["verifications"], "verified", {})
 
-    links = final.select("memory_id", "revision", F.explode(inline_links(F.col("content"))).alias("l"))
+    links = final.select("memory_id", "revision", F.explode(links_of("content")).alias("l"))
     edges = [
         final.select("memory_id", "revision", F.posexplode("edges").alias("ordinal", "e")).select("memory_id", "revision", "ordinal", "e.target", "e.relation", "e.confidence", F.lit("document").alias("producer")),
         links.select("memory_id", "revision", F.col("l.ordinal").alias("ordinal"), "l.target", F.lit("links_to").alias("relation"), F.lit("extracted").alias("confidence"), F.lit("markdown").alias("producer")),
