@@ -121,8 +121,8 @@ def picked_texts(docs: DataFrame, count: int) -> DataFrame:
     return bounded_texts(docs, ids, [])
 
 
-#: Rows of a narrow table that may be broadcast once they have been counted.
-FEW = 2_000_000
+#: Rows of a narrow table (an id, a hash, a mark) that may be broadcast once they have been counted: some 20 MB.
+FEW = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -72,6 +72,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
                     yield flush()
                     waiting = 0
         yield flush()
+        release_memory()
 
     found = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toArrow().column(0).to_numpy()[::-1].astype(np.int64)
@@ -131,6 +132,8 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, s
                 part = hit[k : k + 256]
                 own = [np.unique(pieces.hashes(t, shingle)).view(np.int64) for t in batch.column(1).take(pa.array(part)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "set"])
+                del own
+        release_memory()
 
     found = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(pick, "node long, set binary")
     own = cut_lineage(found.groupBy("node").agg(F.min("set").alias("set")))
@@ -155,6 +158,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, s
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
 
@@ -169,7 +173,7 @@ def keys_of_several(sets: DataFrame) -> np.ndarray:
             for prefix in batch.column(0):
                 parts.append(np.frombuffer(prefix.as_buffer(), np.uint64))
                 waiting += len(parts[-1])
-                if waiting > FLUSH:
+                if waiting > FLUSH // 4:
                     met, times = np.unique(cells.mixed(np.concatenate(parts)), return_counts=True)
                     parts, waiting = [], 0
                     yield from cells.batches(met, times, CELL_BITS, 2)
@@ -208,6 +212,7 @@ def links(docs: DataFrame, sets: DataFrame, common: np.ndarray, shingle: int, si
                 keys, node, size, place = keys[several], node[several], size[several], place[several]
                 often = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(size), pa.array(often), pa.array(place)], names=["key", "node", "size", "often", "place"])
+        release_memory()
 
     postings = cut_lineage(sets.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size long, often boolean, place long"))
     total = sets.agg(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0

@@ -438,3 +438,14 @@ def test_pipeline_stages_chain(spark, tmp_path):
         assert docs.count() <= before
         before = docs.count()
     assert before > 100 and [n for n, _ in P.STAGES] == ["quality", "toxicity", "near_dedup", "decontamination", "tokenise"]
+
+
+def test_leaks_with_string_ids_and_clashing_columns(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    docs = spark.createDataFrame([("d1", f"so {words} it is", 1), ("d2", "nothing of the kind is written here at all", 2), (None, words, 3)], "doc_id string, text string, leaked int").withColumns({c: F.lit(c) for c in ("_leaked", "key", "record")})
+    benchmark = spark.createDataFrame([("q-1", words), (None, "no id here")], "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()} == {("d1", "q-1"), (None, "q-1")}
+    kept = decontaminate.drop_leaked(docs, benchmark)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.where("doc_id = 'd2'").collect()]
+    none = decontaminate.find_leaks(docs, benchmark.limit(0))
+    assert none.collect() == [] and dict(none.dtypes)["item_id"] == "string"
