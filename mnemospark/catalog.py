@@ -12,6 +12,7 @@ from mnemospark.functions import predicates as P
 from mnemospark.functions import text as X
 from mnemospark.operators import aggregates as A
 from mnemospark.operators import bundle as B
+from mnemospark.operators import contexts as N
 from mnemospark.operators import curate as D
 from mnemospark.operators import graph as G
 from mnemospark.operators import lexical as L
@@ -842,6 +843,19 @@ def working_append(spark, d):
     return H.append_context(turns, "conv_id", "turn", "text").select("conv_id", "content", "version")
 
 
+@query("""WITH RECURSIVE o AS (SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, CASE WHEN turn % 5 = 0 THEN 'set' WHEN turn % 5 = 3 AND conv_id % 4 = 1 THEN 'clear' ELSE 'append' END AS op, regexp_replace(text, '\\s+$', '') AS text FROM conversations),
+  w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS content, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS n FROM o
+    UNION ALL SELECT w.conv_id, o.k, CASE op WHEN 'set' THEN text WHEN 'append' THEN CASE WHEN coalesce(content, '') = '' THEN '' ELSE content || chr(10) || chr(10) END || '## Ammendment ' || (n + 1) || chr(10) || text END,
+      CASE op WHEN 'clear' THEN 0 ELSE version + 1 END, CASE op WHEN 'append' THEN n + 1 ELSE 0 END FROM w JOIN o ON o.conv_id = w.conv_id AND o.k = w.k + 1)
+  SELECT 'c' || conv_id AS project, content, version FROM w WHERE content IS NOT NULL AND k = (SELECT MAX(k) FROM o WHERE o.conv_id = w.conv_id)""")
+def context_changes(spark, d):
+    """The turns of each conversation as operations on a context: some set it, some clear it, others are appended."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    op = F.when(F.pmod("turn", F.lit(5)) == 0, "set").when((F.pmod("turn", F.lit(5)) == 3) & (F.pmod("conv_id", F.lit(4)) == 1), "clear").otherwise("append")
+    turns = S.table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("project"), place.alias("seq"), op.alias("op"), F.regexp_replace("text", r"\s+$", "").alias("text"))
+    return N.change_contexts(empty(spark, "working_context"), turns, F.lit("2024-05-01 00:00:00").cast("timestamp"))[1].select("project", "content", "version")
+
+
 @query(f"""WITH {M}, {C} SELECT id, concept_type, id AS title, CASE WHEN length(content) > 160 THEN left(content, 160) || '…' ELSE content END AS preview, status FROM memories JOIN concepts ON id = memory_id WHERE superseded_by IS NULL AND list_contains(tags, 'src5')""")
 def index_view(spark, d):
     rows = B.index_rows(S.memories(spark, d), S.concepts(spark, d), F.lit("2024-06-01"), tag="src5")
