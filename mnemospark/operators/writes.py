@@ -44,6 +44,14 @@ def supersede_logged(memories: DataFrame, concepts: DataFrame, mapping: DataFram
     return supersede(memories, pairs), raised, logged, edges
 
 
+def clear_verifications(verifications: DataFrame, logged: DataFrame) -> DataFrame:
+    """``verifications`` without those of the memories that a batch's revisions (memory_id) changed: what was attested is another text now.
+
+    Of a supersession both memories' go; marks that leave a memory's meaning alone (a contradiction's edge) are not to be passed.
+    """
+    return verifications.join(logged.select("memory_id").distinct(), "memory_id", "left_anti").select(*verifications.columns)
+
+
 def cascade(tables: dict[str, DataFrame], tombstones: DataFrame) -> dict[str, DataFrame]:
     """``tables`` by name without what belonged to forgotten memories; edges that led to one lose their target, not their reference."""
     gone = tombstones.select(F.col("memory_id").alias("gone_id")).distinct()

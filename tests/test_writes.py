@@ -35,6 +35,15 @@ def test_many_supersessions_by_one(spark, tables):
     assert again[2].count() == 0 and again[3].count() == 0
 
 
+def test_a_supersession_clears_both_memories_verifications(spark, tables):
+    m, c = tables
+    _, _, log, _ = W.supersede_logged(m, c, spark.createDataFrame([("5", "6"), ("0", "1")], "older string, newer string"), "curator", "merge")
+    v = schemas.conform(spark.createDataFrame([("x", "5"), ("y", "6"), ("z", "7"), ("w", "0"), ("u", "1")], "id string, memory_id string"), "verifications")
+    # 0 points to 1 already, so neither changes
+    left = W.clear_verifications(v, log)
+    assert sorted(r["id"] for r in left.collect()) == ["u", "w", "z"] and left.columns == v.columns
+
+
 def test_empty_batch(spark, tables):
     m, c = tables
     memories, concepts, log, edges = W.supersede_logged(m, c, spark.createDataFrame([], "older string, newer string"), "curator", "merge")
