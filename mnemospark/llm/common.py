@@ -115,12 +115,6 @@ def labelled_sample(
     return [(r["text"], int(r["y"])) for r in rows], (totals.get(0, 0), totals.get(1, 0))
 
 
-def picked_texts(docs: DataFrame, count: int) -> DataFrame:
-    """The texts (doc_id, text) of ``count`` hash-picked doc_ids, a fixed sample with bounded rows and bytes."""
-    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(count)
-    return bounded_texts(docs, ids, [])
-
-
 #: Rows of a narrow table (an id, a hash, a mark) that may be broadcast once they have been counted: some 20 MB.
 FEW = 200_000
 

@@ -449,3 +449,43 @@ def test_leaks_with_string_ids_and_clashing_columns(spark):
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.where("doc_id = 'd2'").collect()]
     none = decontaminate.find_leaks(docs, benchmark.limit(0))
     assert none.collect() == [] and dict(none.dtypes)["item_id"] == "string"
+
+
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "OFTEN", 4)
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(30)]
+    docs = [(k, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(30)], k=rng.choice([0, 5, 70, 200])))) for k in range(2_000)] + [(None, None)]
+    space = decontaminate.Space(decontaminate.passages([(k, " ".join(rng.sample(vocabulary[:25], 12)), None) for k in range(10)]))
+    rows = decontaminate.numbered(spark.createDataFrame(docs, "doc_id long, text string"), space)
+    assert decontaminate.document_frequencies(rows, space) == 2_001
+    decontaminate.fit_space(rows, space, 2_001)
+    size = len(space.vocabulary)
+
+    def gram(parts):  # A'A by a plain loop
+        out = np.zeros((size, size))
+        for part in parts:
+            a = np.bincount([space.vocabulary[w] for w in part if w in space.vocabulary], minlength=size) * space.idf
+            if a.any():
+                out += np.outer(a, a) / (a @ a)
+        return out
+
+    split = [decontaminate.words(t) for _, t in docs]
+    whole = gram(w[a : a + 64] for w in split for a in range(0, len(w), 64)) * decontaminate.PER / 2_001 + decontaminate.WEIGHT * gram(w for _, w, _ in space.passages)
+    got = space.basis @ space.basis.T  # all directions are kept here, each divided by the root of its value
+    assert np.allclose(got @ whole, np.eye(size), atol=1e-3)
+
+
+def test_candidates_are_left_out_only_by_a_bound():
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choices("abcdefghij", k=rng.choice([5, 20, 40])))) for k in range(20)]
+    space = decontaminate.Space(decontaminate.passages([(k, t, None) for k, t in items]))
+    space.basis = np.eye(len(space.vocabulary), dtype=np.float32)
+    space.prepare()
+    padded = np.array([rng.randrange(len(space.vocabulary) + 1) for _ in range(640)])
+    p, begin = np.array([rng.randrange(len(space.ids)) for _ in range(300)]), np.array([16 * rng.randrange(36) for _ in range(300)])
+    bound = decontaminate.held_words(space, padded, p, begin, begin + 48)
+    for k, b, x in zip(p, begin, bound):
+        there = set(padded[b : b + 48].tolist())
+        assert x == sum(w in there for w in space.ids[k].tolist()) / len(space.ids[k])
+        assert decontaminate.common_subsequence(space.masks[k], len(space.ids[k]), padded[b : b + 48].tolist()) <= x * len(space.ids[k])
