@@ -200,12 +200,17 @@ def band_biases(stats: Statistics) -> np.ndarray:
     return np.log(n / n.sum(axis=1, keepdims=True)).ravel().astype(np.float32) if n.size else np.zeros(0, np.float32)
 
 
-def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers in ``at`` and, for each, the sum of its ``rows``."""
-    order = np.argsort(at, kind="stable")
+def in_order(at: np.ndarray, bound: int) -> np.ndarray:
+    """The stable order of numbers below ``bound``; two-byte numbers are sorted by their bytes, which is quick."""
+    return np.argsort(at.astype(np.uint16) if bound <= 1 << 16 else at, kind="stable")
+
+
+def summed_rows(at: np.ndarray, bound: int, *rows: np.ndarray) -> list[np.ndarray]:
+    """The distinct numbers in ``at`` (below ``bound``) and, for each, the sum of its rows in each of ``rows``."""
+    order = in_order(at, bound)
     at = at[order]
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[begin], np.add.reduceat(rows[order], begin, axis=0)
+    return [at[begin], *(np.add.reduceat(r[order], begin, axis=0) for r in rows)]
 
 
 class Learner:
@@ -223,8 +228,9 @@ class Learner:
 
     def step(self, key: str, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
         g = self.g[key]
-        g[at] += grad * grad
-        self.p[key][at] -= self.rate * grad / np.sqrt(g[at])
+        now = g[at] + grad * grad
+        g[at] = now
+        self.p[key][at] -= self.rate * grad / np.sqrt(now)
 
     def learn(self, target: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         """One batch: first-step outputs, own-word places (-1: none in a band), context rows."""
@@ -233,11 +239,11 @@ class Learner:
         r1, r2 = p["r"][one], p["r"][two]
         h = r1 @ p["c1"] + r2 @ p["c2"]
         n = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
-        own = sigmoid((h * p["q"][target]).sum(1) + p["b"][target] - self.log_noise[target]) - 1
-        other = sigmoid(h @ p["q"][n].T + p["b"][n] - self.log_noise[n])
-        gh = own[:, None] * p["q"][target] + other @ p["q"][n]
-        qa, qg = summed_rows(np.concatenate([target, n]), np.concatenate([own[:, None] * h, other.T @ h]))
-        ba, bg = summed_rows(np.concatenate([target, n]), np.concatenate([own, other.sum(0)]))
+        qt, qn = p["q"][target], p["q"][n]
+        own = sigmoid((h * qt).sum(1) + p["b"][target] - self.log_noise[target]) - 1
+        other = sigmoid(h @ qn.T + p["b"][n] - self.log_noise[n])
+        gh = own[:, None] * qt + other @ qn
+        qa, qg, bg = summed_rows(np.concatenate([target, n]), self.stats.outputs, np.concatenate([own[:, None] * h, other.T @ h]), np.concatenate([own, other.sum(0)]))
         inside = np.flatnonzero(word >= 0)
         if len(inside):  # the same within the bands, against words drawn from the token's own band
             hb, w = h[inside], word[inside]
@@ -248,15 +254,14 @@ class Learner:
             d = sigmoid(np.einsum("ij,ikj->ik", hb, vec) + p["a"][both] - np.float32(math.log(OWN_NOISE / BAND)))
             d[:, 0] -= 1
             gh[inside] += np.einsum("ik,ikj->ij", d, vec)
-            va, vg = summed_rows(both.ravel(), (d[:, :, None] * hb[:, None, :]).reshape(-1, DIMENSION))
-            aa, ag = summed_rows(both.ravel(), d.ravel())
+            va, vg, ag = summed_rows(both.ravel(), len(p["v"]), (d[:, :, None] * hb[:, None, :]).reshape(-1, DIMENSION), d.ravel())
             self.step("v", vg, va)
-            self.step("a", ag, aa)
-        ra, rg = summed_rows(np.concatenate([one, two]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T]))
+            self.step("a", ag, va)
+        ra, rg = summed_rows(np.concatenate([one, two]), len(p["r"]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T]))
         self.step("c1", r1.T @ gh)
         self.step("c2", r2.T @ gh)
         self.step("q", qg, qa)
-        self.step("b", bg, ba)
+        self.step("b", bg, qa)
         self.step("r", rg, ra)
 
     def learn_texts(self, reader: Reader, texts: list[str | None]) -> None:
@@ -381,7 +386,7 @@ class Scorer:
         ht = h[inverse]
         out = np.einsum("ij,ij->i", ht, self.q[target]) + self.b[target] - norm[inverse]
         inside = np.flatnonzero(word >= 0)
-        order = inside[np.argsort(word[inside] // BAND, kind="stable")]
+        order = inside[in_order(word[inside] // BAND, len(self.v))]
         bands = word[order] // BAND
         for band in np.unique(bands):  # one matrix product for each band
             i = order[np.searchsorted(bands, band) : np.searchsorted(bands, band, side="right")]

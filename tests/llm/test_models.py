@@ -272,3 +272,17 @@ def test_queries_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_sums_of_rows_share_one_order_and_keep_their_bits():
+    rng = np.random.default_rng(3)
+    for bound in (7, 256, 8_226, 1 << 16, 1 << 20):
+        at = rng.integers(0, bound, 3_000)
+        assert (lblm.in_order(at, bound) == np.argsort(at, kind="stable")).all()
+        matrix, vector = rng.normal(size=(3_000, 16)).astype(np.float32), rng.normal(size=3_000).astype(np.float32)
+        found, a, b = lblm.summed_rows(at, bound, matrix, vector)
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.diff(at[order], prepend=-1))
+        assert (found == np.unique(at)).all()
+        assert a.tobytes() == np.add.reduceat(matrix[order], begin, axis=0).tobytes()
+        assert b.tobytes() == np.add.reduceat(vector[order], begin).tobytes()
