@@ -12,6 +12,9 @@ the first they share: from its places on, each set has as many shingles left as
 pair passes that test at its first shared key, while sets that share only a passage at the end of their
 orders fail it. So the links' components are those of all linked pairs, though pairs within a component need not all be listed.
 
+Pairs are verified in two steps. Sketches of the sets, some bits a shingle, bound from above what two sets can share and drop most
+pairs; whole sets move for the others only, which are verified exactly. The bound holds for any sets, so no linked pair is dropped.
+
 Shingles are compared by 64-bit hashes and sets by a hash of their shingles. Null, empty and
 wordless texts are one empty set, alike to each other only; fewer words than a shingle are one
 shingle. Long texts are read whole. Repeated rows are one node. An empty table has no links.
@@ -19,7 +22,7 @@ shingle. Long texts are read whole. Repeated rows are one node. An empty table h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -40,6 +43,8 @@ OFTEN, COMMON, FLUSH = 3, 100_000, 2_000_000
 SPOTS = 2**26
 #: Keys are counted in 2^CELL_BITS cells before they are moved.
 CELL_BITS = 27
+#: Bits of a set's sketch for each of its shingles, at least.
+SKETCH = 4
 
 
 def digest_of(shingles: np.ndarray) -> int:
@@ -108,8 +113,24 @@ def describe(docs: DataFrame, common: np.ndarray, shingle: int, similarity: Frac
     return append_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), "text", ["doc_id", "text_key"], new, make)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are alike."""
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """A set's sketch: one bit for each value of its shingles' low bits, of which there are ``SKETCH`` a shingle at least."""
+    size = 1 << max(6, (SKETCH * len(shingles) - 1).bit_length())
+    out = np.zeros(size, bool)
+    out[shingles & (size - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
+    """The most shingles that sets of ``n`` and ``m`` with sketches ``x`` and ``y`` can share: a bit that one sketch lacks is at least one shingle that its set lacks."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(k.reshape(-1, size), axis=0) for k in (a, b))
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
+def with_blobs(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, blob: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """The pairs (a, b) with ``size`` and ``blob`` of both ends' sets: na, sa, nb, sb."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(asked.join(sets.select("node", "text_key"), "node").select("text_key").distinct())
     spot = F.col("text_key").bitwiseAND(F.lit(SPOTS - 1)) + 1
@@ -120,7 +141,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, s
     shared = docs.sparkSession.sparkContext.broadcast(spots)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of texts that are wanted (and of a few that only look so)."""
+        """Size and blob of the sets of texts that are wanted (and of a few that only look so)."""
         bits, seen = shared.value, set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -131,36 +152,49 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, s
             for k in range(0, len(hit), 256):
                 part = hit[k : k + 256]
                 own = [np.unique(pieces.hashes(t, shingle)).view(np.int64) for t in batch.column(1).take(pa.array(part)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([blob(x) for x in own], pa.binary())], names=["node", "size", "blob"])
                 del own
         release_memory()
 
-    found = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(pick, "node long, set binary")
-    own = cut_lineage(found.groupBy("node").agg(F.min("set").alias("set")))
+    found = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(pick, "node long, size long, blob binary")
+    own = cut_lineage(found.groupBy("node").agg(F.min("size").alias("size"), F.min("blob").alias("blob")))
     shared.destroy()
     del spots, maps
     release_memory()
     total = pairs.count()
 
     def with_sets(rows: DataFrame, end: str, other: str) -> DataFrame:
-        """The pairs with the sets of one end; a set that many pairs have goes to several tasks."""
+        """The rows with the blobs of one end; one that many pairs have goes to several tasks."""
         per = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        told = per.join(own.select(F.col("node").alias(end), F.col("set").alias(f"s{end}")), end)
+        told = per.join(own.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("blob").alias(f"s{end}")), end)
         return join_spread(rows, told, end, total, F.col(other))
 
-    both = with_sets(with_sets(pairs, "a", "b"), "b", "a")
+    return with_sets(with_sets(pairs, "a", "b"), "b", "a").select("a", "b", "na", "sa", "nb", "sb")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        release_memory()
 
-    return cut_lineage(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are alike.
+
+    Sketches tell first which pairs can be; whole sets move for those only.
+    """
+
+    def told(shared_by: Callable[[bytes, int, bytes, int], int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                    shared = shared_by(x, n, y, m)
+                    keep.append(shared * similarity.denominator >= similarity.numerator * (n + m - shared))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release_memory()
+
+        return run
+
+    def exactly(x: bytes, n: int, y: bytes, m: int) -> int:
+        return len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+
+    likely = cut_lineage(with_blobs(docs, pairs, sets, shingle, sketch_of).mapInArrow(told(most_shared), "a long, b long"))
+    return cut_lineage(with_blobs(docs, likely, sets, shingle, np.ndarray.tobytes).mapInArrow(told(exactly), "a long, b long"))
 
 
 def keys_of_several(sets: DataFrame) -> np.ndarray:

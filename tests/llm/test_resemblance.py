@@ -1,6 +1,7 @@
 """The pipeline's near-dedup stage: exact Jaccard of five-word shingles."""
 
 import itertools
+from fractions import Fraction
 
 import numpy as np
 
@@ -83,3 +84,39 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)]
     roots = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {i: 0 for i in range(60)} | {i: 100 for i in range(100, 161)}
+
+
+def test_sketches_bound_overlap():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 1), (1, 900), (40, 40), (300, 350), (700, 800), (5000, 4500)):
+        for part in (0.0, 0.3, 0.9, 1.0):
+            x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            same = x[: int(part * min(n, m))]
+            y = np.unique(np.concatenate([same, rng.integers(-(2**63), 2**63 - 1, m - len(same))]))
+            bound = resemblance.most_shared(resemblance.sketch_of(x), len(x), resemblance.sketch_of(y), len(y))
+            assert len(same) <= bound <= min(len(x), len(y))
+            if part == 0.0 and min(n, m) > 30:
+                assert bound < 0.5 * min(n, m)
+    nothing = resemblance.sketch_of(np.zeros(0, np.int64))
+    assert resemblance.most_shared(nothing, 0, nothing, 0) == 0
+
+
+def test_whole_sets_move_for_likely_pairs_only(spark, monkeypatch):
+    moved = {}
+    whole = resemblance.with_blobs
+
+    def counted(docs, pairs, sets, shingle, blob):
+        moved[blob] = sorted((r["a"], r["b"]) for r in pairs.collect())
+        return whole(docs, pairs, sets, shingle, blob)
+
+    monkeypatch.setattr(resemblance, "with_blobs", counted)
+    words = [f"x{i}" for i in range(200)]
+    texts = [words, [*words[:100], "new", *words[101:]], *([*words[:80], *(f"y{k}_{i}" for i in range(120))] for k in range(20)), []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = resemblance.describe(docs, np.zeros(0, np.int64), 5, Fraction(4, 5)).orderBy("doc_id").collect()
+    sets = spark.createDataFrame([(r["node"], r["text_key"]) for r in rows], "node long, text_key long")
+    node = [r["node"] for r in rows]
+    pairs = spark.createDataFrame([(node[0], n) for n in node[1:]], "a long, b long")
+    got = resemblance.verified(docs, pairs, sets, 5, Fraction(4, 5)).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(node[0], node[1])]
+    assert len(moved[resemblance.sketch_of]) == len(node) - 1 and moved[np.ndarray.tobytes] == [(node[0], node[1])]
