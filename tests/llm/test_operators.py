@@ -12,6 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mnemospark.llm import bpe, decontaminate, htmltext, mpegts, queries, shard, simhash
 
 DATA = "/root/testdata/sf0.001"
@@ -476,6 +477,21 @@ def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
     assert np.allclose(got @ whole, np.eye(size), atol=1e-3)
 
 
+def test_pipeline_stage_fits_on_all_its_documents(spark, monkeypatch, tmp_path):
+    told, fit = [], decontaminate.fit_space
+
+    def counted(rows, space, documents, *rest):
+        told.append((rows.count(), documents))
+        fit(rows, space, documents, *rest)
+
+    monkeypatch.setattr(decontaminate, "fit_space", counted)
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(2_000).selectExpr("id as doc_id", f"if(id = 1999, '{item}', concat('one two five text ', id)) as text")
+    assert corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).count() == 1_999
+    assert told == [(2_000, 2_000)]  # no sample is taken before the fit
+
+
 def test_candidates_are_left_out_only_by_a_bound():
     rng = random.Random(5)
     items = [(k, " ".join(rng.choices("abcdefghij", k=rng.choice([5, 20, 40])))) for k in range(20)]
