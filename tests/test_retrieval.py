@@ -98,3 +98,14 @@ def test_rerank_covers_a_query_or_leaves_it(spark):
     logits = spark.createDataFrame([(1, "a", 0.0), (1, "b", 2.0), (2, "a", 1.0)], "query_id long, id string, logit double")
     got = {(r["query_id"], r["id"]): round(r["score"], 4) for r in V.apply_rerank(cand, logits).collect()}
     assert got == {(1, "a"): 0.5, (1, "b"): 0.8808, (2, "a"): 0.3, (2, "b"): 0.2}
+
+
+def test_hybrid_search_moves_its_postings_once_and_no_text(spark):
+    from mnemospark import catalog
+
+    found = catalog.hybrid_search_full(spark, "/root/testdata/sf0.001")
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    scans = [x for x in plan.split("\n") if "FileScan parquet" in x]
+    assert sum("FileScan parquet [term" in x for x in scans) == 1 and "ReusedExchange" in plan
+    assert not any("FileScan parquet [doc_id" in x and "text" in x.split("Batched")[0] for x in scans)
