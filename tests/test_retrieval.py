@@ -105,7 +105,7 @@ def test_hybrid_search_moves_its_postings_once_and_no_text(spark):
 
     found = catalog.hybrid_search_full(spark, "/root/testdata/sf0.001")
     assert found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    plan = found._jdf.queryExecution().executedPlan().executedPlan().toString()
     scans = [x for x in plan.split("\n") if "FileScan parquet" in x]
     assert sum("FileScan parquet [term" in x for x in scans) == 1 and "ReusedExchange" in plan
     assert not any("FileScan parquet [doc_id" in x and "text" in x.split("Batched")[0] for x in scans)
